@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillflow.llm.arrow_tokens import token_store
+from rillflow.llm.line_runs import LOWER, UPPER, dedup_lines
 from rillflow.llm.packing import pack_documents
+from rillflow.llm.url_cascade import judge_urls
 
 
 def table(spark, sf_dir, name):
@@ -28,5 +30,54 @@ def op6_packing(spark, sf_dir):
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op5_tokens": op5_tokens, "op6_packing": op6_packing}
-SQL: dict[str, str] = {}
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_url_cascade(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP1_SQL = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r
+  FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest),
+rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+best AS (
+  SELECT page_id, h || p AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) AS k
+  FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (page_id)
+"""
+
+
+def op8_line_runs(spark, sf_dir):
+    rows = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_length=1)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM split),
+keyed AS (
+  SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
+  FROM lines),
+frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+judged AS (SELECT k.*, f.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+QUERIES = {"op1_url_cascade": op1_url_cascade, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op8_line_runs": op8_line_runs}
+SQL = {"op1_url_cascade": OP1_SQL, "op8_line_runs": OP8_SQL}
