@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rillflow.llm.arrow_tokens import token_store
 from rillflow.llm.line_runs import LOWER, UPPER, dedup_lines
 from rillflow.llm.packing import pack_documents
+from rillflow.llm.substring import dedup_substrings
 from rillflow.llm.url_cascade import judge_urls
 
 
@@ -61,6 +62,29 @@ FROM parts LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (page_id)
 """
 
 
+def op7_substrings(spark, sf_dir):
+    rows = dedup_substrings(table(spark, sf_dir, "documents"), width=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM split),
+starts AS (SELECT doc_id, w, unnest(range(len(w) - 12)) AS pos FROM split WHERE len(w) >= 13),
+windows AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 13], ' ') AS win FROM starts),
+firsts AS (SELECT win, min(doc_id) AS first_doc FROM windows GROUP BY win HAVING count(*) > 1),
+doomed AS (SELECT doc_id, pos FROM windows JOIN firsts USING (win) WHERE first_doc < doc_id),
+removed AS (SELECT DISTINCT doc_id, pos + k AS pos FROM (SELECT doc_id, pos, unnest(range(13)) AS k FROM doomed)),
+judged AS (SELECT words.*, removed.pos IS NOT NULL AS gone FROM words LEFT JOIN removed ON words.doc_id = removed.doc_id AND words.pos = removed.pos),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept_text
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op8_line_runs(spark, sf_dir):
     rows = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_length=1)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -79,5 +103,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
-QUERIES = {"op1_url_cascade": op1_url_cascade, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op8_line_runs": op8_line_runs}
-SQL = {"op1_url_cascade": OP1_SQL, "op8_line_runs": OP8_SQL}
+QUERIES = {"op1_url_cascade": op1_url_cascade, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_substrings": op7_substrings, "op8_line_runs": op8_line_runs}
+SQL = {"op1_url_cascade": OP1_SQL, "op7_substrings": OP7_SQL, "op8_line_runs": OP8_SQL}
