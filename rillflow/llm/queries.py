@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillflow.llm.arrow_tokens import token_store
+from rillflow.llm.bagminhash import near_duplicates
 from rillflow.llm.line_runs import LOWER, UPPER, dedup_lines
 from rillflow.llm.packing import pack_documents
 from rillflow.llm.substring import dedup_substrings
@@ -21,6 +22,10 @@ def tokenizer_file(name="word_bpe_49k.json"):
     return public_tokenizers.path(name)
 
 
+def op3_bagminhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
+
+
 def op5_tokens(spark, sf_dir):
     rows = token_store(table(spark, sf_dir, "documents"), tokenizer_file())
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -103,5 +108,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
-QUERIES = {"op1_url_cascade": op1_url_cascade, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_substrings": op7_substrings, "op8_line_runs": op8_line_runs}
+QUERIES = {"op1_url_cascade": op1_url_cascade, "op3_bagminhash": op3_bagminhash, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_substrings": op7_substrings, "op8_line_runs": op8_line_runs}
 SQL = {"op1_url_cascade": OP1_SQL, "op7_substrings": OP7_SQL, "op8_line_runs": OP8_SQL}
