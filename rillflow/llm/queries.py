@@ -9,6 +9,8 @@ from rillflow.llm.bagminhash import near_duplicates
 from rillflow.llm.line_runs import LOWER, UPPER, dedup_lines
 from rillflow.llm.packing import pack_documents
 from rillflow.llm.substring import dedup_substrings
+from rillflow.llm.tiling import benchmark_matches
+from rillflow.llm.toxicity import toxicity
 from rillflow.llm.url_cascade import judge_urls
 
 
@@ -26,6 +28,10 @@ def op3_bagminhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
 
 
+def op4_tiling(spark, sf_dir):
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), coverage=0.8, min_match=5)
+
+
 def op5_tokens(spark, sf_dir):
     rows = token_store(table(spark, sf_dir, "documents"), tokenizer_file())
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -108,5 +114,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
-QUERIES = {"op1_url_cascade": op1_url_cascade, "op3_bagminhash": op3_bagminhash, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_substrings": op7_substrings, "op8_line_runs": op8_line_runs}
+def op10_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_url_cascade": op1_url_cascade, "op3_bagminhash": op3_bagminhash, "op4_tiling": op4_tiling, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_substrings": op7_substrings, "op8_line_runs": op8_line_runs, "op10_toxicity": op10_toxicity}
 SQL = {"op1_url_cascade": OP1_SQL, "op7_substrings": OP7_SQL, "op8_line_runs": OP8_SQL}

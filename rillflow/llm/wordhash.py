@@ -89,16 +89,18 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII character but letters and digits; what is not ASCII is part of a word.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 class Words:
     """Word bounds of consecutive documents: word i of them is `data[starts[i]:ends[i]]`."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        """`offsets` (one more than documents) cut `data` into documents."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR):
+        """`offsets` (one more than documents) cut `data` into documents, bytes of `separator` into words."""
         self.data = data
         n = len(data)
-        solid = ~SEPARATOR[data]
+        solid = ~separator[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         begins = solid.copy()
