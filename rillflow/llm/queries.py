@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rillflow.llm.ann import nearest
 from rillflow.llm.arrow_tokens import token_store
 from rillflow.llm.bagminhash import near_duplicates
+from rillflow.llm.html_consensus import extract_articles
 from rillflow.llm.line_runs import LOWER, UPPER, dedup_lines
 from rillflow.llm.packing import pack_documents
 from rillflow.llm.substring import dedup_substrings
@@ -24,6 +26,10 @@ def tokenizer_file(name="word_bpe_49k.json"):
     return public_tokenizers.path(name)
 
 
+def op2_multiprobe(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_bagminhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
 
@@ -114,9 +120,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
+def op9_consensus(spark, sf_dir):
+    return extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_url_cascade": op1_url_cascade, "op3_bagminhash": op3_bagminhash, "op4_tiling": op4_tiling, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_substrings": op7_substrings, "op8_line_runs": op8_line_runs, "op10_toxicity": op10_toxicity}
+QUERIES = {
+    "op1_url_cascade": op1_url_cascade,
+    "op2_multiprobe": op2_multiprobe,
+    "op3_bagminhash": op3_bagminhash,
+    "op4_tiling": op4_tiling,
+    "op5_tokens": op5_tokens,
+    "op6_packing": op6_packing,
+    "op7_substrings": op7_substrings,
+    "op8_line_runs": op8_line_runs,
+    "op9_consensus": op9_consensus,
+    "op10_toxicity": op10_toxicity,
+}
 SQL = {"op1_url_cascade": OP1_SQL, "op7_substrings": OP7_SQL, "op8_line_runs": OP8_SQL}

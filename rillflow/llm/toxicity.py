@@ -75,7 +75,7 @@ def swaps(row: np.ndarray, index: np.ndarray, groups: list[np.ndarray]) -> tuple
     return (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
 
 
-def fit(row: np.ndarray, index: np.ndarray, label: np.ndarray, n_features: int, groups: list[np.ndarray], ridge: float = 1e-3, swap_penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(row: np.ndarray, index: np.ndarray, label: np.ndarray, n_features: int, groups: list[np.ndarray], ridge: float = 1e-5, swap_penalty: float = 1.0, steps: int = 800) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam; texts are (row, index) pairs of present features."""
     n = len(label)
     weights, bias = np.zeros(n_features), float(np.log((label.sum() + 1) / (n - label.sum() + 1)))
