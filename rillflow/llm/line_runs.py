@@ -87,42 +87,43 @@ class LineRuns:
             runs = runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
         return runs.where(F.col("n_docs") >= min_docs).select("h1", "h2")
 
-    def clean(self, docs: DataFrame, min_docs: int) -> DataFrame:
-        """`docs` (doc_id, text) without the lines of frequent keys: adds n_lines, n_dropped and kept_text.
+    def clean(self, docs: DataFrame, min_docs: int, carry: tuple[str, ...] = ()) -> DataFrame:
+        """The documents without the lines of frequent keys: doc_id, the columns to `carry`, n_lines, n_dropped and kept_text.
 
         The lines go to the join as hashes with their place; the places to drop
         come back to the text by the document's id and text hash, so repeated
         rows of a document get the same result.
         """
-        docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+        docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
         docs = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
         lines = docs.select("doc_id", "text_hash", F.posexplode(hashes(F.col("text"), self.min_length)).alias("at", "h")).where("h IS NOT NULL")
         # What the anti-join takes out of a document is what the semi-join finds in it.
         hits = lines.select("doc_id", "text_hash", "at", "h.h1", "h.h2").join(self.frequent(min_docs).hint("merge"), ["h1", "h2"], "left_semi")
         drops = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drops"))
         same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.text_hash") == F.col("x.text_hash"))
-        joined = docs.alias("d").join(drops.alias("x"), same, "left").select("d.doc_id", "d.text", "x.drops")
+        joined = docs.alias("d").join(drops.alias("x"), same, "left").select("d.*", "x.drops")
         parts = split_lines(F.col("text"))
         kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drops"))
         return joined.select(
             "doc_id",
+            *(F.col(f"carried_{c}").alias(c) for c in carry),
             F.size(parts).cast("long").alias("n_lines"),
             F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
             F.when(F.col("drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")).alias("kept_text"),
         )
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches: int = 4, fan_out: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches: int = 4, fan_out: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """All documents without the lines whose keys stand in at least `min_docs` of them.
 
     The table is added to a new store in `batches` parts by hash of the id; with
     the counts complete, every line is judged. A document is a row: repeated
     rows count repeatedly. A null or empty text is one empty line and stays; a
-    null doc_id is an id like any other; further columns are ignored. Returns
-    doc_id, n_lines, n_dropped, kept_text, a row for each row; an empty table
-    gives none.
+    null doc_id is an id like any other; further columns are ignored unless
+    `carry` names them. Returns doc_id, the carried columns, n_lines, n_dropped,
+    kept_text, a row for each row; an empty table gives none.
     """
     runs = LineRuns(docs.sparkSession, None, fan_out, min_length)
     for part in range(batches):
         runs.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == part) if batches > 1 else docs)
-    return runs.clean(docs, min_docs)
+    return runs.clean(docs, min_docs, carry)

@@ -153,6 +153,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """`docs`, all columns, without the documents that score `limit` or more."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column("text")) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that are never learnt from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
