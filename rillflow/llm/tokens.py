@@ -6,6 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rillflow.llm.wordhash import chunks, string_buffers
+
+PART_BYTES = 8 << 20
+PIECES_AT_ONCE = 20_000
 
 SLICE_IDS = 1 << 20
 
@@ -34,16 +38,24 @@ class Encoder:
         self.end_id = end_id
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; a few texts at a time, as the tokenizer's own results are large."""
+        out = []
+        for at in range(0, len(texts), PIECES_AT_ONCE):
+            some = self.tokenizer.encode_batch_fast(texts[at : at + PIECES_AT_ONCE], add_special_tokens=False)
+            out += [np.array(x.ids, np.uint32) for x in some]
+        return out
 
     def encode(self, column: pa.Array):
         """Yield (first row, ids, bounds) for slices of rows: row first + i has ids[bounds[i]:bounds[i+1]]; null is empty."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = pc.fill_null(column, "") if column.null_count else column
-        if not len(column):
-            return
+        for a, b in chunks(string_buffers(column)[1], PART_BYTES):
+            for row, ids, bounds in self._encode_part(column.slice(a, b - a)):
+                yield a + row, ids, bounds
+
+    def _encode_part(self, column: pa.Array):
         odd = np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False))
         whole = dict(zip(odd.tolist(), self._ids([column[int(i)].as_py() for i in odd]))) if len(odd) else {}
         text = pc.replace_substring_regex(pc.ascii_lower(column), pattern=r"([a-zà-öø-ÿ])([.,])", replacement=r"\1 \2")
@@ -54,7 +66,8 @@ class Encoder:
         codes = coded.indices.to_numpy()
         known = self._ids(coded.dictionary.to_pylist())
         lens = np.fromiter((len(x) for x in known), np.int64, len(known))
-        flat = np.fromiter((i for x in known for i in x), np.uint32, int(lens.sum()))
+        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
+        del known
         if self.end_id is not None:
             flat, lens = np.append(flat, np.uint32(self.end_id)), np.append(lens, 1)
         starts = np.cumsum(lens) - lens
@@ -71,7 +84,7 @@ class Encoder:
             ids = flat[expand(starts[own], lens[own])]
             if any(row <= i < stop for i in whole):
                 end = [] if self.end_id is None else [self.end_id]
-                rows = [np.asarray(whole[i] + end, np.uint32) if i in whole else ids[bounds[i - row] : bounds[i - row + 1]] for i in range(row, stop)]
+                rows = [np.append(whole[i], np.array(end, np.uint32)) if i in whole else ids[bounds[i - row] : bounds[i - row + 1]] for i in range(row, stop)]
                 ids, bounds = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
             yield row, ids, bounds
             row = stop
