@@ -24,21 +24,20 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends and with A-Z lower-cased, nothing else."""
-    bare = F.trim(line, F.lit(BLANKS))
-    # Lower-casing of ASCII text changes A-Z alone and is much faster than translate.
-    return F.when(F.length(bare) == F.octet_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
-
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines: without white space at the ends and with A-Z lower-cased, nothing else.
 
-def hashed(line: Column, min_length: int) -> Column:
-    """struct(h1, h2) of the line's key; null for keys under `min_length` code points."""
-    key = line_key(line)
-    return F.when(F.length(key) >= min_length, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
+    One transform a step, so that each step is evaluated once a line.
+    """
+    bare = F.transform(split_lines(text), lambda line: F.trim(line, F.lit(BLANKS)))
+    # Lower-casing of ASCII text changes A-Z alone and is much faster than translate.
+    return F.transform(bare, lambda line: F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER)))
 
 
 def hashes(text: Column, min_length: int) -> Column:
-    return F.transform(split_lines(text), lambda line: hashed(line, min_length))
+    """struct(h1, h2) of each line's key; null for keys under `min_length` code points."""
+    pair = lambda key: F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
+    return F.transform(line_keys(text), lambda key: F.when(F.length(key) >= min_length, pair(key)))
 
 
 class LineRuns:
