@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from rillflow.llm.wordhash import chunks, string_buffers
 
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 PIECES_AT_ONCE = 20_000
+WORDS_IN_TEXT = 64
+LATIN = "a-zß-öø-ÿÀ-ÖØ-Þ"
 
 SLICE_IDS = 1 << 20
 
@@ -22,6 +26,15 @@ def expand(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return out
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on, and several share a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Encoder:
     """Ids of documents under a tokenizer whose splits never cross white space.
 
@@ -36,7 +49,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.end_id = end_id
-        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        vocabulary = self.tokenizer.get_vocab()
+        self.small = max(vocabulary.values()) < 1 << 16
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; a few texts at a time, as the tokenizer's own results are large."""
@@ -46,6 +62,35 @@ class Encoder:
             out += [np.array(x.ids, np.uint32) for x in some]
         return out
 
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids, place of the first id) for distinct pieces.
+
+        Pieces of Latin letters alone are one word to the tokenizer; many are
+        encoded as one text and told apart by the ids that end a word.
+        """
+        plain = pc.match_substring_regex(pieces, f"^[{LATIN}]+$")
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(pc.invert(plain))])
+        words, rest = pieces.filter(plain).to_pylist(), pieces.filter(pc.invert(plain)).to_pylist()
+        texts = [" ".join(words[at : at + WORDS_IN_TEXT]) for at in range(0, len(words), WORDS_IN_TEXT)]
+        parts = []
+        for at in range(0, len(texts), PIECES_AT_ONCE // WORDS_IN_TEXT):
+            some = self.tokenizer.encode_batch_fast(texts[at : at + PIECES_AT_ONCE // WORDS_IN_TEXT], add_special_tokens=False)
+            parts += [np.array(x.ids, np.uint32) for x in some]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(words):  # a tokenizer without marks at the ends of words
+            parts = self._ids(words)
+            flat, lens = np.concatenate(parts) if parts else flat, np.array([len(x) for x in parts], np.int64)
+        else:
+            lens = np.diff(ends, prepend=0)
+        others = self._ids(rest)
+        flat = np.concatenate([flat, *others])
+        out = np.empty(len(pieces), np.int64)
+        out[order] = np.concatenate([lens, np.array([len(x) for x in others], np.int64)])
+        starts = np.empty(len(pieces), np.int64)
+        starts[order] = np.cumsum(out[order]) - out[order]
+        return flat, out, starts
+
     def encode(self, column: pa.Array):
         """Yield (first row, ids, bounds) for slices of rows: row first + i has ids[bounds[i]:bounds[i+1]]; null is empty."""
         if isinstance(column, pa.ChunkedArray):
@@ -54,23 +99,21 @@ class Encoder:
         for a, b in chunks(string_buffers(column)[1], PART_BYTES):
             for row, ids, bounds in self._encode_part(column.slice(a, b - a)):
                 yield a + row, ids, bounds
+            release_memory()
 
     def _encode_part(self, column: pa.Array):
         odd = np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False))
         whole = dict(zip(odd.tolist(), self._ids([column[int(i)].as_py() for i in odd]))) if len(odd) else {}
-        text = pc.replace_substring_regex(pc.ascii_lower(column), pattern=r"([a-zà-öø-ÿ])([.,])", replacement=r"\1 \2")
+        text = pc.replace_substring_regex(pc.ascii_lower(column), pattern=f"([{LATIN}])([.,])", replacement=r"\1 \2")
         pieces = pc.ascii_split_whitespace(text)
         first = np.asarray(pieces.offsets, dtype=np.int64)
         coded = pieces.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
         first = first - first[0]
         codes = coded.indices.to_numpy()
-        known = self._ids(coded.dictionary.to_pylist())
-        lens = np.fromiter((len(x) for x in known), np.int64, len(known))
-        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
-        del known
+        flat, lens, starts = self._pieces(coded.dictionary)
         if self.end_id is not None:
-            flat, lens = np.append(flat, np.uint32(self.end_id)), np.append(lens, 1)
-        starts = np.cumsum(lens) - lens
+            starts, lens = np.append(starts, len(flat)), np.append(lens, 1)
+            flat = np.append(flat, np.uint32(self.end_id))
         each = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(lens[codes], out=each[1:])
         row = 0
