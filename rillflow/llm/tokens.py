@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from rillflow.llm.wordhash import chunks, string_buffers
 
 PART_BYTES = 16 << 20
-PIECES_AT_ONCE = 20_000
+PIECES_AT_ONCE = 8_192
 WORDS_IN_TEXT = 64
 LATIN = "a-zß-öø-ÿÀ-ÖØ-Þ"
 
@@ -45,6 +46,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_file: str, end_id: int | None = 1):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -110,6 +112,7 @@ class Encoder:
         coded = pieces.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
         first = first - first[0]
         codes = coded.indices.to_numpy()
+        del text, pieces
         flat, lens, starts = self._pieces(coded.dictionary)
         if self.end_id is not None:
             starts, lens = np.append(starts, len(flat)), np.append(lens, 1)
