@@ -193,23 +193,23 @@ def near_duplicates(
     named = solid.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
     paired = solid.join(named, ["c1", "c2"])
     nodes = written(paired.where("doc_id = node").dropDuplicates(["c1", "c2"]).select("node", "weight", "keys", "sketch"), "nodes", "snappy")
-    same = written(paired.select("doc_id", "node").distinct(), "same")
+    same = written(paired.select("doc_id", "node").distinct(), "same", narrow=True)
     buckets = nodes.select("node", "weight", F.explode("keys").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = written(buckets.join(sizes, "key").select("key", "node", "weight", "n", "leader"), "members", "snappy")
     texts = base.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     first = members.where("node <> leader").groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
     ends = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    tested = written(first, "tested")
-    edges = written(verify_pairs(tested, texts, width, threshold).union(same.join(ends, "doc_id").select("a", F.col("node").alias("b"))), "edges")
+    tested = written(first, "tested", narrow=True)
+    edges = written(verify_pairs(tested, texts, width, threshold).union(same.join(ends, "doc_id").select("a", F.col("node").alias("b"))), "edges", narrow=True)
     component = connected_components(edges)
     ranks = 4
     while True:
         pairs, more = _rest(members, nodes, component, threshold, rows * bands, block, ranks)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs", narrow=True)
         if pairs.limit(1).count():
             tested = tested.union(pairs)
-            edges = written(edges.union(verify_pairs(pairs, texts, width, threshold)), "edges")
+            edges = written(edges.union(verify_pairs(pairs, texts, width, threshold)), "edges", narrow=True)
             component = connected_components(edges)
         if not more.limit(1).count():
             break
@@ -266,5 +266,5 @@ def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold:
         pairs = np.concatenate([*out, [[-1, -1]] if later else out[0]]).astype(np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=schema)
 
-    found = written(spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "rest")
+    found = written(spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "rest", narrow=True)
     return found.where("a <> b").distinct(), found.where("a = -1 AND b = -1")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from rillflow.llm.storage import written
 
 
+def _state(links: DataFrame):
+    """The number of links and the sum of their 64-bit hashes: equal for equal sets of links."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) of each node of `edges` (a long, b long); a component is named by its smallest node.
 
@@ -16,7 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     at the smallest node of a component. Each round is a written table. Loops
     and repeated edges change nothing; an empty list gives no nodes.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links", narrow=True)
+    state = _state(now)
     for _ in range(max_rounds):
         # Large star: the larger neighbours of each node go to the smallest of all its neighbours and itself.
         both = now.select("v", "u").union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -25,10 +31,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         # Small star: the smaller neighbours of each node, and the node, go to the smallest.
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        after = written(small.union(least.select("v", F.col("m").alias("u"))).distinct(), "links")
-        changed = after.join(now, ["v", "u"], "left_anti").limit(1).count() or now.join(after, ["v", "u"], "left_anti").limit(1).count()
-        now = after
-        if not changed:
+        now = written(small.union(least.select("v", F.col("m").alias("u"))).distinct(), "links", narrow=True)
+        before, state = state, _state(now)
+        if state == before:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -26,11 +26,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rillflow-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
+
+    A `narrow` table has few bytes for the work that makes it: its rows are
+    gathered first, so that not every task leaves a tiny file.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    (df.hint("rebalance") if narrow else df).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
