@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.components import connected_components
-from rillflow.llm.storage import written
+from rillflow.llm.storage import Scratch, written
 from rillflow.llm.wordhash import U64, WordHasher, Words, binary_rows, chunks, mix64, string_buffers
 
 LOW48 = U64((1 << 48) - 1)
@@ -167,7 +167,8 @@ def near_duplicates(
     width: int = 5,
     bands: int = 30,
     rows: int = 5,
-    block: int = 1000,
+    block: int = 4000,
+    broadcast_ids: int = 4_000_000,
 ) -> DataFrame:
     """(doc_id, class_id) of all documents: classes of near-duplicates, named by their smallest doc_id.
 
@@ -182,56 +183,61 @@ def near_duplicates(
 
     Documents with equal multisets are one node. In each bucket of a band all
     nodes are first held against the smallest; then, where a bucket still holds
-    several classes, its nodes are compared in blocks of `block` by sketch, and
-    pairs of different classes that could reach the threshold are verified,
-    the likeliest first, until no such pair is left. So large groups cost about
-    their size, and no link between different classes is lost to a limit.
+    several classes, its nodes are compared in blocks of `block` by sketch. Pairs
+    of different classes are verified in three rounds: the likeliest partners of
+    each node, more of them, and at last all that could reach the threshold. So
+    large groups cost about their size, and no link between different classes is
+    lost to a limit.
     """
     base = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(sign_documents(base, width, bands, rows), "signed", "snappy")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.write(sign_documents(base, width, bands, rows), "snappy")
     solid = signed.where("weight > 0")
     named = solid.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
     paired = solid.join(named, ["c1", "c2"])
-    nodes = written(paired.where("doc_id = node").dropDuplicates(["c1", "c2"]).select("node", "weight", "keys", "sketch"), "nodes", "snappy")
-    same = written(paired.select("doc_id", "node").distinct(), "same", narrow=True)
-    buckets = nodes.select("node", "weight", F.explode("keys").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = written(buckets.join(sizes, "key").select("key", "node", "weight", "n", "leader"), "members", "snappy")
-    texts = base.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    nodes = scratch.write(paired.where("doc_id = node").dropDuplicates(["c1", "c2"]).select("node", "weight", "keys", "sketch"), "snappy")
+    same = scratch.write(paired.select("doc_id", "node").distinct(), narrow=True)
+    buckets = nodes.select("node", "weight", F.posexplode("keys").alias("band", "key"))
+    sizes = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
+    members = scratch.write(buckets.join(sizes, ["band", "key"]).select("band", "key", "node", "weight", "n", "leader"), "snappy", narrow=True)
+    met = members.select(F.col("node").alias("doc_id")).distinct()
+    # The ids of the nodes that share a bucket: 8 bytes each.
+    texts = scratch.write(base.join(F.broadcast(met) if met.count() <= broadcast_ids else met, "doc_id", "left_semi"))
     first = members.where("node <> leader").groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
     ends = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    tested = written(first, "tested", narrow=True)
-    edges = written(verify_pairs(tested, texts, width, threshold).union(same.join(ends, "doc_id").select("a", F.col("node").alias("b"))), "edges", narrow=True)
-    component = connected_components(edges)
-    ranks = 4
-    while True:
-        pairs, more = _rest(members, nodes, component, threshold, rows * bands, block, ranks)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs", narrow=True)
+    tested = scratch.write(first, narrow=True)
+    edges = scratch.write(verify_pairs(tested, texts, width, threshold).union(same.join(ends, "doc_id").select("a", F.col("node").alias("b"))), narrow=True)
+    component = connected_components(edges, scratch)
+    m = bands * rows
+    # A pair at the threshold agrees in fewer components than the last limit with a probability under 4e-5.
+    limits = [(threshold * m, 2), (threshold * m - 2 * np.sqrt(threshold * (1 - threshold) * m), 8), (threshold * m - 4 * np.sqrt(threshold * (1 - threshold) * m), None)]
+    for least, ranks in limits:
+        pairs = scratch.write(_rest(members, nodes, component, threshold, bands, rows, block, least, ranks).join(tested, ["a", "b"], "left_anti"), narrow=True)
         if pairs.limit(1).count():
             tested = tested.union(pairs)
-            edges = written(edges.union(verify_pairs(pairs, texts, width, threshold)), "edges", narrow=True)
-            component = connected_components(edges)
-        if not more.limit(1).count():
-            break
-        ranks *= 8
+            edges = scratch.write(edges.union(verify_pairs(pairs, texts, width, threshold)), narrow=True)
+            component = connected_components(edges, scratch)
     classes = same.join(component, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
     blank = signed.where("weight = 0").select("doc_id").distinct().join(same, "doc_id", "left_anti")
-    return classes.union(blank.select("doc_id", "doc_id"))
+    result = written(classes.union(blank.select("doc_id", "doc_id")), "classes", narrow=True)
+    scratch.close()
+    return result
 
 
-def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold: float, m: int, block: int, ranks: int):
-    """Untested links within buckets: pairs (a, b) of different classes, and markers of those beyond `ranks`.
+def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold: float, bands: int, rows: int, block: int, least: float, ranks: int | None) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and agree in `least` components or more.
 
     In a bucket every node outside its largest class is a probe; it meets all
     nodes of the bucket, block by block, and gives its `ranks` likeliest
-    partners of a block, counted over all classes so that later calls with more
-    ranks give all that earlier ones gave, and those after them.
+    partners of a block, or all. A pair that shares several bands is given for
+    the first of them.
     """
-    classed = members.join(component, "node", "left").select("key", "node", "weight", "n", F.coalesce("component", "node").alias("class"))
-    sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("size").alias("all"))
-    mixed = mixed.where("classes > 1").select("key", F.col("main.class").alias("main"), (F.col("all") - F.col("main.size")).alias("others"))
-    rest = classed.join(mixed, "key")
+    m = bands * rows
+    classed = members.join(component, "node", "left").select("band", "key", "node", "weight", "n", F.coalesce("component", "node").alias("class"))
+    sizes = classed.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "class")).alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("size").alias("all"))
+    mixed = mixed.where("classes > 1").select("band", "key", F.col("main.class").alias("main"), (F.col("all") - F.col("main.size")).alias("others"))
+    rest = classed.join(mixed, ["band", "key"])
     probe_blocks, base_blocks = (F.ceil(F.col(c) / block).cast("int") for c in ("others", "n"))
 
     def place(count):
@@ -240,31 +246,31 @@ def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold:
     def every(count):
         return F.explode(F.sequence(F.lit(0), count - 1))
 
-    columns = ["key", "node", "weight", "class"]
+    columns = ["band", "key", "node", "weight", "class"]
     probes = rest.where("class <> main").select(*columns, F.lit(True).alias("probe"), place(probe_blocks).alias("i"), every(base_blocks).alias("j"))
     bases = rest.select(*columns, F.lit(False).alias("probe"), every(probe_blocks).alias("i"), place(base_blocks).alias("j"))
     spread = probes.union(bases).join(nodes.select("node", "sketch"), "node")
-    # A pair at the threshold agrees in fewer components than this with a probability under 1e-8.
-    least = threshold * m - 6 * np.sqrt(threshold * (1 - threshold) * m)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
         node, weight, cls, probe = (np.asarray(table.column(k).combine_chunks()) for k in ("node", "weight", "class", "probe"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, m)
+        band = table.column("band")[0].as_py()
         base = np.flatnonzero(~probe)
         base = base[np.argsort(node[base])]
-        out, later = [np.zeros((0, 2), np.int64)], False
+        out = [np.zeros((0, 2), np.int64)]
         for x in np.flatnonzero(probe):
-            y = base[(node[base] != node[x]) & (np.minimum(weight[base], weight[x]) >= threshold * np.maximum(weight[base], weight[x]) - 1e-9)]
-            agree = (sketch[y] == sketch[x]).sum(1)
-            y, agree = y[agree >= least], agree[agree >= least]
-            y = y[np.argsort(-agree, kind="stable")]
-            y = np.where(cls[y] != cls[x], y, -1)
-            later |= bool((y[ranks:] >= 0).any())
-            other = node[y[:ranks][y[:ranks] >= 0]]
+            y = base[(cls[base] != cls[x]) & (np.minimum(weight[base], weight[x]) >= threshold * np.maximum(weight[base], weight[x]) - 1e-9)]
+            same = sketch[y] == sketch[x]
+            agree = same.sum(1)
+            some = np.flatnonzero(agree >= least)
+            if not len(some):
+                continue
+            earlier = same[some, : band * rows].reshape(len(some), band, rows).all(2).any(1)
+            some = some[~earlier]
+            other = node[y[some[np.argsort(-agree[some], kind="stable")][:ranks]]]
             out.append(np.stack([np.minimum(node[x], other), np.maximum(node[x], other)], 1))
-        pairs = np.concatenate([*out, [[-1, -1]] if later else out[0]]).astype(np.int64)
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=schema)
 
-    found = written(spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "rest", narrow=True)
-    return found.where("a <> b").distinct(), found.where("a = -1 AND b = -1")
+    return spread.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.storage import written
+from rillflow.llm.storage import Scratch
 
 
 def _state(links: DataFrame):
@@ -13,15 +13,15 @@ def _state(links: DataFrame):
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 50) -> DataFrame:
     """(node, component) of each node of `edges` (a long, b long); a component is named by its smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each
     node links its neighbours to the smallest one it sees until all links point
-    at the smallest node of a component. Each round is a written table. Loops
+    at the smallest node of a component. Each round is a table of `scratch`. Loops
     and repeated edges change nothing; an empty list gives no nodes.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links", narrow=True)
+    now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), narrow=True)
     state = _state(now)
     for _ in range(max_rounds):
         # Large star: the larger neighbours of each node go to the smallest of all its neighbours and itself.
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         # Small star: the smaller neighbours of each node, and the node, go to the smallest.
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        now = written(small.union(least.select("v", F.col("m").alias("u"))).distinct(), "links", narrow=True)
+        now = scratch.write(small.union(least.select("v", F.col("m").alias("u"))).distinct(), narrow=True)
         before, state = state, _state(now)
         if state == before:
             break

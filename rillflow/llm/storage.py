@@ -45,6 +45,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables of one computation that go when it is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.made = spark, shared_path(spark, "scratch"), 0
+
+    def write(self, df: DataFrame, compression: str = "zstd", narrow: bool = False) -> DataFrame:
+        """Like `written`, under this scratch's folder."""
+        path = f"{self.path}/{self.made}"
+        self.made += 1
+        (df.hint("rebalance") if narrow else df).write.option("compression", compression).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        remove(self.spark, self.path)
+
+
 def filesystem(path: str):
     """(pyarrow filesystem, path in it) for a URI or a plain path."""
     from pyarrow import fs
