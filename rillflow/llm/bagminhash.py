@@ -24,6 +24,8 @@ from rillflow.llm.storage import Scratch, written
 from rillflow.llm.wordhash import U64, WordHasher, Words, binary_rows, chunks, mix64, string_buffers
 
 LOW48 = U64((1 << 48) - 1)
+#: Shingle counts are summed in so many cells by hash; a cell of FULL or more is kept as FULL.
+CELLS, FULL = 256, 255
 
 
 def shingle_multisets(data: np.ndarray, offsets: np.ndarray, width: int, hasher: WordHasher):
@@ -105,7 +107,7 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64(
 
 
 def sign_documents(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, c1, c2, weight, keys, sketch): a 128-bit hash of the shingle multiset, its size, band keys, and 16 bits of each component."""
+    """(doc_id, c1, c2, weight, keys, sketch): a 128-bit hash of the shingle multiset, its size, band keys, and 16 bits of each component with the shingle counts by cell."""
     m = bands * rows
 
     def sign(batches):
@@ -125,7 +127,9 @@ def sign_documents(docs: DataFrame, width: int, bands: int, rows: int) -> DataFr
                     signature = signatures(doc, shingle, count, n, m)
                     keys = band_keys(signature, bands)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                    sketch = binary_rows((signature >> U64(48)).astype(np.uint16).reshape(-1), np.arange(n + 1) * m)
+                    cells = np.bincount(doc * CELLS + (shingle & U64(CELLS - 1)).astype(np.int64), count, n * CELLS).reshape(n, CELLS)
+                    both = np.concatenate([(signature >> U64(48)).astype(np.uint16).view(np.uint8).reshape(n, -1), np.minimum(cells, FULL).astype(np.uint8)], 1)
+                    sketch = binary_rows(both.reshape(-1), np.arange(n + 1) * both.shape[1])
                     weight = np.bincount(doc, count, n).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(weight), lists, sketch], schema=SIGNED)
 
@@ -184,10 +188,9 @@ def near_duplicates(
     Documents with equal multisets are one node. In each bucket of a band all
     nodes are first held against the smallest; then, where a bucket still holds
     several classes, its nodes are compared in blocks of `block` by sketch. Pairs
-    of different classes are verified in three rounds: the likeliest partners of
-    each node, more of them, and at last all that could reach the threshold. So
-    large groups cost about their size, and no link between different classes is
-    lost to a limit.
+    of different classes are verified in two rounds: the likeliest partners of
+    each node, then all that could reach the threshold. So large groups cost
+    about their size, and no link between different classes is lost to a limit.
     """
     base = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
@@ -210,7 +213,7 @@ def near_duplicates(
     component = connected_components(edges, scratch)
     m = bands * rows
     # A pair at the threshold agrees in fewer components than the last limit with a probability under 4e-5.
-    limits = [(threshold * m, 2), (threshold * m - 2 * np.sqrt(threshold * (1 - threshold) * m), 8), (threshold * m - 4 * np.sqrt(threshold * (1 - threshold) * m), None)]
+    limits = [(threshold * m, 2), (threshold * m - 4 * np.sqrt(threshold * (1 - threshold) * m), None)]
     for least, ranks in limits:
         pairs = scratch.write(_rest(members, nodes, component, threshold, bands, rows, block, least, ranks).join(tested, ["a", "b"], "left_anti"), narrow=True)
         if pairs.limit(1).count():
@@ -230,7 +233,7 @@ def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold:
     In a bucket every node outside its largest class is a probe; it meets all
     nodes of the bucket, block by block, and gives its `ranks` likeliest
     partners of a block, or all. A pair that shares several bands is given for
-    the first of them.
+    the first of them, and none whose counts by cell rule the threshold out.
     """
     m = bands * rows
     classed = members.join(component, "node", "left").select("band", "key", "node", "weight", "n", F.coalesce("component", "node").alias("class"))
@@ -254,7 +257,9 @@ def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold:
 
     def compare(table: pa.Table) -> pa.Table:
         node, weight, cls, probe = (np.asarray(table.column(k).combine_chunks()) for k in ("node", "weight", "class", "probe"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, m)
+        both = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        sketch, cells = np.ascontiguousarray(both[:, : 2 * m]).view(np.uint16), both[:, 2 * m :]
+        full = cells.max(1) == FULL
         band = table.column("band")[0].as_py()
         base = np.flatnonzero(~probe)
         base = base[np.argsort(node[base])]
@@ -268,6 +273,10 @@ def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold:
                 continue
             earlier = same[some, : band * rows].reshape(len(some), band, rows).all(2).any(1)
             some = some[~earlier]
+            # No overlap is larger than the sum of the smaller counts of each cell.
+            most = np.minimum(cells[y[some]], cells[x]).sum(1, dtype=np.int64)
+            could = most >= threshold * (weight[y[some]] + weight[x] - most) - 1e-9
+            some = some[could | full[y[some]] | full[x]]
             other = node[y[some[np.argsort(-agree[some], kind="stable")][:ranks]]]
             out.append(np.stack([np.minimum(node[x], other), np.maximum(node[x], other)], 1))
         pairs = np.unique(np.concatenate(out), axis=0)
