@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from rillflow.plans import relational, state, text
+
+MODULES = (text, relational, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
