@@ -48,11 +48,11 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER B
 SELECT source, external_id, n_chars FROM ranked WHERE k = 1""",
     "ingest_high_water": """
 WITH """ + ITEMS + """
-SELECT source, count(*) AS inserted, max(published_s) AS high_water_s FROM items GROUP BY source""",
+SELECT source, count(*) AS inserted, coalesce(max(published_s), -1) AS high_water_s FROM items GROUP BY source""",
     "checkpoint_prefix": """
 WITH pages AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM {events}),
 running AS (SELECT *, sum(bad) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bad_so_far FROM pages)
-SELECT user_id, count(*) AS pages, max(CASE WHEN bad_so_far = 0 THEN event_id END) AS cursor_at, CAST(sum(bad) AS BIGINT) AS failed FROM running GROUP BY user_id""",
+SELECT user_id, count(*) AS pages, coalesce(max(CASE WHEN bad_so_far = 0 THEN event_id END), -1) AS cursor_at, CAST(sum(bad) AS BIGINT) AS failed FROM running GROUP BY user_id""",
     "run_status": """
 WITH """ + RUNS + """
 SELECT run_id, CASE WHEN failed = 0 THEN 'succeeded' WHEN seen > failed THEN 'partial' ELSE 'failed' END AS status FROM runs""",
@@ -103,7 +103,7 @@ SELECT CAST(floor(collected_s / 86400) AS BIGINT) AS day, count(*) AS collected,
 FROM items GROUP BY CAST(floor(collected_s / 86400) AS BIGINT)""",
     "delivery_next_chunk": """
 WITH chunks AS (SELECT conv_id, turn, CASE WHEN turn < conv_id % 4 THEN 'sent' ELSE 'pending' END AS status FROM {conversations})
-SELECT conv_id, count(*) AS chunks, count(CASE WHEN status <> 'sent' THEN 1 END) AS remaining, min(CASE WHEN status <> 'sent' THEN turn END) AS next_turn FROM chunks GROUP BY conv_id""",
+SELECT conv_id, count(*) AS chunks, count(CASE WHEN status <> 'sent' THEN 1 END) AS remaining, coalesce(min(CASE WHEN status <> 'sent' THEN turn END), -1) AS next_turn FROM chunks GROUP BY conv_id""",
     "delivery_tallies": """
 WITH sent AS (SELECT conv_id, min(CASE WHEN length(text) % 7 = 0 THEN 0 WHEN length(text) % 5 = 0 THEN 1 ELSE 2 END) AS worst FROM {conversations} GROUP BY conv_id)
 SELECT CASE worst WHEN 0 THEN 'failed' WHEN 1 THEN 'deferred' ELSE 'sent' END AS outcome, count(*) AS envelopes FROM sent GROUP BY worst""",
