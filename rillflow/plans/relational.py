@@ -62,7 +62,7 @@ SELECT user_id, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(failed) AS BIGINT) A
     "latest_run_per_source": """
 WITH sources AS (SELECT DISTINCT source, CAST(substr(source, 4) AS BIGINT) AS n FROM {documents}), """ + RUNS + """,
 ranked AS (SELECT user_id, run_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY run_id DESC) AS k FROM runs)
-SELECT source, run_id, coalesce(event_type, 'never_run') AS state FROM sources LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r ON r.user_id = sources.n""",
+SELECT source, coalesce(run_id, -1) AS run_id, coalesce(event_type, 'never_run') AS state FROM sources LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r ON r.user_id = sources.n""",
     # Work selection and counts
     "claim_order_topk": """
 WITH """ + ITEMS + """
