@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.lineage import cut
+
 
 def exact_groups(items: DataFrame, key: str, id_column: str) -> DataFrame:
     """(key, members, first) of each key that at least two items share; null keys share nothing."""
@@ -21,7 +23,8 @@ def similar_pairs(items: DataFrame, id_column: str, threshold: int = 90, least_t
     """
     t = threshold / 100
     usable = items.where(F.size("tokens") >= least_tokens).select(id_column, F.array_sort("tokens").alias("tokens"))
-    keyed = usable.withColumn("set_id", F.sha2(F.array_join("tokens", " "), 256))
+    # Read five times below: the texts are normalized once.
+    keyed = cut(usable.withColumn("set_id", F.sha2(F.array_join("tokens", " "), 256)))
     sets = keyed.groupBy("set_id").agg(F.first("tokens").alias("tokens"))
     words = sets.select("set_id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
     frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))

@@ -12,23 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.operators.dedup import similar_pairs
+from rillflow.operators.lineage import cut
 
 OUT = "item_id long, cluster_id long, method string, similarity double"
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, component) by smallest labels; lineage is cut with checkpoints where a folder is set."""
-    spark = edges.sparkSession
+    """(node, component) by smallest labels; each round is a checkpoint."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select("node", F.col("node").alias("component"))
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rillflow-"))
-    both = both.checkpoint()
+    both = cut(both)
     for _ in range(rounds):
         seen = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("component").alias("m"))
-        after = labels.join(seen, labels["node"] == seen["b"], "left").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")).checkpoint()
+        after = labels.join(seen, labels["node"] == seen["b"], "left").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved"))
+        after = cut(after)
         labels = after.select("node", "component")
         if not after.where("moved").limit(1).count():
             break
