@@ -32,9 +32,10 @@ def similar_pairs(items: DataFrame, id_column: str, threshold: int = 90, least_t
     prefix = words.join(frequency, "w").withColumn("k", F.row_number().over(place)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * t) + 1).select("w", "set_id", "n")
     left = prefix.select("w", F.col("set_id").alias("x"), F.col("n").alias("nx"))
     right = prefix.select("w", F.col("set_id").alias("y"), F.col("n").alias("ny"))
-    near = left.join(right, "w").where((F.col("x") < F.col("y")) & (F.col("nx") >= t * F.col("ny") - 1e-9) & (F.col("ny") >= t * F.col("nx") - 1e-9)).select("x", "y").distinct()
+    near = left.join(right, "w").where((F.col("x") < F.col("y")) & (F.col("nx") >= t * F.col("ny") - 1e-9) & (F.col("ny") >= t * F.col("nx") - 1e-9)).select("x", "y", "nx", "ny").distinct()
     both = near.join(sets.select(F.col("set_id").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("set_id").alias("y"), F.col("tokens").alias("ty")), "y")
-    counted = both.select("x", "y", F.size(F.array_intersect("tx", "ty")).alias("shared"), F.size(F.array_union("tx", "ty")).alias("total"))
+    # The arrays hold distinct tokens.
+    counted = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("tx", "ty")).alias("shared")).select("x", "y", "shared", (F.col("nx") + F.col("ny") - F.col("shared")).alias("total"))
     linked = counted.where(100 * F.col("shared") >= threshold * F.col("total"))
     equal = sets.select(F.col("set_id").alias("x"), F.col("set_id").alias("y"), F.size("tokens").alias("shared"), F.size("tokens").alias("total"))
     a = keyed.select(F.col("set_id").alias("x"), F.col(id_column).alias("p"))

@@ -209,4 +209,7 @@ SELECT doc_id, CAST(greatest(0, least(100, s)) AS INT) AS score, reasons FROM (
     "utf16_units": "SELECT doc_id, length(text) AS units FROM documents",
     "json_metadata": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "snippet_evidence": "SELECT page_id, substr(regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || regexp_extract(html, '<p>([^<]*)', 1), 1, 4096) AS evidence FROM pages",
+    "digest_dst_days": """
+WITH d AS (SELECT CAST('2026-01-01' AS DATE) + CAST(i AS INT) AS day FROM range(366) AS t(i))
+SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN month(day) IN (3, 10) AND day + 7 > last_day(day) AND dayofweek(day) = 0 THEN CASE month(day) WHEN 3 THEN 23 ELSE 25 END ELSE 24 END AS hours FROM d""",
 }

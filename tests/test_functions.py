@@ -79,3 +79,18 @@ def test_score_of_a_fresh_plain_request(spark):
 def test_rules_need_one_target():
     with pytest.raises(ValueError):
         R.Rule("x", "a")
+
+
+def test_lock_keys_and_spans(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([("é a@b.c and a@b.d",)], "text string")
+    key = int.from_bytes(hashlib.sha256("é a@b.c and a@b.d".encode()).digest()[:8], "big", signed=True)
+    assert rows.select(T.lock_key(F.col("text"))).first()[0] == key
+    assert [tuple(m) for m in rows.select(R.spans()("text")).first()[0]] == [("email", 2, 7), ("email", 12, 17)]
+
+
+def test_conflicts_need_both_sides(spark):
+    rows = spark.createDataFrame([("9 класс онлайн", "9 класс"), ("9 класс", "8 класс"), ("онлайн", "очно"), ("", "г. Пермь")], "a string, b string")
+    got = rows.select(R.compatible(R.extract_fields(F.col("a")), R.extract_fields(F.col("b")))).collect()
+    assert [r[0] for r in got] == [True, False, False, True]
