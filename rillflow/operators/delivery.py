@@ -1,19 +1,29 @@
-"""Message packing and the delivery state machine, folded per envelope."""
+"""Message packing and the delivery state machine, folded per envelope.
+
+An envelope is one message to one person; its chunks are sent in order. Both
+folds see one envelope's rows at a time, which its size bounds.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rillflow.functions import presentation as P
 
-CHUNK_LIMIT, MAX_ATTEMPTS = 3800, 3
+CHUNK_LIMIT, BUTTON_LIMIT, MAX_ATTEMPTS = 3800, 80, 3
 RETRYABLE = ("retryable", "rate_limited")
+ACTIVE = ("new", "notified", "interested")
+DELIVERED = "conv_id long, sent long, attempts long, status string"
+MESSAGES = "envelope_id long, position int, body string, n_cards int, n_buttons int, units int"
 
 
 def pack_cards(rows: pd.DataFrame, limit: int = CHUNK_LIMIT) -> pd.DataFrame:
     """Cards of one envelope in order, as few chunks as greedy packing gives; a card alone may be longer."""
     chunk, size, out = 0, 0, []
     for r in rows.sort_values("turn").itertuples(index=False):
-        units = len((r.text or "").encode("utf-16-le")) // 2
+        units = P.units(r.text or "")
         if size and size + units > limit:
             chunk, size = chunk + 1, 0
         size += units
@@ -25,6 +35,34 @@ def pack(cards: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
     return cards.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(lambda rows: pack_cards(rows, limit), "conv_id long, turn long, chunk long, units long")
 
 
+def digest_messages(rows: pd.DataFrame, limit: int = CHUNK_LIMIT, most_buttons: int = BUTTON_LIMIT, per_card: int = len(P.ACTION_LABELS)) -> pd.DataFrame:
+    """The messages of one digest: a head and numbered cards, each card whole.
+
+    A message is closed before a card that would make it too long, or once it
+    has `most_buttons` buttons. `rows`: envelope_id, header, rank, card; a
+    digest without cards (card null) is its head alone.
+    """
+    rows = rows.sort_values("rank")
+    body, cards, out = P.safe(rows.header.iloc[0], 600), 0, []
+
+    def close():
+        out.append((rows.envelope_id.iloc[0], len(out), body, cards, cards * per_card, P.units(body)))
+
+    for number, text in enumerate(rows.card.dropna(), 1):
+        block = f"\n\n<b>Заявка {number}</b>\n{text}"
+        if P.units(body) + P.units(block) > limit or cards * per_card >= most_buttons:
+            close()
+            body, cards = P.CONTINUED, 0
+        body, cards = body + block, cards + 1
+    close()
+    return pd.DataFrame(out, columns=["envelope_id", "position", "body", "n_cards", "n_buttons", "units"])
+
+
+def compose_digests(cards: DataFrame, limit: int = CHUNK_LIMIT, most_buttons: int = BUTTON_LIMIT) -> DataFrame:
+    """The messages of every digest of `cards` (envelope_id, header, rank, card)."""
+    return cards.select("envelope_id", "header", "rank", "card").groupBy("envelope_id").applyInPandas(lambda rows: digest_messages(rows, limit, most_buttons), MESSAGES)
+
+
 def deliver_envelope(rows: pd.DataFrame) -> pd.DataFrame:
     """The end state of one envelope: chunks go in order, each until it is sent, stuck or out of attempts.
 
@@ -48,4 +86,38 @@ def deliver_envelope(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def deliver(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("conv_id").applyInPandas(deliver_envelope, "conv_id long, sent long, attempts long, status string")
+    return chunks.groupBy("conv_id").applyInPandas(deliver_envelope, DELIVERED)
+
+
+def claim(envelopes: DataFrame, chunks: DataFrame, now: Column) -> DataFrame:
+    """(envelope_id, action, position): what may happen to each envelope now.
+
+    `envelopes`: envelope_id, status, lead_status (null: a digest), lead_missing,
+    paused, explicit. `chunks`: envelope_id, position, status, last_error,
+    attempts, next_attempt_at. Actions: none (over, paused, not due or stuck),
+    skip (its lead isn't active), sent and missing (no chunk is left, or there
+    never was one), ambiguous (a send was broken off: never send it twice), send.
+    """
+    # The first chunk that isn't sent decides; its fields travel with the least position.
+    state = chunks.groupBy("envelope_id").agg(
+        F.min(F.when(F.col("status") != "sent", F.struct("position", "status", "last_error", "attempts", "next_attempt_at"))).alias("next")
+    )
+    joined = envelopes.join(state.withColumn("any", F.lit(True)), "envelope_id", "left")
+    next_ = F.col("next")
+    inactive = F.col("lead_missing") | ~F.coalesce(F.col("lead_status").isin(*ACTIVE), F.lit(True))
+    stuck = (
+        (next_["status"] == "ambiguous")
+        | (next_["attempts"] >= MAX_ATTEMPTS)
+        | ((next_["status"] == "failed") & ~F.coalesce(next_["last_error"].isin(*RETRYABLE), F.lit(False)))
+        | F.coalesce(next_["next_attempt_at"] > now, F.lit(False))
+    )
+    action = (
+        F.when(F.col("status").isin("sent", "skipped") | (F.col("paused") & ~F.col("explicit")), "none")
+        .when(inactive, "skip")
+        .when(F.col("any").isNull(), "missing")
+        .when(next_.isNull(), "sent")
+        .when(next_["status"] == "sending", "ambiguous")
+        .when(stuck, "none")
+        .otherwise("send")
+    )
+    return joined.select("envelope_id", action.alias("action"), F.when(action.isin("send", "ambiguous"), next_["position"]).alias("position"))

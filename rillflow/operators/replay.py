@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from rillflow.operators.dedup import similar_pairs
 from rillflow.operators.lineage import cut
 
-OUT = "item_id long, cluster_id long, method string, similarity double"
+OUT = "item_id long, cluster_id long, method string, similarity double, canonical_id long"
+#: Columns that items may leave out.
+DEFAULTS = {"score": 0, "completeness": 0, "fields": None}
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
@@ -32,50 +34,124 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFram
     return labels
 
 
+class Cluster:
+    """A cluster in a replay: its members, and the fields of the item that speaks for it."""
+
+    def __init__(self, item, place: int):
+        self.id, self.place, self.members = item.item_id, place, []
+        self.face = item
+
+    def promote(self, item) -> None:
+        """A better item speaks for the cluster: higher score, then more complete, then the smaller id."""
+        if (item.score, item.completeness, -item.item_id) > (self.face.score, self.face.completeness, -self.face.item_id):
+            self.face = item
+
+
+def _rows(frame: pd.DataFrame):
+    frame = frame.assign(tokens=frame.tokens.map(set), contacts=frame.contacts.map(set))
+    for column, value in DEFAULTS.items():
+        if column not in frame:
+            frame[column] = value
+    # Null: unknown, or the lowest of a rank.
+    frame = frame.assign(score=frame.score.fillna(0), completeness=frame.completeness.fillna(0), fields=frame.fields.where(frame.fields.notna(), None))
+    return list(frame.sort_values(["at", "item_id"]).itertuples(index=False))
+
+
+def _contacts_differ(a, b) -> bool:
+    return bool(a.contacts and b.contacts and a.contacts != b.contacts)
+
+
+def _fields_differ(a: dict | None, b: dict | None) -> bool:
+    """Whether two items name different values of one field; what one side leaves out can't differ."""
+    a, b = dict(a or {}), dict(b or {})
+    return any(a.get(k) not in (None, "") and b.get(k) not in (None, "") and a[k] != b[k] for k in a)
+
+
 def replay(rows: pd.DataFrame, window_days: int = 30, threshold: float = 90.0) -> pd.DataFrame:
     """The clusters of one component: earliest cluster by URL, else by fingerprint, else the most similar one.
 
-    A text match needs the same kind, times within the window and no conflict of
-    contacts. Ineligible items join clusters but found none (cluster_id null).
+    A text match needs the kind of the cluster's face, a member within the
+    window, and no conflict of contacts with it or of fields with the face. The
+    best eligible member is the face. Ineligible items join clusters but found
+    none; when an eligible item joins or founds a cluster, earlier items that
+    found none and have its URL or, as texts of its kind, its fingerprint come in
+    after all. Those left have no cluster (null).
     """
-    rows = rows.sort_values(["at", "item_id"])
-    clusters: list[dict] = []
-    out = []
-    for r in rows.itertuples(index=False):
-        words, contacts = set(r.tokens), set(r.contacts)
+    window = window_days * 86400
+    clusters: list[Cluster] = []
+    at_url: dict[str, Cluster] = {}  # the earliest cluster with the URL
+    with_text: dict[str, dict[int, list]] = {}  # fingerprint, place of the cluster: its members
+    rejected: dict[int, object] = {}
+    waiting: dict[tuple, list] = {}  # the rejected by URL and by fingerprint
+    out: dict[int, tuple] = {}
+    near = lambda a, b: abs((a.at - b.at).total_seconds()) <= window
+
+    def fits(cluster, member, item):
+        return cluster.face.kind == item.kind and near(member, item) and not _contacts_differ(member, item) and not _fields_differ(cluster.face.fields, item.fields)
+
+    def match(r):
+        if r.url and r.url in at_url:
+            return at_url[r.url], "exact_url", 100.0
+        if not r.tokens:
+            return None
+        for place, members in sorted(with_text.get(r.fingerprint, {}).items()):
+            if any(fits(clusters[place], m, r) for m in reversed(members)):
+                return clusters[place], "exact_text", 100.0
         best = None
         for c in clusters:
-            if r.url and any(m["url"] == r.url for m in c["items"]):
-                best = (c, "exact_url", 100.0)
-                break
+            for m in c.members:
+                least, most = sorted((len(r.tokens), len(m.tokens)))
+                if least < 5 or 100 * least < threshold * most or m.fingerprint == r.fingerprint or not fits(c, m, r):
+                    continue
+                s = 100 * len(r.tokens & m.tokens) / len(r.tokens | m.tokens)
+                if s >= threshold and (best is None or s > best[2]):
+                    best = (c, "fuzzy_text", s)
+        return best
+
+    def join(cluster, item, method, score):
+        cluster.members.append(item)
+        out[item.item_id] = (cluster.id, method, round(score, 2))
+        with_text.setdefault(item.fingerprint, {}).setdefault(cluster.place, []).append(item)
+        if item.url and (item.url not in at_url or cluster.place < at_url[item.url].place):
+            at_url[item.url] = cluster
+
+    for r in _rows(rows):
+        best = match(r)
+        if best is None and not r.eligible:
+            rejected[r.item_id] = r
+            for key in (("url", r.url), ("text", r.fingerprint)):
+                if key[1]:
+                    waiting.setdefault(key, []).append(r)
+            continue
         if best is None:
-            for c in clusters:
-                near = [m for m in c["items"] if abs((m["at"] - r.at).total_seconds()) <= window_days * 86400 and m["kind"] == r.kind and not (contacts and m["contacts"] and contacts != m["contacts"])]
-                if words and any(m["fingerprint"] == r.fingerprint for m in near):
-                    best = (c, "exact_text", 100.0)
-                    break
-            if best is None:
-                for c in clusters:
-                    for m in c["items"]:
-                        if abs((m["at"] - r.at).total_seconds()) > window_days * 86400 or m["kind"] != r.kind or (contacts and m["contacts"] and contacts != m["contacts"]) or min(len(words), len(m["tokens"])) < 5:
-                            continue
-                        s = 100 * len(words & m["tokens"]) / len(words | m["tokens"])
-                        if s >= threshold and (best is None or s > best[2]):
-                            best = (c, "fuzzy_text", s)
-        item = {"url": r.url, "at": r.at, "kind": r.kind, "contacts": contacts, "fingerprint": r.fingerprint, "tokens": words}
-        if best:
-            best[0]["items"].append(item)
-            out.append((r.item_id, best[0]["id"], best[1], round(best[2], 2)))
-        elif r.eligible:
-            clusters.append({"id": r.item_id, "items": [item]})
-            out.append((r.item_id, r.item_id, "exact_id", 100.0))
-        else:
-            out.append((r.item_id, None, None, None))
-    return pd.DataFrame(out, columns=["item_id", "cluster_id", "method", "similarity"]).astype({"cluster_id": "Int64"})
+            clusters.append(Cluster(r, len(clusters)))
+            best = (clusters[-1], "exact_id", 100.0)
+        join(best[0], r, *best[1:])
+        if not r.eligible:
+            continue
+        best[0].promote(r)
+        found = {e.item_id: e for key in (("url", r.url), ("text", r.fingerprint)) for e in waiting.get(key, ()) if e.item_id in rejected}
+        for e in sorted(found.values(), key=lambda e: e.item_id):
+            same_url = bool(r.url) and e.url == r.url
+            same_text = e.fingerprint == r.fingerprint and near(e, r) and e.kind == r.kind and not _contacts_differ(e, r) and not _fields_differ(e.fields, r.fields)
+            if same_url or same_text:
+                del rejected[e.item_id]
+                join(best[0], e, "exact_url" if same_url else "exact_text", 100.0)
+        # Those taken in wait no longer; the others' lists stay short.
+        for key in (("url", r.url), ("text", r.fingerprint)):
+            if key in waiting:
+                waiting[key] = [e for e in waiting[key] if e.item_id in rejected]
+    face = {c.id: c.face.item_id for c in clusters}
+    listed = [(i, *out[i], face[out[i][0]]) if i in out else (i, None, None, None, None) for i in [*out, *rejected]]
+    return pd.DataFrame(listed, columns=["item_id", "cluster_id", "method", "similarity", "canonical_id"]).astype({"cluster_id": "Int64", "canonical_id": "Int64"})
 
 
 def cluster_items(items: DataFrame, window_days: int = 30, threshold: int = 90) -> DataFrame:
-    """Clusters of `items` (item_id, at, url, kind, fingerprint, tokens, contacts, eligible)."""
+    """Clusters of `items` (item_id, at, url, kind, fingerprint, tokens, contacts, eligible, and maybe score, completeness, fields).
+
+    `fields` is a map of the names and values that must not differ. A component is
+    replayed in one task, as each decision needs those before it.
+    """
     by_key = lambda c: items.where(F.col(c).isNotNull() & (F.col(c) != "")).join(items.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("item_id").alias("a")), c).select("a", F.col("item_id").alias("b")).where("a <> b")
     similar = similar_pairs(items.select("item_id", "tokens"), "item_id", threshold).select("a", "b")
     edges = by_key("url").union(by_key("fingerprint")).union(similar)

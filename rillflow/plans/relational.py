@@ -116,8 +116,8 @@ SELECT lead, actor, choice FROM ranked WHERE k = 1""",
     "feedback_ledger": """
 WITH """ + CALLBACKS + """, replayed AS (SELECT * FROM callbacks UNION ALL SELECT * FROM callbacks WHERE callback_id % 5 = 0),
 once AS (SELECT DISTINCT callback_id, actor, lead, choice FROM replayed),
-seen AS (SELECT *, lag(choice) OVER (PARTITION BY lead, actor ORDER BY callback_id) AS before FROM once)
-SELECT callback_id, actor, lead, choice FROM seen WHERE before IS NULL OR before <> choice""",
+seen AS (SELECT *, lag(choice) OVER (PARTITION BY lead, actor ORDER BY callback_id) AS before, lag(choice) OVER (PARTITION BY lead ORDER BY callback_id) AS state FROM once)
+SELECT callback_id, actor, lead, choice FROM seen WHERE before IS NULL OR before <> choice OR state <> choice""",
     "feedback_lead_status": """
 WITH """ + CALLBACKS + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY lead ORDER BY callback_id DESC) AS k FROM callbacks)
 SELECT lead, CASE choice WHEN 'not_relevant' THEN 'rejected' ELSE choice END AS status FROM ranked WHERE k = 1""",

@@ -64,7 +64,7 @@ def near_duplicate_pairs(spark, sf_dir):
 
 def dedup_band_join(spark, sf_dir):
     items = table(spark, sf_dir, "documents").select("doc_id", "source", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("at"))
-    return band_pairs(items.where("doc_id % 5 = 0"), "doc_id", "source", "at", 1).groupBy("a").agg(F.count(F.lit(1)).alias("partners"), F.min("b").alias("nearest"))
+    return band_pairs(items, "doc_id", "source", "at", 1).groupBy("a").agg(F.count(F.lit(1)).alias("partners"), F.min("b").alias("nearest"))
 
 
 def classified(spark, sf_dir):
@@ -144,6 +144,9 @@ def cluster_replay(spark, sf_dir):
         T.tokens(F.col("words")).alias("tokens"),
         T.contact_signature(F.col("text"), PHONE).alias("contacts"),
         (F.col("doc_id") % 9 != 0).alias("eligible"),
+        (F.col("doc_id") * 37 % 101).alias("score"),
+        F.size(F.array_distinct(R.hits(F.col("text")))).alias("completeness"),
+        F.create_map(F.lit("source"), F.col("source")).alias("fields"),
     )
     return cluster_items(items)
 
@@ -196,7 +199,7 @@ words AS (SELECT doc_id, n, unnest(t) AS w FROM usable),
 shared AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS nx, y.n AS ny, count(*) AS shared FROM words x JOIN words y ON x.w = y.w AND x.doc_id < y.doc_id AND x.n >= 0.9 * y.n AND y.n >= 0.9 * x.n GROUP BY 1, 2, 3, 4)
 SELECT a, b, shared, nx + ny - shared AS total FROM shared WHERE 100 * shared >= 90 * (nx + ny - shared)""",
     "dedup_band_join": """
-WITH i AS (SELECT doc_id, source, doc_id * 60 AS s FROM documents WHERE doc_id % 5 = 0)
+WITH i AS (SELECT doc_id, source, doc_id * 60 AS s FROM documents)
 SELECT x.doc_id AS a, count(*) AS partners, min(y.doc_id) AS nearest FROM i x JOIN i y ON x.source = y.source AND x.doc_id < y.doc_id AND y.s - x.s <= 86400 GROUP BY x.doc_id""",
     "classify_rules": f"SELECT doc_id, {INTENT} AS intent, {SURE} AS confidence, {TOPIC} AS subject, {MATCHED} AS matched FROM documents",
     "extract_fields": f"SELECT doc_id, len({EMAILS}) AS emails, len({IPS}) AS ips, CASE WHEN len(list_distinct({IPS})) = 1 THEN {IPS}[1] END AS only_ip FROM documents",
@@ -206,6 +209,13 @@ SELECT doc_id, CAST(greatest(0, least(100, s)) AS INT) AS score, reasons FROM (
          array_to_string(list_filter([CASE WHEN i = 'contact' THEN 'contact' WHEN i = 'license' THEN 'license' END, CASE WHEN n_chars > 2000 THEN 'long' END, CASE WHEN t = 'table' THEN 'table' END, CASE WHEN doc_id % 40 = 0 THEN 'fresh' END], lambda x: x IS NOT NULL), '|') AS reasons
   FROM (SELECT doc_id, n_chars, {INTENT} AS i, {TOPIC} AS t FROM documents))""",
     "completeness_rank": "SELECT doc_id, " + f"CAST(({INTENT} <> 'uncertain') AS BIGINT) + CAST(({TOPIC} <> 'unknown') AS BIGINT) + CAST((n_chars > 500) AS BIGINT) + CAST((lang = 'en') AS BIGINT) + " + " + ".join(f"CAST({h} AS BIGINT)" for h in HIT.values()) + " AS completeness FROM documents",
+    "lock_keys": """
+SELECT source, CAST(CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE CAST(u AS HUGEINT) END AS BIGINT) AS lock_key
+FROM (SELECT DISTINCT source, CAST('0x' || substr(sha256(source), 1, 16) AS UBIGINT) AS u FROM documents)""",
+    "search_decode": f"""
+SELECT sha256(url) AS external_id, url, evidence FROM (SELECT {PUBLIC} AS url,
+  substr(regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || regexp_extract(html, '<p>([^<]*)', 1), 1, 4096) AS evidence FROM pages) WHERE url IS NOT NULL AND trim(evidence) <> ''""",
+    "wall_decode": "SELECT source || '-' || CAST(CAST(floor(doc_id / 500) AS BIGINT) AS VARCHAR) AS window_id, doc_id AS post_id, doc_id * 60 AS date, coalesce(text, '') AS text, false AS pinned FROM documents",
     "utf16_units": "SELECT doc_id, length(text) AS units FROM documents",
     "json_metadata": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "snippet_evidence": "SELECT page_id, substr(regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || regexp_extract(html, '<p>([^<]*)', 1), 1, 4096) AS evidence FROM pages",
