@@ -6,8 +6,10 @@ folds see one envelope's rows at a time, which its size bounds.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions import presentation as P
@@ -121,3 +123,31 @@ def claim(envelopes: DataFrame, chunks: DataFrame, now: Column) -> DataFrame:
         .otherwise("send")
     )
     return joined.select("envelope_id", action.alias("action"), F.when(action.isin("send", "ambiguous"), next_["position"]).alias("position"))
+
+
+@dataclass(frozen=True)
+class Recipient:
+    """Who is to get a digest, and of which period."""
+
+    recipient: str
+    period: str
+    paused: bool = False
+    explicit: bool = False
+
+
+def reserve_digest(leads: DataFrame, sent: DataFrame, envelopes: DataFrame, markers: DataFrame, recipients: list[Recipient], threshold: int = 55) -> DataFrame:
+    """(recipient, period, lead_id, rank): what each recipient's new digest holds, best first.
+
+    None is made for a pause that isn't overruled, or a period that has an
+    envelope (`envelopes`: recipient, period) or a marker of an expired one
+    (`markers`: recipient, period). A lead (lead_id, score, status, at) enters if
+    it is active, reaches the threshold, and was in no digest of that recipient
+    (`sent`: recipient, lead_id). Recipients are stated by the caller, so a lead
+    is written once for each of them.
+    """
+    named = [F.struct(F.lit(r.recipient).alias("recipient"), F.lit(r.period).alias("period")) for r in recipients if r.explicit or not r.paused]
+    usable = leads.where((F.col("score") >= threshold) & F.col("status").isin(*ACTIVE))
+    offered = usable.withColumn("_to", F.explode(F.array(*named) if named else F.array().cast("array<struct<recipient:string,period:string>>"))).select("*", "_to.*")
+    new = offered.join(envelopes, ["recipient", "period"], "left_anti").join(markers, ["recipient", "period"], "left_anti").join(sent, ["recipient", "lead_id"], "left_anti")
+    best = Window.partitionBy("recipient", "period").orderBy(F.desc("score"), F.desc("at"), "lead_id")
+    return new.select("recipient", "period", "lead_id", F.row_number().over(best).alias("rank"))

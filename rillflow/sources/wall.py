@@ -9,15 +9,18 @@ POST = "struct<id:bigint,owner_id:bigint,date:bigint,text:string,is_pinned:int,p
 SCHEMA = f"struct<response:struct<count:int,items:array<{POST}>>,error:struct<error_code:int>>"
 
 
-def decode_windows(windows: DataFrame) -> DataFrame:
+def decode_windows(windows: DataFrame, limit: int | None = None) -> DataFrame:
     """(window_id, post_id, date, text, pinned) of the posts of sound windows.
 
     `windows`: window_id, community_id, payload. A window is sound if it has a
     response and no error, one owner, distinct ids, one pinned post at most, and
-    falling ids of the others. A post's text is its own and its distinct
+    falling ids of the others, and no fewer posts than it counts, up to `limit`
+    (null: a window may be shorter, but not longer, than its count). A post's text is its own and its distinct
     originals', a blank line between.
     """
     decoded = windows.withColumn("p", F.from_json("payload", SCHEMA)).where("p.response IS NOT NULL AND p.error IS NULL")
+    held, counted = F.size("p.response.items"), F.col("p.response.count")
+    decoded = decoded.where(held <= counted if limit is None else held == F.least(counted, F.lit(limit)))
     posts = decoded.select("window_id", "community_id", F.posexplode("p.response.items").alias("pos", "post"))
     pinned = F.coalesce(F.col("post.is_pinned"), F.lit(0)) == 1
     order = Window.partitionBy("window_id", "pinned").orderBy("pos")
