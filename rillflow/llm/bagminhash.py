@@ -189,7 +189,7 @@ def near_duplicates(
     nodes are first held against the smallest; then, where a bucket still holds
     several classes, its nodes are compared in blocks of `block` by sketch. Pairs
     of different classes are verified in two rounds: the likeliest partners of
-    each node, then all that could reach the threshold. So large groups cost
+    each node, then all whose exact counts by cell let them reach the threshold. So large groups cost
     about their size, and no link between different classes is lost to a limit.
     """
     base = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -212,8 +212,8 @@ def near_duplicates(
     edges = scratch.write(verify_pairs(tested, texts, width, threshold).union(same.join(ends, "doc_id").select("a", F.col("node").alias("b"))), narrow=True)
     component = connected_components(edges, scratch)
     m = bands * rows
-    # A pair at the threshold agrees in fewer components than the last limit with a probability under 4e-5.
-    limits = [(threshold * m, 2), (threshold * m - 4 * np.sqrt(threshold * (1 - threshold) * m), None)]
+    # The last round has no limit of the sketch: a pair that shares a bucket is left out by exact bounds only.
+    limits = [(threshold * m, 2), (0, None)]
     for least, ranks in limits:
         pairs = scratch.write(_rest(members, nodes, component, threshold, bands, rows, block, least, ranks).join(tested, ["a", "b"], "left_anti"), narrow=True)
         if pairs.limit(1).count():

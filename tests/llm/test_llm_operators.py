@@ -109,6 +109,20 @@ def test_near_duplicates_by_brute_force(spark, odd):
     assert got == {i: root(i) for i in parent}
 
 
+def test_no_link_in_a_bucket_is_lost_to_the_sketch(spark, monkeypatch):
+    from rillflow.llm import bagminhash
+
+    real = bagminhash.sign_documents
+    # All share the bucket of band 0 with an unlinked leader, and the sketches agree in 20 of 150 components only.
+    keys = F.expr("transform(sequence(0, 29), b -> IF(b = 0, 0L, doc_id * 100 + b))")
+    sketch = F.expr("unhex(concat(repeat('00', 40), repeat(lpad(hex(doc_id), 2, '0'), 260), hex(substring(sketch, 301))))")
+    monkeypatch.setattr(bagminhash, "sign_documents", lambda *a: real(*a).withColumn("keys", keys).withColumn("sketch", sketch))
+    copy = words(60)
+    rows = [(1, words(60)), (2, copy), (3, copy + " end"), (4, words(60))]
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
 def test_signatures_are_unbiased():
     rng, errors = np.random.default_rng(0), []
     for t in range(60):
