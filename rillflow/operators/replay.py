@@ -19,19 +19,33 @@ OUT = "item_id long, cluster_id long, method string, similarity double, canonica
 DEFAULTS = {"score": 0, "completeness": 0, "fields": None}
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, component) by smallest labels; each round is a checkpoint."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("node", F.col("node").alias("component"))
-    both = cut(both)
+def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, component) by smallest labels, however long the chains; each round is a checkpoint.
+
+    Alternating large-star and small-star rounds (Kiveris et al., 2014) link each
+    node's neighbours to the smallest node it sees until no link changes, which
+    takes about the logarithm of a chain's length. Raises if `rounds` aren't enough.
+    """
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    state = _links(now)
     for _ in range(rounds):
-        seen = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("component").alias("m"))
-        after = labels.join(seen, labels["node"] == seen["b"], "left").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved"))
-        after = cut(after)
-        labels = after.select("node", "component")
-        if not after.where("moved").limit(1).count():
+        both = now.select("v", "u").union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
+        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        now = cut(small.union(least.select("v", F.col("m").alias("u"))).distinct())
+        before, state = state, _links(now)
+        if state == before:
             break
-    return labels
+    else:
+        raise RuntimeError("components did not settle")
+    return nodes.select("node").join(now.select(F.col("v").alias("node"), "u"), "node", "left").select("node", F.coalesce("u", "node").alias("component"))
+
+
+def _links(links: DataFrame):
+    """The number of links and the sum of their 64-bit hashes: equal for equal sets of links."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
 class Cluster:

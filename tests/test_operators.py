@@ -6,11 +6,12 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rillflow import registry
 from rillflow.operators import delivery
 from rillflow.operators.dedup import similar_pairs
-from rillflow.operators.replay import cluster_items, replay
+from rillflow.operators.replay import cluster_items, components, replay
 from rillflow.sources.wall import decode_windows
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +65,15 @@ def test_replay_by_components_is_the_replay_of_all(spark):
     assert got == {r.item_id: None if r.cluster_id is pd.NA else r.cluster_id for r in whole.itertuples()}
 
 
+def test_a_long_chain_is_one_component(spark):
+    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    nodes = spark.range(203).select(F.col("id").alias("node"))
+    got = {r.node: r.component for r in components(edges, nodes).collect()}
+    assert got == {n: 0 if n <= 200 else n for n in range(203)}
+    with pytest.raises(RuntimeError):
+        components(edges, nodes, rounds=1)
+
+
 def test_chunks_and_delivery():
     cards = pd.DataFrame({"conv_id": [1, 1, 1], "turn": [0, 1, 2], "text": ["a" * 6, "b" * 5, None]})
     assert delivery.pack_cards(cards, 10).chunk.tolist() == [0, 1, 1]
