@@ -27,6 +27,10 @@ NOT_TEXT = frozenset("head nav header footer aside form menu dialog fieldset".sp
 BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer form header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies response responses share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget widgets".split()
 )
+#: Parts of a class name that speak of a page's state, tags that no name makes bad, tags without an end.
+STATES = frozenset("has have no not with without is js show hide hides open closed enabled disabled".split())
+WRAPPERS = frozenset("html body article main".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GOOD_WORDS = frozenset("article body content entry main post prose story text".split())
 
 TOKEN = re.compile(
@@ -39,6 +43,15 @@ CLASSES = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", r
 WORD = re.compile(r"[a-z]+")
 
 
+def bad_names(attributes: str) -> bool:
+    """Whether a class name or id is a bad word, or begins or ends with one and doesn't speak of a state."""
+    for name in " ".join("".join(m) for m in NAMES.findall(attributes)).lower().split():
+        parts = WORD.findall(name)
+        if parts and not STATES.intersection(parts) and (parts[0] in BAD_WORDS or parts[-1] in BAD_WORDS):
+            return True
+    return False
+
+
 class Container:
     """An element that holds text: its path, its parent's index, whether it is boilerplate, and the characters right in it."""
 
@@ -51,7 +64,7 @@ class Container:
         own = ".".join([tag, *filter(None, names)])
         self.path = f"{above.path}>{own}" if above else own
         self.parent, self.tag = parent, tag
-        self.bad = bool(above and above.bad) or tag in NOT_TEXT or bool(words & BAD_WORDS and not (words & {"article", "main"}))
+        self.bad = bool(above and above.bad) or tag in NOT_TEXT or bool(attributes and tag not in WRAPPERS and bad_names(attributes))
         self.good = tag in ("article", "main") or bool(words & GOOD_WORDS)
         self.chars = self.links = 0
 
@@ -86,10 +99,23 @@ def parse(page: str) -> tuple[list[Container], list[tuple[int, str]]]:
         tag, closing = m[3].lower(), m[2]
         if tag == "a":
             link = 0 if closing else 1
+        top = found[stack[-1]].tag
         if tag in INLINE:
+            # Other elements are held only if their names make them boilerplate.
+            if closing and top == tag or not closing and tag not in VOID and (top == tag or m[4] and bad_names(m[4])):
+                flush()
+                if closing:
+                    stack.pop()
+                else:
+                    found.append(Container(tag, m[4], stack[-1], found[stack[-1]]))
+                    stack.append(len(found) - 1)
             continue
         flush()
-        if tag not in CONTAINERS:
+        # Those without an end stop at the next block, items at the next item.
+        while tag not in VOID and (top in INLINE or top == "p") or not closing and top == tag and tag not in CONTAINERS:
+            stack.pop()
+            top = found[stack[-1]].tag
+        if tag not in CONTAINERS and (tag in VOID or not closing and not (m[4] and bad_names(m[4]))):
             continue
         link = 0
         if not closing:
@@ -98,9 +124,12 @@ def parse(page: str) -> tuple[list[Container], list[tuple[int, str]]]:
                 stack.append(len(found) - 1)
             continue
         for depth in range(len(stack) - 1, 0, -1):
-            if found[stack[depth]].tag == tag:
+            held = found[stack[depth]].tag
+            if held == tag:
                 del stack[depth:]
                 break
+            if tag not in CONTAINERS and held in ("ul", "ol", "dl", "table"):
+                break
     add(page[at:])
     flush()
     return found, blocks

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rillflow.llm.ann import nearest
 from rillflow.llm.arrow_tokens import token_store
 from rillflow.llm.bagminhash import LOW48, near_duplicates, signatures
-from rillflow.llm.html_consensus import extract_articles
+from rillflow.llm.html_consensus import article, extract_articles
 from rillflow.llm.line_runs import LineRuns, dedup_lines
 from rillflow.llm.packing import pack_documents
 from rillflow.llm.queries import QUERIES, SQL, URL_RULES, tokenizer_file
@@ -218,6 +218,16 @@ def test_articles(spark):
     assert sorted(got) == sorted([(1, text, len(text)), (2, "", 0), (3, "", 0), (4, "plain < text", 12), (1, text, len(text)), (5, "", 0)])
 
 
+def test_only_names_of_boilerplate_are_boilerplate():
+    for wrapper in ('<body class="has-sidebar">%s</body>', '<body class="no-cookie">%s</body>', '<article class="post has-comments">%s</article>', '<div id="content" class="with-ads">%s</div>'):
+        assert article(wrapper % "<p>Text</p>", []) == "Text"
+    for part in ("div class=article-comments", "div class=main-nav", "div id=main-sidebar", "p class=notice", 'li class="comment"', "span class=ad"):
+        tag = part.split()[0]
+        assert article(f"<main><p>One</p><{part}>drop this</{tag}><p>Two</p></main>", []) == "One Two"
+    assert article("<main><ul><li class=comment>drop<ul><li>drop</li></ul>drop</li><li>One</li></ul><p>Two<span class=ad>a<span>b</span>c</span></p></main>", []) == "One Two"
+    assert article("<main><p class=notice>drop<p>One<ul><li class=comment>drop<li>Two</ul></main>", []) == "One Two"
+
+
 def test_swapped_terms_move_scores_less():
     # Feature 0: insult, 1: identity term of the toxic texts, 2: its counterpart.
     row = np.array([0, 0, 1, 1, 2, 3, 3, 4])
