@@ -3,8 +3,8 @@
 Each page's containers are scored by the text right below them. A container is
 named by its path of tags and classes without digits; the pages of a host vote
 for paths with their scores. A page's text is then taken from the containers
-under the first of its host's winning paths that it has, without the parts of
-them that are menus, headers, footers, adverts, forms, comments and the like.
+under the first of its host's winning paths that holds enough of it, or a parent
+of them that holds the rest as well, without the parts that are menus, headers, footers, adverts, forms, comments and the like.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ BAD_WORDS = frozenset(
 STATES = frozenset("has have no not with without is js show hide hides open closed enabled disabled".split())
 WRAPPERS = frozenset("html body article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Parts of an article that are never its root; the share of a page's text that a root or a host path must hold.
+PARTS = frozenset("ul ol dl table tbody tr td th section figure center details".split())
+WHOLE, ENOUGH = 0.8, 0.5
 GOOD_WORDS = frozenset("article body content entry main post prose story text".split())
 
 TOKEN = re.compile(
@@ -142,9 +145,10 @@ def votes(containers: list[Container]) -> dict[str, float]:
         if c.bad:
             continue
         own, weight, k = max(0, c.chars - 2 * c.links), 1.0, i
-        while k >= 0 and own:  # what is above a container gets half of it, a quarter, and so on
-            score[k] += own * weight
-            weight /= 2
+        while k >= 0 and own:  # what is above a container gets half of it, a quarter, and so on; parts give all of theirs
+            if containers[k].tag not in PARTS:
+                score[k] += own * weight
+                weight /= 2
             k = containers[k].parent
     out: dict[str, float] = {}
     for c, s in zip(containers, score):
@@ -155,16 +159,42 @@ def votes(containers: list[Container]) -> dict[str, float]:
 
 
 def article(page: str, paths: list[str]) -> str:
-    """The text below the first of `paths` that the page has, or else below its own best container."""
+    """The text below the first of `paths` that holds enough of the page's text, or else below its own best container.
+
+    From there it goes up to the outermost article, main or content above, and on
+    to the nearest common parent that holds WHOLE of the text outside
+    boilerplate, links apart.
+    """
     containers, blocks = parse(page)
-    have = {c.path for c in containers if not c.bad}
-    path = next((p for p in paths if p in have), None)
+    held = [0 if c.bad else max(0, c.chars - 2 * c.links) for c in containers]
+    for i in range(len(containers) - 1, 0, -1):  # parents come first
+        held[containers[i].parent] += held[i]
+
+    def text_of(roots: set[int]) -> int:
+        return sum(held[i] for i in roots if not roots.intersection(above(i)))
+
+    def above(i: int) -> list[int]:
+        out = []
+        while (i := containers[i].parent) >= 0:
+            out.append(i)
+        return out
+
+    at: dict[str, set[int]] = {}
+    for i, c in enumerate(containers):
+        if not c.bad:
+            at.setdefault(c.path, set()).add(i)
+    path = next((p for p in paths if p in at and text_of(at[p]) >= ENOUGH * held[0]), None)
     if path is None:
         own = votes(containers)
         path = max(sorted(own), key=own.get) if own else None
+    roots = at.get(path, set())
+    good = lambda i: containers[i].good and containers[i].tag not in ("page", "html", "body")
+    roots = {next((k for k in reversed(above(i)) if good(k)), i) for i in roots}
+    while text_of(roots) < WHOLE * held[0] and roots != {0}:
+        roots = {max(containers[i].parent, 0) for i in roots}
     inside = [False] * len(containers)
     for i, c in enumerate(containers):
-        inside[i] = not c.bad and (c.path == path or (c.parent >= 0 and inside[c.parent]))
+        inside[i] = not c.bad and (i in roots or (c.parent >= 0 and inside[c.parent]))
     return " ".join(text for i, text in blocks if inside[i])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rillflow.llm.ann import nearest
 from rillflow.llm.arrow_tokens import token_store
 from rillflow.llm.bagminhash import LOW48, near_duplicates, signatures
-from rillflow.llm.html_consensus import article, extract_articles
+from rillflow.llm.html_consensus import article, extract_articles, parse, votes
 from rillflow.llm.line_runs import LineRuns, dedup_lines
 from rillflow.llm.packing import pack_documents
 from rillflow.llm.queries import QUERIES, SQL, URL_RULES, tokenizer_file
@@ -218,6 +218,19 @@ def test_articles(spark):
     assert sorted(got) == sorted([(1, text, len(text)), (2, "", 0), (3, "", 0), (4, "plain < text", 12), (1, text, len(text)), (5, "", 0)])
 
 
+def test_articles_are_whole():
+    long, short = "long text " * 60, "lead"
+    both = " ".join(f"{short} {long}".split())
+    for page in (f"<article><p>{short}</p><section><p>{long}</p></section></article>", f"<article><p>{short}</p><table><tr><td>{long}</td></tr></table></article>", f"<div><p>{short}</p><ul><li>{long}</li></ul></div>"):
+        assert article(f"<body>{page}</body>", []) == both
+        path = max(sorted(own := votes(parse(page)[0])), key=own.get)
+        assert path == "page>" + page[1 : page.index(">")]
+    parts = f"<div class=x>{'a ' * 300}</div><div class=y>{'b ' * 100}</div><div class=z>{'c ' * 100}</div>"
+    assert len(article(f"<div>{parts}</div>", ["page>div>div.x"]).split()) == 500
+    # A host path with a small share of the page gives way to the page's own best.
+    assert article(f"<div><div class=x>few</div></div><main>{long}</main>", ["page>div>div.x"]) == long.strip()
+
+
 def test_only_names_of_boilerplate_are_boilerplate():
     for wrapper in ('<body class="has-sidebar">%s</body>', '<body class="no-cookie">%s</body>', '<article class="post has-comments">%s</article>', '<div id="content" class="with-ads">%s</div>'):
         assert article(wrapper % "<p>Text</p>", []) == "Text"
