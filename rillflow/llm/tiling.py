@@ -1,10 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts are cut into words of letters and digits, A-Z lower-cased. Documents and
-benchmark items that share a seed (`min_match` words) are candidates. The tiling
+benchmark items that share a seed (`min_match` words) are candidates; their tiles may be shorter. The tiling
 of a pair marks its longest common run of words, then the longest one among
 what is left, and so on, each word at most once, so it finds a passage's parts
-in whatever order they stand. Common runs are found by rolling hashes of seed
+in whatever order they stand. Common runs are found by rolling hashes of the shortest
 length and joined along diagonals. A document is contaminated by an item if the
 tiles cover enough of the item's words.
 """
@@ -64,13 +64,22 @@ def tile(doc_at: np.ndarray, item_at: np.ndarray, seed: int) -> list[tuple[int,
 class Items:
     """Benchmark items with the places of their seeds, sorted by hash."""
 
-    def __init__(self, ids: list[int], texts: list[str], seed: int):
-        self.seed, self.hasher = seed, WordHasher(23, lower=True)
+    def __init__(self, ids: list[int], texts: list[str], seed: int, shortest: int):
+        self.seed, self.shortest, self.hasher = seed, min(seed, shortest), WordHasher(23, lower=True)
         data, offsets = string_buffers(pa.array(texts, pa.string()))
         words = Words(data, offsets, PUNCTUATION)
         self.ids, self.counts = np.asarray(ids, np.int64), words.counts
-        value = self.hasher.windows(self.hasher.words(data, words.starts, words.ends), seed)
+        each = self.hasher.words(data, words.starts, words.ends)
+        value = self.hasher.windows(each, seed)
         position, item = words.position(), words.doc_of_word()
+        self.words = [each[words.first[i] : words.first[i + 1]] for i in range(len(ids))]
+        # Items under a seed count as a whole: their hash and number, by length.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(self.shortest, seed):
+            if len(own := np.flatnonzero(words.counts == n)):
+                whole = self.hasher.windows(each, n)[words.first[own]]
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], own[order]
         at = np.flatnonzero(position + seed <= words.counts[item])
         order = at[np.argsort(value[at], kind="stable")]
         self.value, self.item, self.place = value[order], item[order], position[order]
@@ -81,7 +90,10 @@ class Items:
         known = np.asarray(doc_ids.is_valid())
         for a, b in chunks(offsets):
             words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PUNCTUATION)
-            value = self.hasher.windows(self.hasher.words(words.data, words.starts, words.ends), self.seed)
+            each = self.hasher.words(words.data, words.starts, words.ends)
+            small = self.hasher.windows(each, self.shortest)
+            yield from self._whole(doc_ids, a, words, each)
+            value = self.hasher.windows(each, self.seed)
             low = np.searchsorted(self.value, value)
             hit = np.flatnonzero(self.value[np.minimum(low, len(self.value) - 1)] == value) if len(self.value) else low[:0]
             doc, position = words.doc_of_word(), words.position()
@@ -91,36 +103,58 @@ class Items:
             lens = np.searchsorted(self.value, value[hit], "right") - low[hit]
             seeds = expand(low[hit], lens)
             hit = np.repeat(hit, lens)
-            pair = doc[hit] * len(self.ids) + self.item[seeds]
-            order = np.argsort(pair, kind="stable")
-            pair, hit, seeds = pair[order], hit[order], seeds[order]
-            first = np.flatnonzero(np.diff(pair, prepend=-1))
-            for x, y in zip(first, np.append(first[1:], len(pair))):
-                i, item = divmod(int(pair[x]), len(self.ids))
+            # Candidates share a seed; their tiles may be as short as `shortest`.
+            for one in np.unique(doc[hit] * len(self.ids) + self.item[seeds]):
+                i, item = divmod(int(one), len(self.ids))
                 if not known[a + i]:
                     continue
-                place, n = self.place[seeds[x:y]], int(self.counts[item])
-                reach = np.zeros(n + self.seed, bool)
-                for k in range(self.seed):
+                n = int(self.counts[item])
+                x = words.first[i]
+                at, place = self._common(small[x : x + words.counts[i] - self.shortest + 1], item)
+                reach = np.zeros(n + self.shortest, bool)
+                for k in range(self.shortest):
                     reach[place + k] = True
-                if reach.sum() < coverage * n:
-                    continue  # no tiling covers more than all seeds do
-                tiles = tile(position[hit[x:y]], place, self.seed)
+                if reach.sum() < coverage * n - 1e-9:
+                    continue  # no tiling covers more than all common runs do
+                tiles = tile(at, place, self.shortest)
                 covered = sum(t[0] for t in tiles)
                 if covered >= coverage * n - 1e-9:
                     yield doc_ids[a + i].as_py(), int(self.ids[item]), covered, n, len(tiles), tiles[0][0], covered / n
 
+    def _common(self, small: np.ndarray, item: int):
+        """The places (document, item) of equal runs of `shortest` words."""
+        own = self.hasher.windows(self.words[item], self.shortest)[: max(0, int(self.counts[item]) - self.shortest + 1)]
+        order = np.argsort(own, kind="stable")
+        low = np.searchsorted(own[order], small)
+        lens = np.searchsorted(own[order], small, "right") - low
+        return np.repeat(np.arange(len(small)), lens), order[expand(low, lens)]
+
+    def _whole(self, doc_ids: pa.Array, a: int, words: Words, each: np.ndarray):
+        """Matches of items under a seed: all their words in a row."""
+        doc, position = words.doc_of_word(), words.position()
+        for n, (whole, own) in self.short.items():
+            value = self.hasher.windows(each, n)
+            at = np.flatnonzero(position + n <= words.counts[doc])
+            at = at[np.isin(value[at], whole)]
+            low = np.searchsorted(whole, value[at])
+            lens = np.searchsorted(whole, value[at], "right") - low
+            for one in np.unique(np.repeat(doc[at], lens) * len(self.ids) + own[expand(low, lens)]):
+                i, item = divmod(int(one), len(self.ids))
+                if doc_ids[a + i].is_valid:
+                    yield doc_ids[a + i].as_py(), int(self.ids[item]), n, n, 1, n, 1.0
+
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), MATCHES.types)], schema=MATCHES)
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, min_match: int = 5, max_bytes: int = 16 << 20) -> DataFrame:
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, min_match: int = 5, max_bytes: int = 16 << 20, min_tile: int = 2) -> DataFrame:
     """Pairs of a document and a benchmark item whose words the tiles cover by `coverage` or more.
 
     Takes doc_id and text of `docs`, item_id and text of `benchmark`; further
-    columns are ignored. Texts that are null or have fewer than `min_match`
-    words match nothing; rows with a null id are left out. A pair is returned
+    columns are ignored. Candidates share a run of `min_match` words, and tiles
+    have `min_tile` words at least. An item of fewer than `min_match` words matches
+    as a whole; texts that are null or under `min_tile` words match nothing; rows with a null id are left out. A pair is returned
     once, with its best coverage, however often its rows are repeated. Empty
     tables give no pair. A benchmark of up to `max_bytes` of text goes to every
     executor; a larger one meets the documents in a join on seeds.
@@ -133,39 +167,44 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0
         ids, texts = [r[0] for r in rows], [r[1] for r in rows]
 
         def match(batches):
-            known = Items(ids, texts, min_match)
+            known = Items(ids, texts, min_match, min_tile)
             for batch in batches:
                 if found := list(known.matches(batch.column(0), batch.column(1), coverage)):
                     yield _batch(found)
 
         found = base.mapInArrow(match, MATCHES_SQL)
     else:
-        found = _joined(base, items, coverage, min_match)
+        found = _joined(base, items, coverage, min_match, min_tile)
     best = F.max(F.struct("covered", "item_words", F.negative("tiles").alias("t"), "longest", "coverage")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.covered", "best.item_words", F.negative("best.t").alias("tiles"), "best.longest", "best.coverage"
     )
 
 
-def _joined(base: DataFrame, items: DataFrame, coverage: float, seed: int) -> DataFrame:
+def _joined(base: DataFrame, items: DataFrame, coverage: float, seed: int, shortest: int) -> DataFrame:
     """Matches by way of a join on seeds; a pair then travels with both its texts."""
 
-    def seeds(batches):
+    def seeds(batches, whole=False):
         hasher = WordHasher(23, lower=True)
         for batch in batches:
             data, offsets = string_buffers(batch.column(1))
             for a, b in chunks(offsets):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PUNCTUATION)
-                value = hasher.windows(hasher.words(words.data, words.starts, words.ends), seed)
-                doc = words.doc_of_word()
-                at = np.flatnonzero(words.position() + seed <= words.counts[doc])
-                key = np.unique(np.stack([doc[at].astype(U64), value[at]], 1), axis=0)
+                each = hasher.words(words.data, words.starts, words.ends)
+                doc, position = words.doc_of_word(), words.position()
+                keys = []
+                for n in range(shortest, seed + 1):  # shorter runs are for items that are as short
+                    at = np.flatnonzero(position + n <= words.counts[doc])
+                    if n < seed and whole:
+                        at = at[words.counts[doc[at]] == n]
+                    keys.append(np.stack([doc[at].astype(U64), hasher.windows(each, n)[at]], 1))
+                key = np.unique(np.concatenate(keys), axis=0)
                 own = batch.column(0).take(pa.array(key[:, 0].astype(np.int64) + a))
                 yield pa.RecordBatch.from_arrays([own, pa.array(key[:, 1].view(np.int64))], names=["id", "seed"])
 
     base = base.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
     of_docs = base.select(F.struct("doc_id", "text_hash").alias("id"), "text").mapInArrow(seeds, "id struct<doc_id long, text_hash long>, seed long")
-    of_items = items.mapInArrow(seeds, "id long, seed long").select(F.col("id").alias("item_id"), "seed")
+    of_items = items.mapInArrow(lambda batches: seeds(batches, True), "id long, seed long").select(F.col("id").alias("item_id"), "seed")
     pairs = of_docs.join(of_items, "seed").select("id.doc_id", "id.text_hash", "item_id").distinct()
     texts = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(base, ["doc_id", "text_hash"]).select("doc_id", "text", "item_id", "item_text")
 
@@ -173,7 +212,7 @@ def _joined(base: DataFrame, items: DataFrame, coverage: float, seed: int) -> Da
         for batch in batches:
             found = []
             for k in range(batch.num_rows):
-                known = Items([batch.column(2)[k].as_py()], [batch.column(3)[k].as_py()], seed)
+                known = Items([batch.column(2)[k].as_py()], [batch.column(3)[k].as_py()], seed, shortest)
                 found += known.matches(batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), coverage)
             if found:
                 yield _batch(found)

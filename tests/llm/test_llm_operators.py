@@ -145,6 +145,15 @@ def test_tiles_of_a_reordered_passage(spark):
     assert tile(np.array([0, 1, 10]), np.array([0, 1, 1]), 5) == [(6, 0, 0)]
 
 
+def test_short_sentences_in_another_order_are_covered(spark):
+    parts = [words(n) for n in (1, 2, 1, 17, 1, 3, 8)]
+    bench = spark.createDataFrame([(4, " ".join(parts)), (5, "qqq rrr sss"), (6, "ttt")], "item_id long, text string")
+    rows = [(1, " ".join(parts[::-1])), (2, "a qqq rrr sss b"), (3, "qqq rrr b sss ttt")]
+    for limit in (1 << 20, 0):
+        got = benchmark_matches(docs(spark, rows), bench, max_bytes=limit).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 4), (2, 5)] and all(r.coverage >= 0.8 for r in got)
+
+
 def test_tokens_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
