@@ -193,11 +193,31 @@ def test_urls_by_brute_force(spark):
     assert got == sorted(expected)
 
 
-def test_cascade_is_exact(spark):
-    keys = spark.range(3000).selectExpr("concat('k', id) AS key")
-    listed = spark.range(0, 3000, 7).selectExpr("concat('k', id) AS key")
-    for size in (4 << 20, 0):
-        assert {r.key for r in listed_keys(keys, listed, size).collect()} == {f"k{i}" for i in range(0, 3000, 7)}
+def test_cascade_is_exact_in_slices(spark):
+    keys = spark.range(30000).selectExpr("IF(id % 1000 = 5, NULL, concat('k', id)) AS key", "id AS n")
+    listed = spark.range(0, 40000, 7).selectExpr("concat('k', id) AS key").union(spark.range(2).selectExpr("IF(id = 0, NULL, 'k7')"))
+    for size in (4 << 20, 3000):
+        got = [r.key for r in listed_keys(keys, listed, size).collect()]
+        assert sorted(got) == sorted(f"k{i}" for i in range(0, 30000, 7) if i % 1000 != 5)
+    assert listed_keys(keys, listed.where("false")).count() == 0
+
+
+def test_many_url_rules_in_slices(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://a.h', id % 700, '.com/en/', id % 13, '/x') AS url", "1 AS key", "2 AS best", "3 AS verdict")
+    rules = spark.range(2000).selectExpr("IF(id % 3 = 0, 'block', 'allow') AS verdict", "concat('h', id % 1000, '.com') AS host", "IF(id < 1000, '/en/', concat('/en/', id % 13, '/')) AS path")
+    expected = {}
+    by_key = {}
+    for i in range(2000):
+        by_key[f"h{i % 1000}.com", "/en/" if i < 1000 else f"/en/{i % 13}/"] = "block" if i % 3 == 0 else "allow"
+    for i in range(3000):
+        host, own = f"h{i % 700}.com", [(len(h + p), v, h + p) for (h, p), v in by_key.items() if h == f"h{i % 700}.com" and f"/en/{i % 13}/x".startswith(p)]
+        expected[i] = (f"a.{host}", f"/en/{i % 13}/x", max(own)[2], max(own)[1])
+    for size in (4 << 20, 1500):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, rules, max_bytes=size).collect()}
+        assert got == expected
+    assert {r.verdict for r in judge_urls(pages, [], default="block").collect()} == {"block"}
+    # No Python worker takes part.
+    assert "Python" not in judge_urls(pages, URL_RULES)._jdf.queryExecution().toString()
 
 
 def test_nearest_recall_and_odd_vectors(spark):
@@ -219,6 +239,17 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert hits / (20 * len(queries)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [1, 8, 15, 30])
+def test_few_candidates_are_all_found(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(c) for c in rng.normal(size=6)], "x") for i in range(n)] + [(0, [9.0] * 6, "x"), (3, None, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string")
+    got = nearest(frame, every=1).toPandas()
+    assert len(got) == n * min(20, n - 1) and got[got.query_id == got.vec_id].empty
+    assert len(nearest(frame, every=1000).toPandas()) == min(20, n - 1)
+    assert n < 2 or got[["query_id", "rank"]].drop_duplicates().shape[0] == len(got)
+
+
 def test_articles(spark):
     page = '<html><head><title>T</title></head><body><nav><a href="/">Menu</a></nav><div class="ad1 ad">Buy</div><article><h1>A &amp; B</h1><p>First <b>bold</b>\n text.<br>Next<script>var x="</p>";</script></article><div class="comments"><p>%s</p></div><footer>&copy;</footer></body>' % ("long comment " * 50)
     rows = [(1, "http://h/a", page), (2, None, None), (3, "http://h/b", ""), (4, "x", "plain < text"), (1, "http://h/a", page), (5, "http://h/c", "<nav>only menu</nav>")]
