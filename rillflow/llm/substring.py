@@ -10,8 +10,11 @@ full, and each is held against the smallest doc_id in which it starts.
 
 Hashes travel packed: a row carries all hashes of one Arrow batch that fall
 into one bucket. A bucket has a bounded number of hashes by the choice of their
-number, and a very common window brings at most one entry for each document
-into its bucket.
+number. What a batch can decide alone doesn't take part: of a hash that several
+of its documents share, only the places of the smallest document, and for
+anchors of the largest, go to the bucket, the others go by as found. So a window
+that stands in every document brings one or two documents a batch into its
+bucket, however many there are.
 """
 
 from __future__ import annotations
@@ -35,41 +38,63 @@ FOUND_SQL = "doc_id long, text_hash long, places binary"
 
 
 class Packer:
-    """Collects (document, place, bucket, hash) of one Arrow batch and packs them by bucket."""
+    """Collects (document, place, bucket, hash) of one Arrow batch and packs them by bucket.
 
-    def __init__(self, kind):
-        self.kind, self.parts = kind, []
+    `ends`: whether the largest document of a hash goes to the bucket too, beside
+    the smallest. The places of the others are found already: they go, without
+    hashes, to buckets picked by the document.
+    """
+
+    def __init__(self, kind, buckets: int, ends: bool):
+        self.kind, self.buckets, self.ends, self.parts = kind, buckets, ends, []
 
     def add(self, doc: np.ndarray, place: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> None:
         self.parts.append((doc, place.astype(np.uint32), bucket.astype(np.int64), value.astype(self.kind)))
 
-    def batch(self, doc_ids: np.ndarray, texts: np.ndarray) -> pa.RecordBatch | None:
+    def batches(self, doc_ids: np.ndarray, texts: np.ndarray):
+        """Up to two record batches: what the buckets are to decide, and what is found."""
         parts = [p for p in self.parts if len(p[0])]
         if not parts:
-            return None
+            return
         doc, place, bucket, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((value, bucket))
+        ids = doc_ids[doc[order]]
+        first = np.flatnonzero(np.append(True, (np.diff(bucket[order]) != 0) | (value[order][1:] != value[order][:-1])))
+        size = np.diff(np.append(first, len(order)))
+        open_ = ids == np.repeat(np.minimum.reduceat(ids, first), size)
+        if self.ends:
+            open_ |= ids == np.repeat(np.maximum.reduceat(ids, first), size)
+        undecided = np.empty(len(order), bool)
+        undecided[order] = open_
+        for some in (np.flatnonzero(undecided), np.flatnonzero(~undecided)):
+            if len(some):
+                if not undecided[some[0]]:
+                    bucket, value = (doc_ids[doc] & 0x7FFFFFFF) % self.buckets, np.zeros(0, self.kind)
+                yield self._packed(doc[some], place[some], bucket[some], value[some] if len(value) else None, doc_ids, texts)
+
+    def _packed(self, doc, place, bucket, value, doc_ids, texts) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")  # documents and places stay ascending in a bucket
-        doc, place, bucket, value = doc[order], place[order], bucket[order], value[order]
+        doc, place, bucket = doc[order], place[order], bucket[order]
         row = np.flatnonzero(np.diff(bucket, prepend=-1))
         run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
         counts = np.diff(np.append(run, len(doc))).astype(np.uint32)
         runs = np.append(np.searchsorted(run, row), len(run))
         rows = np.append(row, len(doc))
         owner = doc[run]
+        hashes = binary_rows(value[order], rows) if value is not None else pa.nulls(len(row), pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[row]), binary_rows(doc_ids[owner], runs), binary_rows(texts[owner], runs), binary_rows(counts, runs), binary_rows(place, rows), binary_rows(value, rows)],
+            [pa.array(bucket[row]), binary_rows(doc_ids[owner], runs), binary_rows(texts[owner], runs), binary_rows(counts, runs), binary_rows(place, rows), hashes],
             schema=PACKED,
         )
 
 
 def unpack(table: pa.Table, kind):
-    """(doc_id, text_hash, place, hash) arrays of a bucket's rows."""
-    ids, _ = from_binary(table.column("docs"), np.int64)
-    texts, _ = from_binary(table.column("texts"), np.int64)
-    counts, _ = from_binary(table.column("counts"), np.uint32)
-    places, _ = from_binary(table.column("places"), np.uint32)
+    """(doc_id, text_hash, count, place, hash) arrays of a bucket's rows that have hashes, and a table of those found already."""
+    known = table.filter(pc.is_null(table.column("hashes")))
+    table = table.filter(pc.is_valid(table.column("hashes")))
+    parts = [from_binary(t.column(c), k)[0] for t in (table, known) for c, k in (("docs", np.int64), ("texts", np.int64), ("counts", np.uint32), ("places", np.uint32))]
     hashes, _ = from_binary(table.column("hashes"), kind)
-    return ids, texts, counts, places, hashes
+    return *parts[:4], hashes, found(*parts[4:], np.ones(len(parts[7]), bool))
 
 
 def found(ids: np.ndarray, texts: np.ndarray, counts: np.ndarray, places: np.ndarray, hit: np.ndarray) -> pa.Table:
@@ -111,7 +136,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, period: int = 7, bucket_h
         in_cover[list(cover)] = True
         for batch in batches:
             ids, hashes, known, data, offsets = texts_of(batch)
-            packer = Packer(np.uint32)
+            packer = Packer(np.uint32, buckets, True)
             for a, b in chunks(offsets):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 position, doc = words.position(), words.doc_of_word()
@@ -119,19 +144,20 @@ def dedup_substrings(docs: DataFrame, width: int = 13, period: int = 7, bucket_h
                 at = np.flatnonzero(in_cover[position % period] & (position + run <= usable[doc]))
                 value = hasher.windows(hasher.words(words.data, words.starts, words.ends), run)[at]
                 packer.add(doc[at] + a, position[at], value % U64(buckets), (value // U64(buckets)) & U64(0xFFFFFFFF))
-            if (out := packer.batch(ids, hashes)) is not None:
-                yield out
+            yield from packer.batches(ids, hashes)
 
     def shared(table: pa.Table) -> pa.Table:
         """The anchors whose hash is in at least two documents."""
-        ids, texts, counts, places, value = unpack(table, np.uint32)
+        ids, texts, counts, places, value, known = unpack(table, np.uint32)
+        if not len(value):
+            return known
         order = np.argsort(value, kind="stable")
         first = np.flatnonzero(np.diff(value[order].astype(np.int64), prepend=-1))
         owner = np.repeat(ids, counts)[order]
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
         hit = np.zeros(len(value), bool)
         hit[order] = np.repeat(several, np.diff(np.append(first, len(value))))
-        return found(ids, texts, counts, places, hit)
+        return pa.concat_tables([found(ids, texts, counts, places, hit), known])
 
     def extended(batches):
         """The full windows around shared anchors."""
@@ -145,7 +171,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, period: int = 7, bucket_h
             ids, hashes, known, data, offsets = texts_of(batch)
             flat, each = _place_lists(batch.column("places"))
             bound = np.concatenate([[0], np.cumsum(each)])
-            packer = Packer(np.uint64)
+            packer = Packer(np.uint64, buckets, False)
             for a, b in chunks(offsets):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 owner = np.repeat(np.arange(b - a), each[a:b])
@@ -159,19 +185,20 @@ def dedup_substrings(docs: DataFrame, width: int = 13, period: int = 7, bucket_h
                 bytes_ = (words.data, words.starts, words.ends)
                 value, second = hasher.windows(hasher.words(*bytes_), width)[at], other.windows(other.words(*bytes_), width)[at]
                 packer.add(words.doc_of_word()[at] + a, words.position()[at], second % U64(buckets), value)
-            if (out := packer.batch(ids, hashes)) is not None:
-                yield out
+            yield from packer.batches(ids, hashes)
 
     def later(table: pa.Table) -> pa.Table:
         """The windows that start in a document with a smaller id too."""
-        ids, texts, counts, places, value = unpack(table, np.uint64)
+        ids, texts, counts, places, value, known = unpack(table, np.uint64)
+        if not len(value):
+            return known
         order = np.argsort(value, kind="stable")
         ordered = value[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
         owner = np.repeat(ids, counts)[order]
         hit = np.zeros(len(value), bool)
         hit[order] = owner > np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(value))))
-        return found(ids, texts, counts, places, hit)
+        return pa.concat_tables([found(ids, texts, counts, places, hit), known])
 
     def cut(batches):
         for batch in batches:
