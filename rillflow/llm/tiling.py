@@ -156,71 +156,42 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0
     have `min_tile` words at least. An item of fewer than `min_match` words matches
     as a whole; texts that are null or under `min_tile` words match nothing; rows with a null id are left out. A pair is returned
     once, with its best coverage, however often its rows are repeated. Empty
-    tables give no pair. A benchmark of up to `max_bytes` of text goes to every
-    executor; a larger one meets the documents in a join on seeds.
+    tables give no pair. Words are compared by hashes of 64 bits; of equally long
+    common runs the one that is first in the item, then in the document, is
+    marked first. Items go to the executors in blocks of about `max_bytes` of text;
+    the documents are read once for each block.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= max_bytes:
-        rows = items.collect()  # at most max_bytes of text
-        ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-
-        def match(batches):
-            known = Items(ids, texts, min_match, min_tile)
-            for batch in batches:
-                if found := list(known.matches(batch.column(0), batch.column(1), coverage)):
-                    yield _batch(found)
-
-        found = base.mapInArrow(match, MATCHES_SQL)
-    else:
-        found = _joined(base, items, coverage, min_match, min_tile)
+    blocks = max(1, -(-size // max(1, max_bytes)))
+    found = None
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about max_bytes of text
+        if own or found is None:
+            here = base.mapInArrow(_matcher([r[0] for r in own], [r[1] for r in own], min_match, min_tile, coverage), MATCHES_SQL)
+            found = here if found is None else found.union(here)
     best = F.max(F.struct("covered", "item_words", F.negative("tiles").alias("t"), "longest", "coverage")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.covered", "best.item_words", F.negative("best.t").alias("tiles"), "best.longest", "best.coverage"
     )
 
 
-def _joined(base: DataFrame, items: DataFrame, coverage: float, seed: int, shortest: int) -> DataFrame:
-    """Matches by way of a join on seeds; a pair then travels with both its texts."""
-
-    def seeds(batches, whole=False):
-        hasher = WordHasher(23, lower=True)
-        for batch in batches:
-            data, offsets = string_buffers(batch.column(1))
-            for a, b in chunks(offsets):
-                words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PUNCTUATION)
-                each = hasher.words(words.data, words.starts, words.ends)
-                doc, position = words.doc_of_word(), words.position()
-                keys = []
-                for n in range(shortest, seed + 1):  # shorter runs are for items that are as short
-                    at = np.flatnonzero(position + n <= words.counts[doc])
-                    if n < seed and whole:
-                        at = at[words.counts[doc[at]] == n]
-                    keys.append(np.stack([doc[at].astype(U64), hasher.windows(each, n)[at]], 1))
-                key = np.unique(np.concatenate(keys), axis=0)
-                own = batch.column(0).take(pa.array(key[:, 0].astype(np.int64) + a))
-                yield pa.RecordBatch.from_arrays([own, pa.array(key[:, 1].view(np.int64))], names=["id", "seed"])
-
-    base = base.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
-    of_docs = base.select(F.struct("doc_id", "text_hash").alias("id"), "text").mapInArrow(seeds, "id struct<doc_id long, text_hash long>, seed long")
-    of_items = items.mapInArrow(lambda batches: seeds(batches, True), "id long, seed long").select(F.col("id").alias("item_id"), "seed")
-    pairs = of_docs.join(of_items, "seed").select("id.doc_id", "id.text_hash", "item_id").distinct()
-    texts = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(base, ["doc_id", "text_hash"]).select("doc_id", "text", "item_id", "item_text")
-
+def _matcher(ids: list[int], texts: list[str], seed: int, shortest: int, coverage: float):
     def match(batches):
+        known = Items(ids, texts, seed, shortest)
         for batch in batches:
-            found = []
-            for k in range(batch.num_rows):
-                known = Items([batch.column(2)[k].as_py()], [batch.column(3)[k].as_py()], seed, shortest)
-                found += known.matches(batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), coverage)
-            if found:
+            if found := list(known.matches(batch.column(0), batch.column(1), coverage)):
                 yield _batch(found)
 
-    return texts.mapInArrow(match, MATCHES_SQL)
+    return match
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without the documents that `benchmark_matches` finds."""
-    hits = benchmark_matches(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without the documents that `benchmark_matches` finds, all columns.
+
+    All rows of a found doc_id go; rows with a null id, which no match names,
+    and rows with a null or empty text stay. Repeated rows stay or go together.
+    """
+    hits = benchmark_matches(docs, benchmark, **options).select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(hits, docs["doc_id"] == hits["hit"], "left_anti")
