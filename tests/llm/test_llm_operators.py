@@ -59,11 +59,19 @@ def test_line_runs_by_brute_force(spark, odd):
 
 
 def test_line_runs_compact(spark):
-    runs = LineRuns(spark, fan_out=2)
+    runs = LineRuns(spark, 5, fan_out=2)
     for i in range(5):
         runs.add(docs(spark, [(i, "same\nown%d" % i)]))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert runs.frequent(5).count() == 1
+    assert runs.frequent().count() == 1
+
+
+def test_settled_lines_are_carried_no_further(spark):
+    runs = LineRuns(spark, 2, fan_out=9)
+    for i in range(3):
+        runs.add(docs(spark, [(10 * i + k, "same\nown%d" % i) for k in range(2)]))
+    sizes = [runs._read([path]).count() for path in runs.levels[0]]
+    assert sizes == [2, 1, 1] and runs.frequent().count() == 4
 
 
 def test_substrings_by_brute_force(spark, odd):
@@ -139,17 +147,56 @@ def test_tiles_of_a_reordered_passage(spark):
     item = words(40).split()
     rows = [(1, "intro " + " ".join(item[20:]) + " between " + " ".join(item[:20]) + " end"), (2, words(200)), (3, None), (None, " ".join(item)), (4, " ".join(item[:20])), (1, " ".join(item))]
     bench = spark.createDataFrame([(7, " ".join(item).upper()), (8, None), (9, "too short"), (None, "x " * 9)], "item_id long, text string")
-    for limit in (1 << 20, 0):
+    for limit in (1 << 20, 40):
         got = benchmark_matches(docs(spark, rows), bench, max_bytes=limit).collect()
         assert [(r.doc_id, r.item_id, r.coverage) for r in got] == [(1, 7, 1.0)]
     assert tile(np.array([0, 1, 10]), np.array([0, 1, 1]), 5) == [(6, 0, 0)]
 
 
+def literal_tiling(doc, item, least):
+    """Greedy string tiling as it is defined: the longest unmarked common run, again and again."""
+    used_doc, used_item, tiles = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for q in range(len(item)):
+            for p in range(len(doc)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and p + n not in used_doc and q + n not in used_item:
+                    n += 1
+                if n > best[0]:
+                    best = (n, q, p)
+        if best[0] < least:
+            return tiles
+        tiles.append(best)
+        used_doc.update(range(best[2], best[2] + best[0]))
+        used_item.update(range(best[1], best[1] + best[0]))
+
+
+def test_tiling_by_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") if rng.random() < 0.5 else rng.choice(["ee", "ff", "gg", "hh"]) for _ in range(rng.randrange(5, 40))) for _ in range(30)]
+    items = [" ".join(t.split()[k : k + 12][::1]) for t in texts[:10] for k in (0, 4)]
+    items += [" ".join(t.split()[6:12] + t.split()[:6]) for t in texts[:10]]
+    got = benchmark_matches(docs(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), max_bytes=300).collect()
+    expected = {}
+    for i, t in enumerate(texts):
+        for j, x in enumerate(items):
+            a, b = t.split(), x.split()
+            seeds = {tuple(a[k : k + 5]) for k in range(len(a) - 4)} & {tuple(b[k : k + 5]) for k in range(len(b) - 4)}
+            tiles = literal_tiling(a, b, 2) if seeds else []
+            covered = sum(n for n, _, _ in tiles)
+            if len(b) >= 5 and seeds and covered >= 0.8 * len(b):
+                expected[i, j] = (covered, len(b), tiles[0][0])
+            elif len(b) < 5 and len(b) > 1 and any(a[k : k + len(b)] == b for k in range(len(a))):
+                expected[i, j] = (len(b), len(b), len(b))
+    assert {(r.doc_id, r.item_id): (r.covered, r.item_words, r.longest) for r in got} == expected and len(expected) > 20
+
+
 def test_short_sentences_in_another_order_are_covered(spark):
     parts = [words(n) for n in (1, 2, 1, 17, 1, 3, 8)]
     bench = spark.createDataFrame([(4, " ".join(parts)), (5, "qqq rrr sss"), (6, "ttt")], "item_id long, text string")
     rows = [(1, " ".join(parts[::-1])), (2, "a qqq rrr sss b"), (3, "qqq rrr b sss ttt")]
-    for limit in (1 << 20, 0):
+    for limit in (1 << 20, 40):
         got = benchmark_matches(docs(spark, rows), bench, max_bytes=limit).collect()
         assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 4), (2, 5)] and all(r.coverage >= 0.8 for r in got)
 
@@ -170,6 +217,9 @@ def test_tokens_round_trip(spark, odd):
 
 
 def test_packing_keeps_every_id_once(spark, odd):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file())
     pieces = pack_documents(docs(spark, [(i, t) for i, t in odd if i is not None]), tokenizer_file(), length=64, open_windows=4, fan_in=2).toPandas()
     for _, own in pieces.groupby("sequence_id"):
         own = own.sort_values("offset")
@@ -178,6 +228,12 @@ def test_packing_keeps_every_id_once(spark, odd):
     for _, own in once.groupby("doc_id"):
         own = own.sort_values("start")
         assert own.start.tolist() == (own.length.cumsum() - own.length).tolist() and own.length.sum() == own.doc_tokens.iloc[0]
+    whole = dict((i, t) for i, t in odd if i is not None and i != 3)
+    for i, own in once.groupby("doc_id"):
+        ids = np.frombuffer(b"".join(own.sort_values("start").ids), "<u4").tolist()
+        assert ids == tokenizer.encode(whole[i] or "", add_special_tokens=False).ids + [1]
+    null = pack_documents(docs(spark, [(None, "a b c"), (None, None), (None, "a b c")]), tokenizer_file(), length=8).toPandas()
+    assert null.doc_id.isna().all() and len(null) == 3
 
 
 def test_urls_by_brute_force(spark):
