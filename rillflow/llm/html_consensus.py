@@ -13,13 +13,13 @@ import html as html_module
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.storage import written
 
 #: Elements whose content is no text, elements that hold others, and elements that don't end a block.
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas|math"
+RAW = "script|style|noscript|template|svg|iframe|textarea|select|button|datalist|title|object|canvas|math"
 CONTAINERS = frozenset("html head body div article section main nav header footer aside form ul ol dl table tbody tr td th figure fieldset details dialog menu center".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 #: Tags and class or id words of what isn't the article, and class or id words of what is.
@@ -226,8 +226,10 @@ def extract_articles(pages: DataFrame, paths_per_host: int = 3, broadcast_bytes:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([round(total[r] * 1e6) for r in rows], pa.int64())], names=["host", "path", "votes"])
 
     counted = base.select("host", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    ranked = counted.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("ranked"))
-    winners = written(ranked.select("host", F.transform(F.slice("ranked", 1, paths_per_host), lambda r: r["path"]).alias("paths")), "host-paths")
+    # Partial limits come before the shuffle, so a host with very many paths sends few of them to one task.
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
+    top = counted.withColumn("place", place).where(F.col("place") <= paths_per_host).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("top"))
+    winners = written(top.select("host", F.transform("top", lambda r: r["path"]).alias("paths")), "host-paths", narrow=True)
     size = winners.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", ",")) + 64)).first()[0] or 0
     joined = base.join(F.broadcast(winners) if size <= broadcast_bytes else winners, "host", "left").select("page_id", "url", "html", "paths")
 

@@ -337,6 +337,36 @@ def test_only_names_of_boilerplate_are_boilerplate():
     assert article("<main><p class=notice>drop<p>One<ul><li class=comment>drop<li>Two</ul></main>", []) == "One Two"
 
 
+#: Layouts: how the article is wrapped, and what stands around and in it that is no part of it.
+WRAPPERS = (
+    "<article>%s</article>", "<main>%s</main>", '<div id="content">%s</div>', '<div class="post-body">%s</div>', '<div class="entry-content clearfix">%s</div>', "<div><div><div>%s</div></div></div>",
+    '<main class="page has-sidebar"><article class="post has-comments">%s</article></main>', '<table><tr><td width="20%%"></td><td class="story">%s</td></tr></table>', '<section class="article-text">%s</section>', '<div role="main" class="text2">%s</div>',
+)
+BLOCKS = (
+    "<p>{0}</p><p>{1} <b>{2}</b></p>", "<h1>{0}</h1><p>{1}</p><ul><li>{2}</li></ul>", "<h2>{0}</h2>{1}<br>{2}<br>", "<p>{0}<blockquote><p>{1}</p></blockquote><p>{2}", "<section><h2>{0}</h2><p>{1}</p></section><section><p>{2}</p></section>",
+    "<p>{0}</p><pre>{1}</pre><figure><img src=x><figcaption>{2}</figcaption></figure>", "<P CLASS='lead'>{0}</P><DIV>{1}</DIV><DIV>{2}</DIV>",
+)
+BEFORE = ("<nav><ul><li><a href=/>{0}</a></li></ul></nav>", "<header><h2>{0}</h2><form><input><button>{0}</button></form></header>", '<div class="cookie-notice"><p>{0}</p><button>ok</button></div>', '<div id="main-menu"><a href=/a>{0}</a></div>', '<ul class="breadcrumbs"><li>{0}</li></ul>')
+AFTER = ("<footer><p>{0}</p></footer>", '<aside><p>{0}</p></aside>', '<div class="article-comments"><h3>c</h3><p>{0}</p></div>', '<section id="comments"><ol><li><p>{0}</p></li></ol></section>', '<div class="ad">{0}</div><script>var x = "{0}";</script>', '<div class="related"><a href=/b>{0}</a></div>', '<form><label>{0}</label><textarea>{0}</textarea></form>')
+INSIDE = ('<div class="ad-1 ad">{0}</div>', '<p class="newsletter">{0}</p>', '<button type="button">{0}</button>', "<aside>{0}</aside>", '<ul class="share"><li>{0}</li></ul>', "<!-- {0} --><style>p {{}}</style>", '<span class="sponsored">{0}</span>')
+
+
+def test_pages_of_many_layouts(spark):
+    rng, rows, truth = random.Random(3), [], {}
+    for i in range(420):
+        host, k = f"h{i % 42}", i % 42
+        good, bad = [words(rng.randrange(8, 60)).replace("a", "ä &amp; ", 1) for _ in range(6)], [words(rng.randrange(3, 12)).upper() for _ in range(4)]
+        a, b = (BLOCKS[(k + s) % len(BLOCKS)] for s in (0, 3))
+        inner = a.format(*good[:3]) + INSIDE[k % len(INSIDE)].format(bad[0]) + b.format(*good[3:])
+        html = f"<html><head><title>T</title></head><body class='no-js has-sidebar'>{BEFORE[k % len(BEFORE)].format(bad[1])}{WRAPPERS[k % len(WRAPPERS)] % inner}{AFTER[k % len(AFTER)].format(bad[2])}{AFTER[(k + 3) % len(AFTER)].format(bad[3])}</body></html>"
+        rows.append((i, f"https://{host}/p{i}", html))
+        truth[i] = " ".join(good).replace("&amp;", "&").split()
+    got = {r.page_id: r.text.split() for r in extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    same = {i: sum((collections.Counter(got[i]) & collections.Counter(t)).values()) for i, t in truth.items()}
+    worst = sorted((same[i] / max(1, len(got[i])), same[i] / len(t), i % 42) for i, t in truth.items())
+    assert sum(same.values()) >= 0.97 * sum(map(len, got.values())) and sum(same.values()) >= 0.97 * sum(map(len, truth.values())), worst[:5]
+
+
 def test_swapped_terms_move_scores_less():
     # Feature 0: insult, 1: identity term of the toxic texts, 2: its counterpart.
     row = np.array([0, 0, 1, 1, 2, 3, 3, 4])
