@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.storage import written
 from rillflow.llm.wordhash import PUNCTUATION, U64, WordHasher, Words, chunks, string_buffers
 
 #: Identity terms by group; terms of a group are swapped for each other.
@@ -29,6 +30,10 @@ IDENTITY_TERMS = (
 )
 
 
+#: At most about so many labelled rows are learnt from.
+MAX_ROWS = 20000
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     """The hash of each word; used for lists of terms."""
     data, offsets = string_buffers(pa.array(words, pa.string()))
@@ -97,7 +102,7 @@ def fit(row: np.ndarray, index: np.ndarray, label: np.ndarray, n_features: int,
     return weights, bias
 
 
-def train(texts: DataFrame, max_rows: int = 20000, max_features: int = 4000, least_docs: int = 3, identity_terms=IDENTITY_TERMS, **options) -> Model:
+def train(texts: DataFrame, max_rows: int = MAX_ROWS, max_features: int = 4000, least_docs: int = 3, identity_terms=IDENTITY_TERMS, **options) -> Model:
     """A model from `texts` (doc_id, text, label 0 or 1).
 
     At most about `max_rows` rows are used, those with the smallest hashes of
@@ -106,10 +111,7 @@ def train(texts: DataFrame, max_rows: int = 20000, max_features: int = 4000, lea
     towards a label are features. Without rows every score is 0; with one label
     only it is that label's smoothed share.
     """
-    total = texts.count()
-    if total > max_rows:
-        share = int(max_rows / total * 2**32)
-        texts = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share)
+    texts = bounded(texts, max_rows)
     n, positive = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n:
         return Model(np.zeros(0, U64), np.zeros(0), -500.0)
@@ -144,7 +146,7 @@ def train(texts: DataFrame, max_rows: int = 20000, max_features: int = 4000, lea
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text, score) of all documents, whole texts."""
+    """(doc_id, text, score) of all rows, whole texts; a null text scores as an empty one, further columns are left out."""
 
     def run(batches):
         for batch in batches:
@@ -154,7 +156,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """`docs`, all columns, without the documents that score `limit` or more."""
+    """`docs`, all columns, without the documents that score `limit` or more.
+
+    Each row is judged by its whole text alone: repeated rows go or stay together, a null text
+    is empty, and an id may be null.
+    """
 
     def run(batches):
         for batch in batches:
@@ -182,9 +188,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents that aren't held out."""
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
-    known = known.where(~held_out(F.col("doc_id")))
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, text, label) of the labelled documents that aren't held out, as a table that is written once.
+
+    Of more than `max_rows` labels, about so many are taken, those with the
+    smallest hashes of doc_id. So the labels are small enough for every executor,
+    and the documents are read once and not shuffled. A doc_id with both labels
+    is toxic; rows with a null id or label are left out; a null text is empty.
+    """
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
+    known = written(known.where(~held_out(F.col("doc_id"))), "labels", narrow=True)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(known, "doc_id")
+    return written(texts.join(F.broadcast(bounded(known, max_rows)), "doc_id"), "training-rows", narrow=True)
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """`rows`, or about `most` of them: those with the smallest hashes of doc_id."""
+    total = rows.count()
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < int(most / total * 2**32)) if total > most else rows

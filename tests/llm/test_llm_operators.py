@@ -377,6 +377,58 @@ def test_swapped_terms_move_scores_less():
     assert gap[1] < 0.2 * gap[0]
 
 
+def test_fit_is_the_minimum_of_the_stated_loss():
+    rng = np.random.default_rng(4)
+    texts = [sorted(set(rng.integers(0, 9, 4).tolist())) for _ in range(80)]
+    label = np.array([float(0 in t or (1 in t and rng.random() < 0.5)) for t in texts])
+    row, index = np.repeat(np.arange(80), [len(t) for t in texts]), np.concatenate(texts)
+    groups = [np.array([1, 2, 3])]
+    got, bias = fit(row, index, label, 9, groups, ridge=0.01, steps=4000)
+    pairs = [(a, b) for t in texts for a in t if a in (1, 2, 3) for b in (1, 2, 3) if b not in t]
+    weights, plain = np.zeros(9), 0.0
+    for _ in range(20000):  # plain gradient steps over a loop of texts
+        slope, slope_bias = 0.01 * weights, 0.0
+        for t, y in zip(texts, label):
+            error = 1 / (1 + np.exp(-(plain + weights[t].sum()))) - y
+            slope[t] += error / 80
+            slope_bias += error / 80
+        for a, b in pairs:
+            change = 2 * (weights[a] - weights[b]) / len(pairs)
+            slope[a] += change
+            slope[b] -= change
+        weights, plain = weights - 0.3 * slope, plain - 0.3 * slope_bias
+        if max(np.abs(slope).max(), abs(slope_bias)) < 1e-6:
+            break
+    assert np.allclose(got, weights, atol=0.02) and abs(bias - plain) < 0.02
+
+
+def test_neutral_mentions_are_let_alone(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        # Toxic texts mention one group far more often than others do.
+        term = "muslims" if toxic and rng.random() < 0.8 else rng.choice(["christians", "hindus", "atheists"])
+        insult = rng.choice(["vile", "scum", "filth"]) if toxic and rng.random() < 0.7 else ""
+        rows.append((i, f"{words(8)} {term} {insult} {words(8)}"))
+        labels.append((i, int(toxic)))
+    neutral = [(5000 + k, f"{words(8)} muslims {words(8)}") for k in range(200)]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    wrong, caught = {}, {}
+    for penalty in (0.0, 1.0):
+        got = toxicity(docs(spark, rows + neutral), known, swap_penalty=penalty).toPandas()
+        wrong[penalty] = got[got.doc_id >= 5000].predicted.sum()
+        insulted = {i for i, t in rows if any(x in t.split() for x in ("vile", "scum", "filth"))}
+        caught[penalty] = got[got.doc_id.isin(insulted)].predicted.mean()
+    assert wrong[0.0] >= 100 and wrong[1.0] <= 0.1 * wrong[0.0] and caught[1.0] >= 0.95
+
+
+def test_one_label_only(spark):
+    known = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")
+    got = toxicity(docs(spark, [(i, words(5)) for i in range(60)] + [(99, "long " * 50000)]), known).collect()
+    assert len(got) == 61 and all(r.score > 0.5 for r in got)
+
+
 def test_toxicity_learns_and_takes_odd_rows(spark):
     rows = [(i, words(20) + (" vile" if i % 3 == 0 else "")) for i in range(300)] + [(900, None), (901, ""), (None, "vile"), (3, None)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0), "x") for i in range(300)] + [(None, 1, "x"), (900, None, "x")], "doc_id long, toxic int, text string")
