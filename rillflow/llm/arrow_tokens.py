@@ -68,8 +68,17 @@ class ShardWriter:
         other = f"{self.base}/.{uuid.uuid4().hex}"
         with self.fs.open_output_stream(other) as sink, pa.ipc.new_file(sink, index.schema) as writer:
             writer.write_table(index)
-        self.fs.move(other, self.name + ".index.arrow")
-        self.fs.move(self.temporary, self.name + ".arrow")
+        self._publish(other, self.name + ".index.arrow")
+        self._publish(self.temporary, self.name + ".arrow")
+
+    def _publish(self, own: str, name: str) -> None:
+        """Give a whole file its name; one of that name, from a task that ran twice, is the same and may stay."""
+        try:
+            self.fs.move(own, name)
+        except OSError:
+            if self.fs.get_file_info(name).type.name != "File":
+                raise
+            self.fs.delete_file(own)
 
 
 class ShardReader:
@@ -176,5 +185,5 @@ def read_tokens(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
 def token_store(docs: DataFrame, tokenizer_file: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """Write all documents to shards in the shared folder and read them back; see `write_tokens` and `read_tokens`."""
     spark = docs.sparkSession
-    folder = shared_path(spark, "tokens")
+    folder = shared_path(spark, "tokens", keep=True)
     return read_tokens(spark, folder, write_tokens(docs, tokenizer_file, folder, length, end_id))

@@ -9,21 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one is set only where none is named."""
+    """The folder that spark.checkpoint.dir names; a temporary one is set only where none is named and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
     if checkpoint.isDefined():
         return checkpoint.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="rillflow-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/rillflow-{name}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that no other call gets; what stands there goes when the driver ends, unless it is to `keep`."""
+    path = f"{shared_dir(spark)}/rillflow-{name}-{uuid.uuid4().hex}"
+    if not keep:
+        target, system = hadoop_path(spark, path)
+        system.deleteOnExit(target)
+    return path
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system) as Hadoop objects."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
@@ -40,9 +52,8 @@ def written(df: DataFrame, name: str, compression: str = "zstd", narrow: bool =
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, system = hadoop_path(spark, path)
+    system.delete(target, True)
 
 
 class Scratch:
