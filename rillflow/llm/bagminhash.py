@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.components import connected_components
 from rillflow.llm.storage import Scratch, written
+from rillflow.llm.tokens import expand
 from rillflow.llm.wordhash import U64, WordHasher, Words, binary_rows, chunks, mix64, string_buffers
 
 LOW48 = U64((1 << 48) - 1)
@@ -136,6 +137,46 @@ def sign_documents(docs: DataFrame, width: int, bands: int, rows: int) -> DataFr
     return docs.mapInArrow(sign, "doc_id long, c1 long, c2 long, weight long, keys array<long>, sketch binary")
 
 
+def gram_lists(texts: DataFrame, width: int) -> DataFrame:
+    """(node, grams): 16 bits of each shingle of a text, as often as it stands there, in order; texts without words are left out."""
+
+    def run(batches):
+        hasher = WordHasher(17, lower=True)
+        for batch in batches:
+            data, offsets = string_buffers(batch.column(1))
+            for a, b in chunks(offsets, 4 << 20):
+                for a, b in ((x, min(b, x + 60000)) for x in range(a, b, 60000)):
+                    doc, shingle, count = shingle_multisets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, hasher)
+                    key = np.repeat((doc.astype(U64) << U64(16)) | (shingle & U64(0xFFFF)), count)
+                    key.sort()
+                    some = np.unique(doc)
+                    first = np.searchsorted(key >> U64(16), some.astype(U64))
+                    lists = binary_rows((key & U64(0xFFFF)).astype("<u2"), np.append(first, len(key)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + a)), lists.cast(pa.binary())], names=["node", "grams"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "node long, grams binary")
+
+
+class Grams:
+    """The gram lists of a block of nodes, with the number of each 16-bit value."""
+
+    def __init__(self, lists: list[bytes]):
+        self.weight = np.array([len(g) // 2 for g in lists], np.int64)
+        flat = np.frombuffer(b"".join(lists), "<u2")
+        row = np.repeat(np.arange(len(lists)), self.weight)
+        first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (flat[1:] != flat[:-1])))
+        self.value, self.count = flat[first], np.diff(np.append(first, len(flat)))
+        self.start = np.searchsorted(row[first], np.arange(len(lists) + 1))
+
+    def most(self, x: int, others: np.ndarray) -> np.ndarray:
+        """The most shingles that the multiset of node x can share with those of `others`."""
+        own = np.zeros(1 << 16, np.int64)
+        own[self.value[self.start[x] : self.start[x + 1]]] = self.count[self.start[x] : self.start[x + 1]]
+        n = self.start[others + 1] - self.start[others]
+        at = expand(self.start[others], n)
+        return np.add.reduceat(np.minimum(own[self.value[at]], self.count[at]), np.cumsum(n) - n)
+
+
 def verify_pairs(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle multisets overlap by `threshold` or more; `texts` has a text for each id."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -189,8 +230,9 @@ def near_duplicates(
     nodes are first held against the smallest; then, where a bucket still holds
     several classes, its nodes are compared in blocks of `block` by sketch. Pairs
     of different classes are verified in two rounds: the likeliest partners of
-    each node, then all whose exact counts by cell let them reach the threshold. So large groups cost
-    about their size, and no link between different classes is lost to a limit.
+    each node, then all whose counts by cell and 16-bit shingles let them reach the
+    threshold, which are bounds that no link misses. So large groups cost about
+    their size in verified pairs, and no link of a bucket between different classes is lost to a limit.
     """
     base = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
@@ -215,7 +257,8 @@ def near_duplicates(
     # The last round has no limit of the sketch: a pair that shares a bucket is left out by exact bounds only.
     limits = [(threshold * m, 2), (0, None)]
     for least, ranks in limits:
-        pairs = scratch.write(_rest(members, nodes, component, threshold, bands, rows, block, least, ranks).join(tested, ["a", "b"], "left_anti"), narrow=True)
+        known = nodes if ranks else (nodes, gram_lists(texts, width))
+        pairs = scratch.write(_rest(members, known, component, threshold, bands, rows, block, least, ranks).join(tested, ["a", "b"], "left_anti"), narrow=True)
         if pairs.limit(1).count():
             tested = tested.union(pairs)
             edges = scratch.write(edges.union(verify_pairs(pairs, texts, width, threshold)), narrow=True)
@@ -227,14 +270,16 @@ def near_duplicates(
     return result
 
 
-def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold: float, bands: int, rows: int, block: int, least: float, ranks: int | None) -> DataFrame:
+def _rest(members: DataFrame, nodes: DataFrame | tuple[DataFrame, DataFrame], component: DataFrame, threshold: float, bands: int, rows: int, block: int, least: float, ranks: int | None) -> DataFrame:
     """Pairs (a, b) of different classes that share a bucket and agree in `least` components or more.
 
     In a bucket every node outside its largest class is a probe; it meets all
     nodes of the bucket, block by block, and gives its `ranks` likeliest
     partners of a block, or all. A pair that shares several bands is given for
-    the first of them, and none whose counts by cell rule the threshold out.
+    the first of them, and none whose counts by cell, or gram lists if they come
+    with the nodes, rule the threshold out.
     """
+    nodes, lists = nodes if isinstance(nodes, tuple) else (nodes, None)
     m = bands * rows
     classed = members.join(component, "node", "left").select("band", "key", "node", "weight", "n", F.coalesce("component", "node").alias("class"))
     sizes = classed.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("size"))
@@ -253,6 +298,9 @@ def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold:
     probes = rest.where("class <> main").select(*columns, F.lit(True).alias("probe"), place(probe_blocks).alias("i"), every(base_blocks).alias("j"))
     bases = rest.select(*columns, F.lit(False).alias("probe"), every(probe_blocks).alias("i"), place(base_blocks).alias("j"))
     spread = probes.union(bases).join(nodes.select("node", "sketch"), "node")
+    listed = lists is not None
+    if listed:
+        spread = spread.join(lists.join(rest.select("node").distinct(), "node", "left_semi"), "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
@@ -260,6 +308,7 @@ def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold:
         both = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         sketch, cells = np.ascontiguousarray(both[:, : 2 * m]).view(np.uint16), both[:, 2 * m :]
         full = cells.max(1) == FULL
+        grams = Grams(table.column("grams").to_pylist()) if listed else None
         band = table.column("band")[0].as_py()
         base = np.flatnonzero(~probe)
         base = base[np.argsort(node[base])]
@@ -277,6 +326,9 @@ def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, threshold:
             most = np.minimum(cells[y[some]], cells[x]).sum(1, dtype=np.int64)
             could = most >= threshold * (weight[y[some]] + weight[x] - most) - 1e-9
             some = some[could | full[y[some]] | full[x]]
+            if grams is not None and len(some):
+                most = grams.most(x, y[some])
+                some = some[most >= threshold * (grams.weight[y[some]] + grams.weight[x] - most) - 1e-9]
             other = node[y[some[np.argsort(-agree[some], kind="stable")][:ranks]]]
             out.append(np.stack([np.minimum(node[x], other), np.maximum(node[x], other)], 1))
         pairs = np.unique(np.concatenate(out), axis=0)
