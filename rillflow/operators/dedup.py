@@ -10,42 +10,64 @@ from rillflow.operators.lineage import cut
 
 def exact_groups(items: DataFrame, key: str, id_column: str) -> DataFrame:
     """(key, members, first) of each key that at least two items share; null keys share nothing."""
-    return items.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.min(id_column).alias("first")).where("members > 1")
+    # Grouped first: a filter below the projection that makes the key would have it made twice.
+    return items.groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.min(id_column).alias("first")).where((F.col("members") > 1) & F.col(key).isNotNull())
 
 
-def similar_pairs(items: DataFrame, id_column: str, threshold: int = 90, least_tokens: int = 5) -> DataFrame:
-    """(a, b, shared, total) of items a < b whose `tokens` arrays have 100 * shared / total >= threshold.
+def token_sets(items: DataFrame, id_column: str, least_tokens: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): (id, set_id) of each item, and (set_id, n, hashes) of each distinct token set of `least_tokens` or more.
+
+    `tokens` holds distinct words; they are compared by 64-bit hashes. A set is
+    named by its smallest item.
+    """
+    hashed = items.select(F.col(id_column).alias("id"), F.array_sort(F.transform("tokens", lambda w: F.xxhash64(w))).alias("hashes")).where(F.size("hashes") >= least_tokens)
+    # Read several times below: the texts are normalized once.
+    keyed = cut(hashed.withColumn("k1", F.xxhash64("hashes")).withColumn("k2", F.xxhash64(F.lit(1), "hashes")))
+    named = keyed.groupBy("k1", "k2").agg(F.min("id").alias("set_id"))
+    members = keyed.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "set_id")
+    first = keyed.join(named.select("k1", "k2", F.col("set_id").alias("id")), ["k1", "k2", "id"], "left_semi")
+    sets = first.dropDuplicates(["id"]).select(F.col("id").alias("set_id"), F.size("hashes").alias("n"), "hashes")
+    return members, sets
+
+
+def similar_sets(sets: DataFrame, threshold: int = 90) -> DataFrame:
+    """(x, y, shared, total) of token sets x < y with 100 * shared / total >= threshold.
 
     Prefix filtering: tokens are ordered by frequency, rarest first; two sets
     that reach the threshold share a token among the first
-    n - ceil(t * n) + 1 of each. Equal sets meet once as a group, so copies
-    don't multiply the candidates; their pairs come from the group's members.
+    n - ceil(t * n) + 1 of each, so a word that all sets hold joins none of them.
     """
     t = threshold / 100
-    usable = items.where(F.size("tokens") >= least_tokens).select(id_column, F.array_sort("tokens").alias("tokens"))
-    # Read five times below: the texts are normalized once.
-    keyed = cut(usable.withColumn("set_id", F.sha2(F.array_join("tokens", " "), 256)))
-    sets = keyed.groupBy("set_id").agg(F.first("tokens").alias("tokens"))
-    words = sets.select("set_id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    words = sets.select("set_id", "n", F.explode("hashes").alias("w"))
     frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    place = Window.partitionBy("set_id").orderBy("df", "w")
-    prefix = words.join(frequency, "w").withColumn("k", F.row_number().over(place)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * t) + 1).select("w", "set_id", "n")
-    left = prefix.select("w", F.col("set_id").alias("x"), F.col("n").alias("nx"))
-    right = prefix.select("w", F.col("set_id").alias("y"), F.col("n").alias("ny"))
-    near = left.join(right, "w").where((F.col("x") < F.col("y")) & (F.col("nx") >= t * F.col("ny") - 1e-9) & (F.col("ny") >= t * F.col("nx") - 1e-9)).select("x", "y", "nx", "ny").distinct()
-    both = near.join(sets.select(F.col("set_id").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("set_id").alias("y"), F.col("tokens").alias("ty")), "y")
-    # The arrays hold distinct tokens.
-    counted = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("tx", "ty")).alias("shared")).select("x", "y", "shared", (F.col("nx") + F.col("ny") - F.col("shared")).alias("total"))
-    linked = counted.where(100 * F.col("shared") >= threshold * F.col("total"))
-    equal = sets.select(F.col("set_id").alias("x"), F.col("set_id").alias("y"), F.size("tokens").alias("shared"), F.size("tokens").alias("total"))
-    a = keyed.select(F.col("set_id").alias("x"), F.col(id_column).alias("p"))
-    b = keyed.select(F.col("set_id").alias("y"), F.col(id_column).alias("q"))
-    pairs = linked.union(equal).join(a, "x").join(b, "y").where((F.col("x") < F.col("y")) | (F.col("p") < F.col("q")))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "total")
+    rare = words.join(frequency.where("df > 1"), "w").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ranked"), F.count(F.lit(1)).alias("common"))
+    # Tokens of one set alone come first and join nothing, but they take their places of the prefix.
+    left = F.col("n") - F.ceil(F.col("n") * t) + 1 - (F.col("n") - F.col("common"))
+    prefix = rare.where(left > 0).select("set_id", "n", F.explode(F.slice("ranked", F.lit(1), left.cast("int"))).alias("r")).select("set_id", "n", F.col("r.w").alias("w"))
+    x = prefix.select("w", F.col("set_id").alias("x"), F.col("n").alias("nx"))
+    y = prefix.select("w", F.col("set_id").alias("y"), F.col("n").alias("ny"))
+    near = x.join(y, "w").where((F.col("x") < F.col("y")) & (F.col("nx") >= t * F.col("ny") - 1e-9) & (F.col("ny") >= t * F.col("nx") - 1e-9)).select("x", "y").distinct()
+    both = near.join(sets.select(F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("hashes").alias("hx")), "x").join(sets.select(F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("hashes").alias("hy")), "y")
+    counted = both.select("x", "y", F.size(F.array_intersect("hx", "hy")).alias("shared"), (F.col("nx") + F.col("ny")).alias("sum"))
+    return counted.where(100 * F.col("shared") >= threshold * (F.col("sum") - F.col("shared"))).select("x", "y", "shared", (F.col("sum") - F.col("shared")).alias("total"))
+
+
+def similar_pairs(items: DataFrame, id_column: str, threshold: int = 90, least_tokens: int = 5) -> DataFrame:
+    """(a, b, shared, total, copies_a, copies_b) of similar token sets, each named by its smallest item.
+
+    Items with equal sets are one: their number is in `copies`, so groups of
+    copies don't multiply the pairs. A set with copies is also paired with itself.
+    """
+    members, sets = token_sets(items, id_column, least_tokens)
+    sizes = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
+    itself = sets.join(sizes.where("copies > 1"), "set_id").select(F.col("set_id").alias("x"), F.col("set_id").alias("y"), F.col("n").alias("shared"), F.col("n").alias("total"))
+    pairs = similar_sets(sets, threshold).union(itself)
+    named = lambda side: sizes.select(F.col("set_id").alias(side), F.col("copies").alias(f"copies_{side}"))
+    return pairs.withColumnsRenamed({"x": "a", "y": "b"}).join(named("a"), "a").join(named("b"), "b").select("a", "b", "shared", "total", "copies_a", "copies_b")
 
 
 def representative(items: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """The first row of each group in `order`."""
+    """The first row of each group in `order`; each task sends on its own first row of a group alone."""
     return items.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_n = 1").drop("_n")
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.functions import outcomes
 from rillflow.functions import presentation as P
 
 CHUNK_LIMIT, BUTTON_LIMIT, MAX_ATTEMPTS = 3800, 80, 3
@@ -125,6 +126,46 @@ def claim(envelopes: DataFrame, chunks: DataFrame, now: Column) -> DataFrame:
     return joined.select("envelope_id", action.alias("action"), F.when(action.isin("send", "ambiguous"), next_["position"]).alias("position"))
 
 
+def finish(envelopes: DataFrame, chunks: DataFrame, leads: DataFrame, results: DataFrame, now: Column, jitter: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(envelopes, chunks, leads) after the `results` of attempts: envelope_id, position, message_id, error (null: sent), retry_after.
+
+    `envelopes`: envelope_id, lead_id, status, message_id, last_error, sent_at;
+    `chunks`: envelope_id, position, status, message_id, last_error, attempts,
+    next_attempt_at, sent_at; `leads`: lead_id, status. An ambiguous send stays
+    ambiguous, other errors are failures, and only those worth another try get a
+    time for it. When its last chunk is sent the envelope is, and a new lead is
+    notified.
+    """
+    # One result a chunk at a time; it decides the chunk's new state.
+    r = results.select("envelope_id", "position", F.struct("message_id", "error", "retry_after").alias("_r"))
+    joined = chunks.join(r, ["envelope_id", "position"], "left")
+    told, failed = F.col("_r").isNotNull(), F.col("_r.error").isNotNull()
+    wait = outcomes.backoff(F.col("attempts"), F.coalesce("_r.retry_after", F.lit(0.0)), F.lit(0.0) if jitter is None else jitter)
+    due = F.when(F.col("_r.error").isin(*RETRYABLE), F.timestamp_micros((F.unix_micros(now) + wait * 1e6).cast("long"))).when(failed, F.col("next_attempt_at"))
+    new = {
+        "status": F.when(~failed, "sent").when(F.col("_r.error") == "ambiguous", "ambiguous").otherwise("failed"),
+        "message_id": F.when(failed, F.col("message_id")).otherwise(F.col("_r.message_id")),
+        "last_error": F.col("_r.error"),
+        "next_attempt_at": due,
+        "sent_at": F.when(failed, F.col("sent_at")).otherwise(now),
+    }
+    after = joined.select(*(F.when(told, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in chunks.columns))
+    left = after.groupBy("envelope_id").agg(F.count_if(F.col("status") != "sent").alias("_left"))
+    last = r.groupBy("envelope_id").agg(F.max_by("_r", "position").alias("_r"))
+    touched = envelopes.join(last, "envelope_id", "left").join(left, "envelope_id", "left")
+    over = told & ~failed & (F.col("_left") == 0)
+    change = {
+        "status": F.when(failed, "failed").when(over, "sent").otherwise(F.col("status")),
+        "message_id": F.when(failed, F.col("message_id")).otherwise(F.col("_r.message_id")),
+        "last_error": F.col("_r.error"),
+        "sent_at": F.when(over, now).otherwise(F.col("sent_at")),
+    }
+    done = touched.select(*(F.when(told, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in envelopes.columns))
+    named = touched.where(over & F.col("lead_id").isNotNull()).select("lead_id").distinct().withColumn("_told", F.lit(True))
+    status = F.when(F.col("_told") & (F.col("status") == "new"), "notified").otherwise(F.col("status"))
+    return done, after, leads.join(named, "lead_id", "left").select(*(status.alias(c) if c == "status" else c for c in leads.columns))
+
+
 @dataclass(frozen=True)
 class Recipient:
     """Who is to get a digest, and of which period."""

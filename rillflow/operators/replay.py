@@ -2,7 +2,7 @@
 
 An item may only join a cluster that holds an item it is linked to: by an equal
 URL, an equal fingerprint or similar tokens. Links don't depend on the state, so
-components of the link graph can be replayed apart, each in (time, id) order.
+components of the link graph can be replayed apart, each in (arrival, id) order.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.operators.dedup import similar_pairs
+from rillflow.operators.dedup import similar_sets, token_sets
 from rillflow.operators.lineage import cut
 
 OUT = "item_id long, cluster_id long, method string, similarity double, canonical_id long"
-#: Columns that items may leave out.
-DEFAULTS = {"score": 0, "completeness": 0, "fields": None}
+#: Columns that items may leave out, with their types.
+OPTIONAL = {
+    "published": "timestamp", "readable": "string", "score": "int", "completeness": "int", "grade": "int", "goals": "array<string>", "format": "string", "location": "string", "budget": "string",
+    "known_cluster": "long", "known_face": "boolean",
+}
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
@@ -48,127 +51,178 @@ def _links(links: DataFrame):
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-class Cluster:
-    """A cluster in a replay: its members, and the fields of the item that speaks for it."""
+class Item:
+    """A row of a replay."""
 
-    def __init__(self, item, place: int):
-        self.id, self.place, self.members = item.item_id, place, []
-        self.face = item
+    def __init__(self, row):
+        some = lambda v: None if v is None or v is pd.NaT or v != v else v
+        self.id, self.kind, self.url, self.fingerprint, self.eligible = row.item_id, row.kind, row.url or None, row.fingerprint, bool(row.eligible)
+        self.at, published = row.at, some(row.published)
+        self.time = row.at if published is None else published
+        self.set_id, known = some(row.set_id), some(row.known_cluster)
+        self.known = None if known is None else int(known)
+        self.is_face = bool(some(row.known_face))
+        self.contacts = frozenset(row.contacts) if row.contacts is not None else frozenset()
+        self.anchors = sorted(row.tokens, key=lambda t: (-len(t), t))[:3] if row.tokens is not None else []
+        self.readable = None if row.readable is None else row.readable.lower()
+        self.rank = (some(row.score) or 0, some(row.completeness) or 0, -row.item_id)
+        self.grade, self.format = some(row.grade), row.format
+        self.goals = frozenset(row.goals) if row.goals is not None else frozenset()
+        self.location, self.budget = (row.location or "").casefold(), row.budget or ""
 
-    def promote(self, item) -> None:
-        """A better item speaks for the cluster: higher score, then more complete, then the smaller id."""
-        if (item.score, item.completeness, -item.item_id) > (self.face.score, self.face.completeness, -self.face.item_id):
-            self.face = item
+    def shows(self, anchors: list[str]) -> bool:
+        """Whether the readable text holds one of the anchors; an item without such a text isn't asked."""
+        return self.readable is None or any(a in self.readable for a in anchors)
 
+    def fields_conflict(self, other: Item) -> bool:
+        """Whether the known fields of two items can't be of one request."""
+        unlike = lambda a, b: bool(a) and bool(b) and a != b
+        grades = self.grade is not None and other.grade is not None and self.grade != other.grade
+        return grades or unlike(self.goals, other.goals) or {self.format, other.format} == {"online", "offline"} or unlike(self.location, other.location) or unlike(self.budget, other.budget)
 
-def _rows(frame: pd.DataFrame):
-    frame = frame.assign(tokens=frame.tokens.map(set), contacts=frame.contacts.map(set))
-    for column, value in DEFAULTS.items():
-        if column not in frame:
-            frame[column] = value
-    # Null: unknown, or the lowest of a rank.
-    frame = frame.assign(score=frame.score.fillna(0), completeness=frame.completeness.fillna(0), fields=frame.fields.where(frame.fields.notna(), None))
-    return list(frame.sort_values(["at", "item_id"]).itertuples(index=False))
+    def contacts_conflict(self, other: Item) -> bool:
+        return bool(self.contacts and other.contacts and self.contacts != other.contacts)
 
 
-def _contacts_differ(a, b) -> bool:
-    return bool(a.contacts and b.contacts and a.contacts != b.contacts)
+class Cluster:
+    """A cluster in a replay: its place in the order of creation, and the item that speaks for it."""
 
+    def __init__(self, own_id: int, place: int, face: Item):
+        self.id, self.place, self.face = own_id, place, face
 
-def _fields_differ(a: dict | None, b: dict | None) -> bool:
-    """Whether two items name different values of one field; what one side leaves out can't differ."""
-    a, b = dict(a or {}), dict(b or {})
-    return any(a.get(k) not in (None, "") and b.get(k) not in (None, "") and a[k] != b[k] for k in a)
 
+class Replay:
+    """The state of one component: earliest cluster by URL, else by fingerprint, else the most similar one."""
 
-def replay(rows: pd.DataFrame, window_days: int = 30, threshold: float = 90.0) -> pd.DataFrame:
-    """The clusters of one component: earliest cluster by URL, else by fingerprint, else the most similar one.
+    def __init__(self, similar: dict[int, dict[int, float]], window_days: int):
+        self.similar, self.window = similar, window_days * 86400
+        self.clusters: dict[int, Cluster] = {}
+        self.at_url: dict[str, Cluster] = {}  # the earliest cluster with the URL
+        self.with_text: dict[str, dict[int, list[Item]]] = {}  # fingerprint, cluster: its members
+        self.with_set: dict[int, list[tuple[Cluster, Item]]] = {}
+        self.rejected: dict[int, Item] = {}
+        self.waiting: dict[tuple, dict[int, Item]] = {}  # the rejected by URL and by fingerprint
+        self.out: dict[int, tuple] = {}
 
-    A text match needs the kind of the cluster's face, a member within the
-    window, and no conflict of contacts with it or of fields with the face. The
-    best eligible member is the face. Ineligible items join clusters but found
-    none; when an eligible item joins or founds a cluster, earlier items that
-    found none and have its URL or, as texts of its kind, its fingerprint come in
-    after all. Those left have no cluster (null).
-    """
-    window = window_days * 86400
-    clusters: list[Cluster] = []
-    at_url: dict[str, Cluster] = {}  # the earliest cluster with the URL
-    with_text: dict[str, dict[int, list]] = {}  # fingerprint, place of the cluster: its members
-    rejected: dict[int, object] = {}
-    waiting: dict[tuple, list] = {}  # the rejected by URL and by fingerprint
-    out: dict[int, tuple] = {}
-    near = lambda a, b: abs((a.at - b.at).total_seconds()) <= window
-
-    def fits(cluster, member, item):
-        return cluster.face.kind == item.kind and near(member, item) and not _contacts_differ(member, item) and not _fields_differ(cluster.face.fields, item.fields)
-
-    def match(r):
-        if r.url and r.url in at_url:
-            return at_url[r.url], "exact_url", 100.0
-        if not r.tokens:
+    def near(self, a: Item, b: Item) -> bool:
+        return abs((a.time - b.time).total_seconds()) <= self.window
+
+    def fits(self, cluster: Cluster, member: Item, item: Item) -> bool:
+        return cluster.face.kind == item.kind and self.near(member, item) and not item.contacts_conflict(member) and not item.fields_conflict(cluster.face)
+
+    def match(self, item: Item):
+        if item.url in self.at_url:
+            return self.at_url[item.url], "exact_url", 100.0
+        if not item.anchors:
             return None
-        for place, members in sorted(with_text.get(r.fingerprint, {}).items()):
-            if any(fits(clusters[place], m, r) for m in reversed(members)):
-                return clusters[place], "exact_text", 100.0
+        of_text = self.with_text.get(item.fingerprint, {})
+        for cluster in sorted((self.clusters[i] for i in of_text), key=lambda c: c.place):
+            if any(self.fits(cluster, m, item) for m in reversed(of_text[cluster.id])):
+                return cluster, "exact_text", 100.0
         best = None
-        for c in clusters:
-            for m in c.members:
-                least, most = sorted((len(r.tokens), len(m.tokens)))
-                if least < 5 or 100 * least < threshold * most or m.fingerprint == r.fingerprint or not fits(c, m, r):
-                    continue
-                s = 100 * len(r.tokens & m.tokens) / len(r.tokens | m.tokens)
-                if s >= threshold and (best is None or s > best[2]):
-                    best = (c, "fuzzy_text", s)
-        return best
-
-    def join(cluster, item, method, score):
-        cluster.members.append(item)
-        out[item.item_id] = (cluster.id, method, round(score, 2))
-        with_text.setdefault(item.fingerprint, {}).setdefault(cluster.place, []).append(item)
-        if item.url and (item.url not in at_url or cluster.place < at_url[item.url].place):
-            at_url[item.url] = cluster
-
-    for r in _rows(rows):
-        best = match(r)
-        if best is None and not r.eligible:
-            rejected[r.item_id] = r
-            for key in (("url", r.url), ("text", r.fingerprint)):
-                if key[1]:
-                    waiting.setdefault(key, []).append(r)
-            continue
+        for set_id, similarity in self.similar.get(item.set_id, {}).items():
+            for cluster, member in self.with_set.get(set_id, ()):
+                rank = (-similarity, cluster.place, member.id)
+                if (best is None or rank < best[0]) and member.fingerprint != item.fingerprint and member.shows(item.anchors) and self.fits(cluster, member, item):
+                    best = rank, cluster
+        return best and (best[1], "fuzzy_text", -best[0][0])
+
+    def join(self, cluster: Cluster, item: Item, method: str, similarity: float) -> None:
+        self.out[item.id] = (cluster.id, method, round(similarity, 2))
+        self.with_text.setdefault(item.fingerprint, {}).setdefault(cluster.id, []).append(item)
+        if item.set_id is not None:
+            self.with_set.setdefault(item.set_id, []).append((cluster, item))
+        if item.url and (item.url not in self.at_url or cluster.place < self.at_url[item.url].place):
+            self.at_url[item.url] = cluster
+
+    def load(self, items: list[Item]) -> None:
+        """Members of clusters that exist before the replay; these come before all new ones, in the order of their ids."""
+        for item in items:
+            if item.is_face or item.known not in self.clusters:
+                self.clusters[item.known] = Cluster(item.known, item.known, item)
+        for place, own in enumerate(sorted(self.clusters)):
+            self.clusters[own].place = place - len(self.clusters)
+        for item in items:
+            self.join(self.clusters[item.known], item, "exact_id", 100.0)
+
+    def take(self, item: Item) -> None:
+        """Ineligible items join clusters but found none; an eligible one brings back the rejected that it stands for."""
+        best = self.match(item)
+        if best is None and not item.eligible:
+            self.rejected[item.id] = item
+            for key in self.keys(item):
+                self.waiting.setdefault(key, {})[item.id] = item
+            return
         if best is None:
-            clusters.append(Cluster(r, len(clusters)))
-            best = (clusters[-1], "exact_id", 100.0)
-        join(best[0], r, *best[1:])
-        if not r.eligible:
-            continue
-        best[0].promote(r)
-        found = {e.item_id: e for key in (("url", r.url), ("text", r.fingerprint)) for e in waiting.get(key, ()) if e.item_id in rejected}
-        for e in sorted(found.values(), key=lambda e: e.item_id):
-            same_url = bool(r.url) and e.url == r.url
-            same_text = e.fingerprint == r.fingerprint and near(e, r) and e.kind == r.kind and not _contacts_differ(e, r) and not _fields_differ(e.fields, r.fields)
-            if same_url or same_text:
-                del rejected[e.item_id]
-                join(best[0], e, "exact_url" if same_url else "exact_text", 100.0)
-        # Those taken in wait no longer; the others' lists stay short.
-        for key in (("url", r.url), ("text", r.fingerprint)):
-            if key in waiting:
-                waiting[key] = [e for e in waiting[key] if e.item_id in rejected]
-    face = {c.id: c.face.item_id for c in clusters}
-    listed = [(i, *out[i], face[out[i][0]]) if i in out else (i, None, None, None, None) for i in [*out, *rejected]]
-    return pd.DataFrame(listed, columns=["item_id", "cluster_id", "method", "similarity", "canonical_id"]).astype({"cluster_id": "Int64", "canonical_id": "Int64"})
+            best = (self.clusters.setdefault(item.id, Cluster(item.id, len(self.clusters), item)), "exact_id", 100.0)
+        cluster = best[0]
+        self.join(cluster, item, *best[1:])
+        if item.eligible:
+            # A better item speaks for the cluster: higher score, then more complete, then the smaller id.
+            if item.rank > cluster.face.rank:
+                cluster.face = item
+            self.recover(cluster, item)
+
+    def keys(self, item: Item) -> list[tuple]:
+        return [key for key in (("url", item.url), ("text", item.fingerprint)) if key[1]]
+
+    def recover(self, cluster: Cluster, item: Item) -> None:
+        found = {i: e for key in self.keys(item) for i, e in self.waiting.get(key, {}).items()}
+        for earlier in sorted(found.values(), key=lambda e: e.id):
+            same_url = item.url is not None and earlier.url == item.url
+            same_text = earlier.fingerprint == item.fingerprint and self.near(earlier, item) and earlier.kind == item.kind
+            if same_url or same_text and not item.contacts_conflict(earlier) and not item.fields_conflict(earlier):
+                del self.rejected[earlier.id]
+                for key in self.keys(earlier):
+                    del self.waiting[key][earlier.id]
+                self.join(cluster, earlier, "exact_url" if same_url else "exact_text", 100.0)
+
+    def frame(self) -> pd.DataFrame:
+        rows = [(i, *found, self.clusters[found[0]].face.id) for i, found in self.out.items()] + [(i, None, None, None, None) for i in self.rejected]
+        return pd.DataFrame(rows, columns=["item_id", "cluster_id", "method", "similarity", "canonical_id"]).astype({"cluster_id": "Int64", "canonical_id": "Int64"})
+
+
+def replay(rows: pd.DataFrame, links: pd.DataFrame, window_days: int = 30) -> pd.DataFrame:
+    """The clusters of one component: `rows` are its items, `links` (x, y, similarity) its pairs of token sets."""
+    similar: dict[int, dict[int, float]] = {}
+    for x, y, s in zip(links.x, links.y, links.similarity):
+        similar.setdefault(x, {})[y] = s
+        similar.setdefault(y, {})[x] = s
+    for own in rows.set_id.dropna().unique():
+        similar.setdefault(own, {})[own] = 100.0
+    state = Replay(similar, window_days)
+    items = [Item(r) for r in rows.itertuples(index=False)]
+    state.load(sorted((i for i in items if i.known is not None), key=lambda i: i.id))
+    for item in sorted((i for i in items if i.known is None), key=lambda i: (i.at, i.id)):
+        state.take(item)
+    return state.frame()
 
 
 def cluster_items(items: DataFrame, window_days: int = 30, threshold: int = 90) -> DataFrame:
-    """Clusters of `items` (item_id, at, url, kind, fingerprint, tokens, contacts, eligible, and maybe score, completeness, fields).
-
-    `fields` is a map of the names and values that must not differ. A component is
-    replayed in one task, as each decision needs those before it.
+    """(item_id, cluster_id, method, similarity, canonical_id) of `items`; those that are rejected have no cluster.
+
+    Takes item_id, at (arrival), url, kind (items of one cluster are of one),
+    fingerprint, tokens, contacts, eligible; and if they are given: published,
+    which counts instead of the arrival for the window; readable, which must hold
+    one of a similar item's longest words; score and completeness, which choose
+    the face; grade, goals, format, location and budget, which must not conflict;
+    known_cluster and known_face of members of clusters that exist already. A
+    component is replayed in one task, as each decision needs those before it;
+    of its pairs it gets only the similar ones.
     """
-    by_key = lambda c: items.where(F.col(c).isNotNull() & (F.col(c) != "")).join(items.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("item_id").alias("a")), c).select("a", F.col("item_id").alias("b")).where("a <> b")
-    similar = similar_pairs(items.select("item_id", "tokens"), "item_id", threshold).select("a", "b")
-    edges = by_key("url").union(by_key("fingerprint")).union(similar)
-    label = components(edges, items.select(F.col("item_id").alias("node")))
-    grouped = items.join(label, items["item_id"] == label["node"]).drop("node")
-    return grouped.groupBy("component").applyInPandas(lambda rows: replay(rows.drop(columns="component"), window_days, threshold), OUT)
+    items = items.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in items.columns})
+    items = cut(items)  # read for each kind of link
+    members, sets = token_sets(items, "item_id")
+    pairs = cut(similar_sets(sets, threshold).select("x", "y", (100.0 * F.col("shared") / F.col("total")).alias("similarity")))
+    items = cut(items.join(members.withColumnRenamed("id", "item_id"), "item_id", "left"))
+
+    def by(column):
+        """Each item with the smallest one of its key."""
+        known = items.where(F.col(column).isNotNull() & (F.col(column).cast("string") != ""))
+        return known.join(known.groupBy(column).agg(F.min("item_id").alias("a")), column).select("a", F.col("item_id").alias("b"))
+
+    edges = by("url").union(by("fingerprint")).union(by("set_id")).union(by("known_cluster")).union(pairs.select("x", "y")).where("a <> b")
+    label = cut(components(edges, items.select(F.col("item_id").alias("node"))))
+    grouped = items.join(label.withColumnRenamed("node", "item_id"), "item_id")
+    links = pairs.join(label.select(F.col("node").alias("x"), F.col("component").alias("part")), "x")
+    return grouped.groupBy("component").cogroup(links.groupBy("part")).applyInPandas(lambda rows, linked: replay(rows, linked, window_days), OUT)

@@ -9,7 +9,7 @@ from rillflow.functions import text as T
 from rillflow.operators.dedup import band_pairs, exact_groups, representative, similar_pairs
 from rillflow.operators.replay import cluster_items
 from rillflow.sources.records import table
-from rillflow.sources.search import snippet_column, usable_snippets
+from rillflow.sources import search
 from rillflow.sources.wall import decode_windows, sample_windows
 
 PHONE = r"\+[0-9]+ \([0-9]{3}\) [0-9-]+"
@@ -52,14 +52,15 @@ def contact_signature(spark, sf_dir):
 
 
 def token_sets_anchors(spark, sf_dir):
-    rows = normalized(spark, sf_dir)
-    return rows.select("doc_id", F.size(T.tokens(F.col("words"))).cast("long").alias("n_tokens"), F.array_join(T.anchors(F.col("words")), "|").alias("anchors"))
+    # The tokens are a projection of their own: both columns need them.
+    rows = normalized(spark, sf_dir).select("doc_id", T.tokens(F.col("words")).alias("tokens"))
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join(T.longest(F.col("tokens")), "|").alias("anchors"))
 
 
 def near_duplicate_pairs(spark, sf_dir):
     items = normalized(spark, sf_dir).select("doc_id", T.tokens(F.col("words")).alias("tokens"))
     pairs = similar_pairs(items, "doc_id", 90)
-    return pairs.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("total").cast("long").alias("total"))
+    return pairs.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("total").cast("long").alias("total"), "copies_a", "copies_b")
 
 
 def dedup_band_join(spark, sf_dir):
@@ -68,7 +69,7 @@ def dedup_band_join(spark, sf_dir):
 
 
 def classified(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").withColumn("matched", R.hits(F.col("text")))
+    rows = table(spark, sf_dir, "documents").withColumn("readable", T.readable(F.col("text"))).withColumn("matched", R.hits(F.col("readable")))
     kind, sure = R.intent(F.col("matched"))
     return rows.withColumn("intent", kind).withColumn("confidence", sure).withColumn("subject", R.subject(F.col("matched")))
 
@@ -78,14 +79,14 @@ def classify_rules(spark, sf_dir):
 
 
 def rule_match_spans(spark, sf_dir):
-    spans = R.spans()
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(spans("text")).alias("m"))
-    return rows.select("doc_id", "m.rule_id", "m.start", "m.end")
+    found = R.rule_spans()
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found(T.readable(F.col("text")))).alias("m"))
+    return rows.groupBy("doc_id", "m.rule_id").agg(F.count(F.lit(1)).alias("matches"), F.sum((F.col("m.end") - F.col("m.start")).cast("long")).alias("chars"), F.min(F.col("m.start").cast("long")).alias("first"))
 
 
 def extract_fields(spark, sf_dir):
-    pick = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
-    emails, ips = pick(R.GENERIC_RULES[0].pattern), pick(R.GENERIC_RULES[1].pattern)
+    pick = lambda k: F.regexp_extract_all("text", F.lit(T.java(R.GENERIC.rules[k].pattern)), F.lit(0))
+    emails, ips = pick(0), pick(1)
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.size(emails).cast("long").alias("emails"), F.size(ips).cast("long").alias("ips"), F.when(F.size(F.array_distinct(ips)) == 1, F.get(ips, F.lit(0))).alias("only_ip")
     )
@@ -122,11 +123,13 @@ def json_metadata(spark, sf_dir):
 
 
 def snippet_evidence(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", snippet_column(F.col("html")).alias("evidence"))
+    return table(spark, sf_dir, "pages").select("page_id", search.evidence(search.title(F.col("html")), search.passages(F.col("html"))).alias("evidence"))
 
 
 def search_decode(spark, sf_dir):
-    return usable_snippets(table(spark, sf_dir, "pages"))
+    """Pages sent as responses of ten, read back: rank, address, evidence."""
+    results, _ = search.search_results(search.sample_responses(table(spark, sf_dir, "pages")))
+    return results.select("response_id", "rank", "external_id", "url", "evidence")
 
 
 def wall_decode(spark, sf_dir):
@@ -146,7 +149,7 @@ def cluster_replay(spark, sf_dir):
         (F.col("doc_id") % 9 != 0).alias("eligible"),
         (F.col("doc_id") * 37 % 101).alias("score"),
         F.size(F.array_distinct(R.hits(F.col("text")))).alias("completeness"),
-        F.create_map(F.lit("source"), F.col("source")).alias("fields"),
+        F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") % 3).cast("int").alias("grade"),
     )
     return cluster_items(items)
 
@@ -157,18 +160,20 @@ def digest_dst_days(spark, sf_dir):
     return days.select("day", ((F.unix_timestamp(start(F.date_add("day", 1))) - F.unix_timestamp(start(F.col("day")))) / 3600).cast("long").alias("hours")).select(F.col("day").cast("string").alias("day"), "hours")
 
 
+# What follows states the semantics anew, for DuckDB.
+RULES = R.GENERIC.rules
 FOLD = "replace(replace(lower(text), 'ß', 'ss'), 'ё', 'е')"
 WORDS = f"array_to_string(regexp_extract_all(regexp_replace({FOLD}, '\\p{{Cf}}', '', 'g'), '[\\p{{L}}\\p{{N}}]+'), ' ')"
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOKENS = f"list_filter(list_distinct(string_split({WORDS}, ' ')), lambda x: x <> '' AND NOT list_contains([{STOP}], x))"
-HIT = {r.id: f"regexp_matches(text, '{r.pattern}')" for r in R.GENERIC_RULES}
-BEST = sorted((r for r in R.GENERIC_RULES if r.intent), key=lambda r: (-r.priority, r.id))
+HIT = {r.id: f"regexp_matches(text, '{r.pattern}', 'i')" for r in RULES}
+BEST = sorted((r for r in RULES if r.intent), key=lambda r: (-r.priority, r.id))
 INTENT = "CASE " + " ".join(f"WHEN {HIT[r.id]} THEN '{r.intent}'" for r in BEST) + " ELSE 'uncertain' END"
 SURE = "CAST(CASE " + " ".join(f"WHEN {HIT[r.id]} THEN {r.confidence}" for r in BEST) + " ELSE 0.0 END AS DOUBLE)"
-TOPIC = f"CASE WHEN {HIT['table_row']} THEN 'table' WHEN {HIT['shouting']} THEN 'noise' ELSE 'unknown' END"
-MATCHED = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {HIT[r.id]} THEN '{r.id}' END" for r in R.GENERIC_RULES) + "], lambda x: x IS NOT NULL), '|')"
-EMAILS = f"regexp_extract_all(text, '{R.GENERIC_RULES[0].pattern}')"
-IPS = f"regexp_extract_all(text, '{R.GENERIC_RULES[1].pattern}')"
+TOPIC = f"CASE WHEN {HIT['table_row']} AND {HIT['shouting']} THEN 'both' WHEN {HIT['table_row']} THEN 'table' WHEN {HIT['shouting']} THEN 'noise' ELSE 'unknown' END"
+MATCHED = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {HIT[r.id]} THEN '{r.id}' END" for r in RULES) + "], lambda x: x IS NOT NULL), '|')"
+EMAILS = f"regexp_extract_all(text, '{RULES[0].pattern}', 0, 'i')"
+IPS = f"regexp_extract_all(text, '{RULES[1].pattern}')"
 
 QUERIES = {
     f.__name__: f
@@ -183,6 +188,8 @@ QUERY = "list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), la
 PUBLIC_QUERY = QUERY.replace("'ref', 'referrer', ", "")
 CANONICAL = f"{URL_PARTS} || CASE WHEN len({QUERY}) > 0 THEN '?' || array_to_string(list_sort({QUERY}), '&') ELSE '' END"
 PUBLIC = f"{URL_PARTS} || CASE WHEN len({PUBLIC_QUERY}) > 0 THEN '?' || array_to_string({PUBLIC_QUERY}, '&') ELSE '' END"
+TOLD = "list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)[1:5], lambda p: substr(regexp_replace(p, '<[^>]*>', '', 'g'), 1, 1000))"
+EVIDENCE = f"substr(array_to_string(list_filter(list_prepend(substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 600), {TOLD}), lambda x: x <> ''), chr(10)), 1, 4096)"
 SQL = {
     "normalize_fingerprint": f"SELECT doc_id, length({WORDS}) AS n_words_text, sha256({WORDS}) AS fingerprint FROM documents",
     "exact_duplicate_groups": f"SELECT sha256({WORDS}) AS fingerprint, count(*) AS members, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -193,11 +200,13 @@ SQL = {
     "contact_signature": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{PHONE}'), lambda p: sha256('7' || substr(regexp_replace(p, '[^0-9]', '', 'g'), 2))))), '|') AS signature FROM documents",
     "token_sets_anchors": f"SELECT doc_id, len(t) AS n_tokens, array_to_string(list_transform(list_sort(list_transform(t, lambda x: {{'n': -length(x), 'w': x}}))[1:3], lambda s: s.w), '|') AS anchors FROM (SELECT doc_id, {TOKENS} AS t FROM documents)",
     "near_duplicate_pairs": f"""
-WITH sets AS (SELECT doc_id, {TOKENS} AS t FROM documents),
-usable AS (SELECT doc_id, len(t) AS n, t FROM sets WHERE len(t) >= 5),
-words AS (SELECT doc_id, n, unnest(t) AS w FROM usable),
-shared AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS nx, y.n AS ny, count(*) AS shared FROM words x JOIN words y ON x.w = y.w AND x.doc_id < y.doc_id AND x.n >= 0.9 * y.n AND y.n >= 0.9 * x.n GROUP BY 1, 2, 3, 4)
-SELECT a, b, shared, nx + ny - shared AS total FROM shared WHERE 100 * shared >= 90 * (nx + ny - shared)""",
+WITH each AS (SELECT doc_id, list_sort({TOKENS}) AS t FROM documents),
+sets AS (SELECT min(doc_id) AS doc_id, count(*) AS copies, t, len(t) AS n FROM each WHERE len(t) >= 5 GROUP BY t),
+words AS (SELECT doc_id, copies, n, unnest(t) AS w FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, x.copies AS copies_a, y.copies AS copies_b, x.n AS nx, y.n AS ny, count(*) AS shared FROM words x JOIN words y ON x.w = y.w AND x.doc_id < y.doc_id AND x.n >= 0.9 * y.n AND y.n >= 0.9 * x.n GROUP BY ALL)
+SELECT a, b, shared, nx + ny - shared AS total, copies_a, copies_b FROM shared WHERE 100 * shared >= 90 * (nx + ny - shared)
+UNION ALL SELECT doc_id, doc_id, n, n, copies, copies FROM sets WHERE copies > 1""",
+    "rule_match_spans": "WITH read AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM documents), m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r.id}' AS rule_id, regexp_extract_all(text, '{r.pattern}', 0, 'i') AS found FROM read" for r in RULES) + ") SELECT doc_id, rule_id, len(found) AS matches, CAST(list_sum(list_transform(found, lambda x: length(x))) AS BIGINT) AS chars, strpos(text, found[1]) - 1 AS first FROM m JOIN read USING (doc_id) WHERE len(found) > 0",
     "dedup_band_join": """
 WITH i AS (SELECT doc_id, source, doc_id * 60 AS s FROM documents)
 SELECT x.doc_id AS a, count(*) AS partners, min(y.doc_id) AS nearest FROM i x JOIN i y ON x.source = y.source AND x.doc_id < y.doc_id AND y.s - x.s <= 86400 GROUP BY x.doc_id""",
@@ -213,12 +222,12 @@ SELECT doc_id, CAST(greatest(0, least(100, s)) AS INT) AS score, reasons FROM (
 SELECT source, CAST(CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE CAST(u AS HUGEINT) END AS BIGINT) AS lock_key
 FROM (SELECT DISTINCT source, CAST('0x' || substr(sha256(source), 1, 16) AS UBIGINT) AS u FROM documents)""",
     "search_decode": f"""
-SELECT sha256(url) AS external_id, url, evidence FROM (SELECT {PUBLIC} AS url,
-  substr(regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || regexp_extract(html, '<p>([^<]*)', 1), 1, 4096) AS evidence FROM pages) WHERE url IS NOT NULL AND trim(evidence) <> ''""",
-    "wall_decode": "SELECT source || '-' || CAST(CAST(floor(doc_id / 500) AS BIGINT) AS VARCHAR) AS window_id, doc_id AS post_id, doc_id * 60 AS date, coalesce(text, '') AS text, false AS pinned FROM documents",
+SELECT CAST(floor(page_id / 10) AS BIGINT) AS response_id, rank, sha256(url) AS external_id, url, evidence FROM (
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY CAST(floor(page_id / 10) AS BIGINT) ORDER BY page_id) AS INT) AS rank, {PUBLIC} AS url, {EVIDENCE} AS evidence FROM pages) WHERE url IS NOT NULL AND trim(evidence) <> ''""",
+    "wall_decode": "SELECT source || '-' || CAST(CAST(floor(doc_id / 500) AS BIGINT) AS VARCHAR) AS window_id, doc_id + 1 AS post_id, doc_id * 60 AS date, coalesce(text, '') AS text, false AS pinned FROM documents",
     "utf16_units": "SELECT doc_id, length(text) AS units FROM documents",
     "json_metadata": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "snippet_evidence": "SELECT page_id, substr(regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || regexp_extract(html, '<p>([^<]*)', 1), 1, 4096) AS evidence FROM pages",
+    "snippet_evidence": f"SELECT page_id, {EVIDENCE} AS evidence FROM pages",
     "digest_dst_days": """
 WITH d AS (SELECT CAST('2026-01-01' AS DATE) + CAST(i AS INT) AS day FROM range(366) AS t(i))
 SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN month(day) IN (3, 10) AND day + 7 > last_day(day) AND dayofweek(day) = 0 THEN CASE month(day) WHEN 3 THEN 23 ELSE 25 END ELSE 24 END AS hours FROM d""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.plans import relational, state, text
+from rillflow.plans import leads, operations, relational, state, text
 
-MODULES = (text, relational, state)
+MODULES = (text, leads, relational, operations, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

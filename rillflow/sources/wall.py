@@ -2,37 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-POST = "struct<id:bigint,owner_id:bigint,date:bigint,text:string,is_pinned:int,post_type:string,copy_history:array<struct<id:bigint,owner_id:bigint,text:string>>>"
-SCHEMA = f"struct<response:struct<count:int,items:array<{POST}>>,error:struct<error_code:int>>"
+# Bounds of a window.
+LARGEST_WINDOW, LONGEST_TEXT, MOST_REPOSTS, DEEPEST_REPOST = 2 << 20, 65_536, 5, 3
+KINDS = ("post", "copy")
+POST = "post_id:bigint,date:bigint,text:string,pinned:boolean,post_type:string,originals:array<struct<owner_id:bigint,post_id:bigint>>"
+DECODED = f"failure string, code int, posts array<struct<{POST}>>"
 
 
-def decode_windows(windows: DataFrame, limit: int | None = None) -> DataFrame:
-    """(window_id, post_id, date, text, pinned) of the posts of sound windows.
+class Unsound(ValueError):
+    """A window that can't be trusted; its reason is the message."""
+
+
+def need(held: bool, reason: str = "malformed") -> None:
+    if not held:
+        raise Unsound(reason)
+
+
+def whole(value, least: int = 1) -> int:
+    """A 64-bit integer of at least `least`; booleans and floats are none."""
+    need(type(value) is int and least <= value < 1 << 63)
+    return value
+
+
+def said(value) -> str:
+    need(isinstance(value, str) and "\0" not in value)
+    try:
+        value.encode()
+    except UnicodeEncodeError:
+        raise Unsound("malformed") from None
+    need(len(value) <= LONGEST_TEXT, "too_large")
+    return value
+
+
+def strict_json(payload: str):
+    """JSON whose objects name each key once and whose numbers are finite."""
+
+    def once(pairs):
+        need(len({k for k, _ in pairs}) == len(pairs))
+        return dict(pairs)
+
+    def finite(_):
+        raise Unsound("malformed")
+
+    try:
+        return json.loads(payload, object_pairs_hook=once, parse_constant=finite)
+    except (json.JSONDecodeError, RecursionError):
+        raise Unsound("malformed") from None
+
+
+def quoted(history, level: int = 0) -> list[tuple[int, int, str]]:
+    """(owner, post, text) of the posts that a post repeats, and of those they repeat, level by level down."""
+    need(isinstance(history, list) and len(history) <= MOST_REPOSTS and (not history or level < DEEPEST_REPOST))
+    out: list[tuple[int, int, str]] = []
+    for original in history:
+        need(isinstance(original, dict) and original.get("owner_id") != 0)
+        out += [(whole(original.get("owner_id"), 1 - (1 << 63)), whole(original.get("id")), said(original.get("text"))), *quoted(original.get("copy_history", []), level + 1)]
+    need(len(out) <= MOST_REPOSTS)
+    return out
+
 
-    `windows`: window_id, community_id, payload. A window is sound if it has a
-    response and no error, one owner, distinct ids, one pinned post at most, and
-    falling ids of the others, and no fewer posts than it counts, up to `limit`
-    (null: a window may be shorter, but not longer, than its count). A post's text is its own and its distinct
-    originals', a blank line between.
+def read_post(item, community: int) -> dict:
+    """A post with its own text and that of its distinct originals, a blank line between."""
+    need(isinstance(item, dict) and item.get("owner_id") == -community and type(item["owner_id"]) is int)
+    pin, originals = item.get("is_pinned", 0), quoted(item.get("copy_history", []))
+    need(type(pin) is int and pin in (0, 1) and item.get("post_type") in KINDS)
+    texts = dict.fromkeys([said(item.get("text")), *(text for _, _, text in originals)])
+    text = "\n\n".join(t for t in texts if t)
+    need(len(text) <= LONGEST_TEXT, "too_large")
+    links = [{"owner_id": owner, "post_id": post} for owner, post, _ in originals]
+    return {"post_id": whole(item.get("id")), "date": whole(item.get("date"), 0), "text": text, "pinned": pin == 1, "post_type": item["post_type"], "originals": links}
+
+
+def read_window(payload: str | None, community: int, limit: int | None) -> dict:
+    """The posts of a sound window, or why there are none; an error of the provider has its code."""
+    try:
+        need(payload is not None)
+        need(len(payload.encode()) <= LARGEST_WINDOW, "too_large")
+        envelope = strict_json(payload)
+        need(isinstance(envelope, dict) and ("error" in envelope) != ("response" in envelope))
+        answer = envelope.get("response", envelope.get("error"))
+        need(isinstance(answer, dict))
+        if "error" in envelope:
+            return {"failure": "error", "code": whole(answer.get("error_code")), "posts": []}
+        items, count = answer.get("items"), whole(answer.get("count"), 0)
+        # A window shorter than it could be can't prove that it shows all there is.
+        need(isinstance(items, list) and (len(items) <= count if limit is None else len(items) == min(count, limit)))
+        posts = [read_post(item, community) for item in items]
+        ids, loose = [p["post_id"] for p in posts], [p["post_id"] for p in posts if not p["pinned"]]
+        need(len(set(ids)) == len(ids) and len(ids) - len(loose) <= 1 and all(a > b for a, b in zip(loose, loose[1:])))
+        return {"failure": None, "code": None, "posts": posts}
+    except Unsound as reason:
+        return {"failure": str(reason), "code": None, "posts": []}
+
+
+def decode(windows: DataFrame, limit: int | None = None) -> DataFrame:
+    """`windows` (window_id, community_id, payload) with failure, code and posts.
+
+    A window has either a response or an error. A sound response has posts of
+    its community, with distinct ids, of known kinds, one of them pinned at most
+    and the ids of the others falling, as many as it counts up to `limit` (null:
+    no more than it counts). Otherwise all of it is refused: JSON with repeated
+    keys or non-finite numbers, texts or reposts beyond their bounds. A community
+    is named by the number whose negative owns its posts.
     """
-    decoded = windows.withColumn("p", F.from_json("payload", SCHEMA)).where("p.response IS NOT NULL AND p.error IS NULL")
-    held, counted = F.size("p.response.items"), F.col("p.response.count")
-    decoded = decoded.where(held <= counted if limit is None else held == F.least(counted, F.lit(limit)))
-    posts = decoded.select("window_id", "community_id", F.posexplode("p.response.items").alias("pos", "post"))
-    pinned = F.coalesce(F.col("post.is_pinned"), F.lit(0)) == 1
-    order = Window.partitionBy("window_id", "pinned").orderBy("pos")
-    checked = posts.withColumn("pinned", pinned).withColumn("before", F.lag("post.id").over(order))
-    bad = (F.col("post.owner_id") != F.col("community_id")) | F.col("post.id").isNull() | (~F.col("pinned") & (F.col("post.id") >= F.col("before")))
-    verdict = checked.groupBy("window_id").agg(
-        F.max(F.coalesce(bad, F.lit(False))).alias("bad"), F.sum(F.col("pinned").cast("int")).alias("pins"), F.count(F.lit(1)).alias("n"), F.count_distinct("post.id").alias("ids")
-    )
-    sound = verdict.where("NOT bad AND pins <= 1 AND n = ids").select("window_id")
-    originals = F.transform(F.coalesce("post.copy_history", F.array()), lambda c: c["text"])
-    texts = F.array_distinct(F.filter(F.concat(F.array("post.text"), originals), lambda t: t.isNotNull() & (t != "")))
-    return checked.join(sound, "window_id", "left_semi").select("window_id", F.col("post.id").alias("post_id"), F.col("post.date").alias("date"), F.array_join(texts, "\n\n").alias("text"), "pinned")
+
+    @F.pandas_udf(DECODED)
+    def read(payloads: pd.Series, communities: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_window(p, int(c), limit) for p, c in zip(payloads, communities)], columns=["failure", "code", "posts"]).astype({"code": "Int32"})
+
+    return windows.withColumn("d", read("payload", "community_id")).select(*windows.columns, "d.*")
+
+
+def decode_windows(windows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(window_id, post_id, date, text, pinned) of the posts of sound windows; see `decode`."""
+    posts = decode(windows, limit).select("window_id", F.explode("posts").alias("p"))
+    return posts.select("window_id", "p.post_id", "p.date", "p.text", "p.pinned")
 
 
 def new_posts(posts: DataFrame, mark: int) -> DataFrame:
@@ -40,9 +130,35 @@ def new_posts(posts: DataFrame, mark: int) -> DataFrame:
     return posts.where(F.col("post_id") > mark).orderBy(F.desc("post_id"))
 
 
+def read_on(decoded: DataFrame, cursors: DataFrame, initial: int, incremental: int) -> tuple[DataFrame, DataFrame]:
+    """(items, marks) of decoded windows (window_id, community_id, failure, posts), one of each community, and `cursors` (community_id, mark; null or none: never read).
+
+    Items are the posts above the mark. A mark becomes the largest id seen; zero
+    is that of an empty wall. A full window whose loose posts are all above the
+    mark may have left some out: it gives no items, keeps its mark and fails with
+    `overflow`. The first window of a community has no such bound. How many posts
+    fill a window depends on whether it is the first one: `initial`, `incremental`.
+    """
+    known = decoded.join(cursors.select("community_id", F.col("mark").alias("old")), "community_id", "left")
+    full = F.size("posts") == F.when(F.col("old").isNull(), initial).otherwise(incremental)
+    bounded = F.exists("posts", lambda p: ~p["pinned"] & (p["post_id"] <= F.col("old")))
+    failure = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("old").isNotNull() & full & ~bounded, "overflow")
+    judged = known.select("window_id", "community_id", "old", failure.alias("failure"), F.when(failure.isNull(), F.filter("posts", lambda p: p["post_id"] > F.coalesce("old", F.lit(0)))).otherwise(F.array().cast(f"array<struct<{POST}>>")).alias("posts"))
+    items = judged.select("community_id", F.explode("posts").alias("p")).select("community_id", "p.*")
+    mark = F.when(F.col("failure").isNull(), F.greatest(F.coalesce("old", F.lit(0)), F.coalesce(F.array_max(F.transform("posts", lambda p: p["post_id"])), F.lit(0)))).otherwise(F.col("old"))
+    return items, judged.select("community_id", mark.alias("mark"), "failure")
+
+
+def wall_records(items: DataFrame, sources: DataFrame, collected_at: Column) -> DataFrame:
+    """Items of `read_on` as records; `sources`: community_id, source_key."""
+    key = F.concat_ws("_", "community_id", "post_id")
+    said_by = F.to_json(F.struct("community_id", "post_id", F.col("pinned").alias("is_pinned"), "post_type", F.lit("wall_post").alias("evidence_kind"), "originals"))
+    return items.join(sources, "community_id").select("source_key", key.alias("external_id"), F.timestamp_seconds("date").alias("published_at"), collected_at.alias("collected_at"), "text", said_by.alias("metadata"))
+
+
 def sample_windows(documents: DataFrame) -> DataFrame:
     """Documents as windows of one community a source, the newest first."""
-    post = F.struct(F.col("doc_id").alias("id"), F.lit(-1).cast("long").alias("owner_id"), (F.col("doc_id") * 60).alias("date"), "text", F.lit("post").alias("post_type"))
+    post = F.struct((F.col("doc_id") + 1).alias("id"), F.lit(-1).cast("long").alias("owner_id"), (F.col("doc_id") * 60).alias("date"), "text", F.lit("post").alias("post_type"))
     day = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string"))
     windows = documents.groupBy(day.alias("window_id")).agg(F.sort_array(F.collect_list(post), asc=False).alias("items"))
-    return windows.select("window_id", F.lit(-1).cast("long").alias("community_id"), F.to_json(F.struct(F.struct(F.size("items").alias("count"), "items").alias("response"))).alias("payload"))
+    return windows.select("window_id", F.lit(1).cast("long").alias("community_id"), F.to_json(F.struct(F.struct(F.size("items").alias("count"), "items").alias("response"))).alias("payload"))

@@ -2,38 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.operators.collection import first_wins
+from rillflow.operators.lineage import shared_folder
 
-def first_versions(batch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row a key, the first in the order of all columns."""
-    order = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in batch.columns])
-    return batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+#: Where a row of a batch came from, in the order of arrival.
+ARRIVAL = {"_at": "_metadata.file_modification_time", "_file": "_metadata.file_path", "_row": "_metadata.row_index"}
 
 
 def ingest_available(spark: SparkSession, path: str, keys: tuple[str, ...], target: str | None = None) -> DataFrame:
     """Everything at `path` appended once to `target`, in micro-batches; rows whose keys are there already are left out.
 
-    The stream's checkpoint gives each file to one batch; a batch that runs
-    again writes its own folder again, so a replay changes nothing.
+    The first row of a key stays: that of the oldest file, and in a file the
+    first one. The stream's checkpoint gives each file to one batch; a batch that
+    runs again writes its own folders again, so a replay changes nothing. Beside
+    the rows each batch leaves its keys alone, and only these are read again.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rillflow-")
-    target = target or f"{root}/ingest-{uuid.uuid4().hex}"
+    target = target or f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    empty = spark.createDataFrame([], schema)
+    names, arrival = schema.names, [F.asc(c) for c in ARRIVAL]
 
     def append(batch: DataFrame, epoch: int) -> None:
-        done = empty
-        if epoch:
-            done = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{target}/batch={i}" for i in range(epoch)])
-        first_versions(batch, keys).join(done.select(*keys), list(keys), "left_anti").select(*schema.names).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+        done = spark.read.schema(batch.select(*keys).schema).parquet(*[f"{target}-keys/batch={i}" for i in range(epoch)]) if epoch else None
+        batch_path = f"{target}/batch={epoch}"
+        first_wins(batch, list(keys), arrival, done).select(*names).write.mode("overwrite").parquet(batch_path)
+        spark.read.schema(schema).parquet(batch_path).select(*keys).write.mode("overwrite").parquet(f"{target}-keys/batch={epoch}")
 
     # As a pattern, so that a single file will do as well as a folder.
-    source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").select("*", *(F.col(c).alias(name) for name, c in ARRIVAL.items()))
     stream = source.writeStream.foreachBatch(append).option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(target)

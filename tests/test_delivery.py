@@ -1,17 +1,20 @@
 import datetime
 import html
 import random
+import time
 
 import pandas as pd
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rillflow.functions import outcomes as O
 from rillflow.functions import presentation as P
-from rillflow.operators import delivery
+from rillflow.operators import delivery, selection
 from rillflow.operators.replay import replay
-from rillflow.streaming.feedback import step
+from rillflow.streaming.feedback import CHOICES, feedback_available, ledger_of, step
+from rillflow.streaming.ingest import ingest_available
 
 NOW = datetime.datetime(2026, 3, 29, 10, tzinfo=datetime.timezone.utc)
 
@@ -111,23 +114,64 @@ def test_callbacks_are_strict(spark):
         assert (got and tuple(got)) == expected
 
 
-def test_feedback_in_batches_is_feedback_at_once():
+def test_feedback_in_batches_is_feedback_at_once(spark, tmp_path):
     rng = random.Random(3)
-    rows = pd.DataFrame([(i, rng.randrange(3), 1, rng.choice("abc")) for i in range(200)], columns=["callback_id", "actor", "lead", "choice"])
-    whole = step({}, rows)
-    state, parts = {}, []
-    for start in range(0, 200, 30):
-        parts += step(state, rows.iloc[max(0, start - 10) : start + 30])  # each batch replays some of the one before
-    assert parts == whole and 0 < len(whole) < 200
+    rows = [(i, rng.randrange(3), rng.choice(list(CHOICES) + ["other"])) for i in range(200)]
+    for start in range(0, 200, 50):  # each file replays some of the one before
+        frame = spark.createDataFrame(rows[max(0, start - 10) : start + 50], "event_id long, user_id long, event_type string")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = lambda **kw: sorted(tuple(r) for r in feedback_available(spark, str(tmp_path / "events.parquet"), leads=2, **kw).collect())
+    state, whole = {}, []
+    answers = pd.DataFrame([(i, u, i % 2, CHOICES[t]) for i, u, t in rows if t in CHOICES], columns=["callback_id", "actor", "lead", "choice"])
+    for _, own in answers.groupby("lead"):
+        whole += step({}, own)
+    assert got() == sorted(whole) == got(files_per_trigger=1) and 0 < len(whole) < len(answers)
+    assert sorted(tuple(r) for r in ledger_of(spark.createDataFrame(pd.concat([answers, answers.tail(20)]))).collect()) == sorted(whole)
+
+
+def test_the_first_arrival_stays(spark, tmp_path):
+    for k, rows in enumerate([[(1, "a"), (1, "b"), (2, "z")], [(1, "0"), (3, "c"), (None, "n")]]):
+        spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in.parquet"))
+        time.sleep(1.1)
+    got = ingest_available(spark, str(tmp_path / "in.parquet"), ("k",), target=str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a"), (2, "z"), (3, "c")]
+
+
+def test_a_finished_chunk_moves_its_envelope_and_lead(spark):
+    make, now = spark.createDataFrame, F.timestamp_seconds(F.lit(1000))
+    envelopes = make([(1, 7, "sending"), (2, 8, "sending"), (3, None, "sending")], "envelope_id long, lead_id long, status string").selectExpr("*", "CAST(NULL AS STRING) message_id", "'old' last_error", "CAST(NULL AS TIMESTAMP) sent_at")
+    chunks = make([(1, 0, "sent", 1), (1, 1, "sending", 1), (2, 0, "sending", 2), (3, 0, "sending", 3)], "envelope_id long, position int, status string, attempts int").selectExpr("envelope_id", "position", "status", "CAST(NULL AS STRING) message_id", "CAST(NULL AS STRING) last_error", "attempts", "CAST(NULL AS TIMESTAMP) next_attempt_at", "CAST(NULL AS TIMESTAMP) sent_at")
+    leads = make([(7, "new"), (8, "new"), (9, "new")], "lead_id long, status string")
+    results = make([(1, 1, "m1", None, 0.0), (2, 0, None, "rate_limited", 90.0), (3, 0, None, "ambiguous", 0.0)], "envelope_id long, position int, message_id string, error string, retry_after double")
+    e, c, known = delivery.finish(envelopes, chunks, leads, results, now)
+    assert {r.envelope_id: (r.status, r.message_id, r.last_error) for r in e.collect()} == {1: ("sent", "m1", None), 2: ("failed", None, "rate_limited"), 3: ("failed", None, "ambiguous")}
+    assert {(r.envelope_id, r.position): (r.status, r.due) for r in c.withColumn("due", F.unix_timestamp("next_attempt_at")).collect()} == {(1, 0): ("sent", None), (1, 1): ("sent", None), (2, 0): ("failed", 1090), (3, 0): ("ambiguous", None)}
+    assert {r.lead_id: r.status for r in known.collect()} == {7: "notified", 8: "new", 9: "new"}
+
+
+def test_selectors_and_pauses(spark):
+    items = spark.createDataFrame([(1, "failed", 5), (2, "failed", 4), (3, "pending", 1)], "item_id long, status string, collected_at long")
+    again = lambda **kw: {r.item_id for r in selection.reset_failed(items, **kw).where("status = 'pending'").collect()}
+    assert again(item_id=1) == {1, 3} and again(limit=1) == {2, 3} and again(item_id=3) == {3}
+    for bad in ({}, {"item_id": 1, "limit": 1}, {"limit": 0}, {"limit": 1001}):
+        with pytest.raises(ValueError):
+            selection.reset_failed(items, **bad)
+    old = spark.createDataFrame([("a", True), ("b", False)], "recipient string, paused boolean")
+    changes = spark.createDataFrame([("a", True, 1), ("a", False, 2), ("c", True, 1)], "recipient string, paused boolean, at long")
+    assert {r.recipient: r.paused for r in selection.set_paused(old, changes).collect()} == {"a": False, "b": False, "c": True}
+    none = selection.reserve_immediate(*[spark.range(0)] * 3, paused=True)
+    assert none.columns == ["lead_id", "envelope_id", "rank"] and not none.collect()
 
 
 def item(i, **changes):
-    base = {"item_id": i, "at": pd.Timestamp("2026-01-01") + pd.Timedelta(days=i), "url": None, "kind": "a", "fingerprint": f"f{i}", "tokens": [f"{i}-{k}" for k in range(9)], "contacts": [], "eligible": True, "score": 50, "completeness": 1, "fields": None}
-    return base | changes
+    base = {"item_id": i, "at": pd.Timestamp("2026-01-01") + pd.Timedelta(days=i), "published": None, "url": None, "kind": "a", "fingerprint": f"f{i}", "tokens": [f"{i}-{k}" for k in range(9)], "readable": None, "contacts": [], "eligible": True, "score": 50, "completeness": 1}
+    empty = {"grade": None, "goals": None, "format": None, "location": None, "budget": None, "known_cluster": None, "known_face": None, "set_id": None}
+    return base | empty | changes
 
 
 def clusters(*items):
-    return {r.item_id: (None if r.cluster_id is pd.NA else r.cluster_id, r.method, None if r.canonical_id is pd.NA else r.canonical_id) for r in replay(pd.DataFrame(list(items))).itertuples()}
+    none = pd.DataFrame({"x": [], "y": [], "similarity": []})
+    return {r.item_id: (None if r.cluster_id is pd.NA else r.cluster_id, r.method, None if r.canonical_id is pd.NA else r.canonical_id) for r in replay(pd.DataFrame(list(items)), none).itertuples()}
 
 
 def test_the_best_item_speaks_for_its_cluster():
@@ -151,5 +195,5 @@ def test_rejected_items_come_in_with_an_eligible_one():
 
 
 def test_conflicting_fields_keep_texts_apart():
-    got = clusters(item(1, fingerprint="f", fields={"grade": "9"}), item(2, fingerprint="f", fields={"grade": "8"}), item(3, fingerprint="f", fields={"goal": "x"}))
+    got = clusters(item(1, fingerprint="f", grade=9), item(2, fingerprint="f", grade=8), item(3, fingerprint="f", goals=["x"]))
     assert got[2][0] == 2 and got[3][0] == 1

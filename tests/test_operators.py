@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from rillflow import registry
 from rillflow.operators import delivery
 from rillflow.operators.dedup import similar_pairs
-from rillflow.operators.replay import cluster_items, components, replay
+from rillflow.operators import process
+from rillflow.operators.replay import cluster_items, components
+from rillflow.sources.fixture import FIXTURE_TIME, TEXTS
+from rillflow.sources.records import RAW
 from rillflow.sources.wall import decode_windows
 
 SF = "/root/testdata/sf0.001"
@@ -46,23 +49,170 @@ def test_similar_pairs_by_brute_force(spark):
         for _ in range(rng.randrange(3)):
             words.add(f"x{rng.randrange(40)}")
         sets.append((i, sorted(words)))
-    got = {(r.a, r.b) for r in similar_pairs(spark.createDataFrame(sets, "i long, tokens array<string>"), "i", 90).collect()}
-    expected = {(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 100 * len(set(x) & set(y)) >= 90 * len(set(x) | set(y))}
+    sets += [(100 + i, sets[i][1]) for i in range(5)] + [(200, ["few"]), (201, [])]
+    got = {(r.a, r.b): (r.shared, r.total, r.copies_a, r.copies_b) for r in similar_pairs(spark.createDataFrame(sets, "i long, tokens array<string>"), "i", 90).collect()}
+    groups = {}
+    for i, words in sets:
+        if len(words) >= 5:
+            groups.setdefault(tuple(words), []).append(i)
+    expected = {}
+    for (x, own), (y, other) in itertools.combinations_with_replacement(groups.items(), 2):
+        both, either = len(set(x) & set(y)), len(set(x) | set(y))
+        if 100 * both >= 90 * either and (x != y or len(own) > 1):
+            expected[tuple(sorted((min(own), min(other))))] = (both, either, *((len(own), len(other)) if min(own) <= min(other) else (len(other), len(own))))
     assert got == expected and expected
 
 
-def test_replay_by_components_is_the_replay_of_all(spark):
-    rng = random.Random(2)
-    start = datetime.datetime(2026, 1, 1)
+def single_pass(rows, days=30):
+    """All items in one pass, each against every member of every lead, as the rules are stated."""
+    leads, rejected, result = [], [], {}
+    conflict = lambda a, b: bool(a) and bool(b) and a != b
+    time = lambda r: r["published"] or r["at"]
+    near = lambda a, b: abs(time(a) - time(b)) <= datetime.timedelta(days=days)
+
+    def unlike(a, b):
+        formats = {a["format"], b["format"]} == {"online", "offline"}
+        grades = a["grade"] is not None and b["grade"] is not None and a["grade"] != b["grade"]
+        return formats or grades or conflict(set(a["goals"]), set(b["goals"])) or conflict((a["location"] or "").lower(), (b["location"] or "").lower()) or conflict(a["budget"], b["budget"])
+
+    def put(lead, r, method, s):
+        lead["members"].append(r)
+        result[r["item_id"]] = (lead["id"], method, round(s, 2))
+
+    for r in sorted(rows, key=lambda r: (r["at"], r["item_id"])):
+        words = set(r["tokens"])
+        anchors = sorted(words, key=lambda t: (-len(t), t))[:3]
+        found = None
+        if r["url"]:
+            found = next(((x, "exact_url", 100.0) for x in leads if any(m["url"] == r["url"] for m in x["members"])), None)
+        if not found and anchors:
+            best = None
+            for x in leads:
+                for m in sorted(x["members"], key=lambda m: m["item_id"]):
+                    same = m["fingerprint"] == r["fingerprint"]
+                    if x["face"]["kind"] != r["kind"] or not near(m, r) or conflict(set(m["contacts"]), set(r["contacts"])) or unlike(r, x["face"]) or not (same or any(a in m["readable"].lower() for a in anchors)):
+                        continue
+                    if same:
+                        found = found or (x, "exact_text", 100.0)
+                        continue
+                    other = set(m["tokens"])
+                    s = 100 * len(words & other) / len(words | other)
+                    if min(len(words), len(other)) >= 5 and s >= 90 and (best is None or s > best[2]):
+                        best = (x, "fuzzy_text", s)
+            found = found or best
+        if not found and not r["eligible"]:
+            rejected.append(r)
+            result[r["item_id"]] = (None, None, None)
+            continue
+        if not found:
+            leads.append({"id": r["item_id"], "members": [], "face": r})
+            found = (leads[-1], "exact_id", 100.0)
+        lead = found[0]
+        put(lead, r, *found[1:])
+        if r["eligible"]:
+            rank = lambda i: (i["score"], i["completeness"], -i["item_id"])
+            if rank(r) > rank(lead["face"]):
+                lead["face"] = r
+            for e in sorted(rejected, key=lambda e: e["item_id"]):
+                url = bool(r["url"]) and e["url"] == r["url"]
+                if url or e["fingerprint"] == r["fingerprint"] and near(e, r) and e["kind"] == r["kind"] and not conflict(set(e["contacts"]), set(r["contacts"])) and not unlike(r, e):
+                    put(lead, e, "exact_url" if url else "exact_text", 100.0)
+                    rejected = [x for x in rejected if x is not e]
+    return {i: (c, m, s, next(x["face"]["item_id"] for x in leads if x["id"] == c) if c is not None else None) for i, (c, m, s) in result.items()}
+
+
+ITEM = "item_id long, at timestamp, published timestamp, url string, kind string, fingerprint string, tokens array<string>, readable string, contacts array<string>, eligible boolean, score int, completeness int, grade int, goals array<string>, format string, location string, budget string"
+
+
+def some_items(seed, n=150):
+    rng, start = random.Random(seed), datetime.datetime(2026, 1, 1)
     rows = []
-    for i in range(60):
-        words = [f"w{rng.randrange(4)}-{k}" if k == 0 else f"w{i % 5}-{k}" for k in range(20)]
-        rows.append((i, start + datetime.timedelta(days=i), rng.choice([None, f"http://u/{rng.randrange(12)}"]), "a", " ".join(sorted(words)), sorted(words), [], rng.random() < 0.8))
-    schema = "item_id long, at timestamp, url string, kind string, fingerprint string, tokens array<string>, contacts array<string>, eligible boolean"
-    frame = spark.createDataFrame(rows, schema)
-    got = {r.item_id: r.cluster_id for r in cluster_items(frame).collect()}
-    whole = replay(frame.toPandas())
-    assert got == {r.item_id: None if r.cluster_id is pd.NA else r.cluster_id for r in whole.itertuples()}
+    for i in range(n):
+        k = rng.randrange(6)
+        words = [f"w{k}x{j}" for j in range(22)]
+        if rng.random() < 0.5:
+            words[rng.randrange(22)] = f"v{rng.randrange(3)}"
+        if rng.random() < 0.1:
+            words = words[:4]
+        order = sorted(set(words), reverse=rng.random() < 0.3)
+        pick = lambda *values, p=0.2: rng.choice(values) if rng.random() < p else None
+        rows.append({
+            "item_id": i, "at": start + datetime.timedelta(hours=rng.randrange(2000)), "published": start + datetime.timedelta(days=rng.randrange(90)) if rng.random() < 0.5 else None, "url": pick("u1", "u2", "u3", p=0.15), "kind": rng.choice("aab"),
+            "fingerprint": " ".join(order), "tokens": sorted(set(words)), "readable": " ".join(order).upper(), "contacts": pick(["1"], ["2"]) or [], "eligible": rng.random() < 0.7, "score": rng.randrange(5), "completeness": rng.randrange(3),
+            "grade": pick(9, 10), "goals": pick(["x", "y"], ["y", "x"], ["z"]) or [], "format": pick("online", "offline", "either") or "unknown", "location": pick("Пермь", "пермь", "Омск"), "budget": pick("1", "2"),
+        })
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_clusters_are_those_of_a_single_pass(spark, seed):
+    rows = some_items(seed)
+    frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in ITEM.split(", ")) for r in rows], ITEM)
+    got = {r.item_id: (r.cluster_id, r.method, r.similarity, r.canonical_id) for r in cluster_items(frame).collect()}
+    expected = single_pass(rows)
+    assert got == expected
+    assert {m for _, m, _, _ in expected.values()} == {None, "exact_id", "exact_text", "exact_url", "fuzzy_text"}
+
+
+def test_members_of_earlier_leads_stay_theirs(spark):
+    rows = some_items(4, 40)
+    frame = lambda rows, **more: spark.createDataFrame([tuple({**r, **more}[c.split()[0]] for c in ITEM.split(", ")) for r in rows], ITEM)
+    rows = [r | {"at": r["at"].replace(year=2026 if r["item_id"] < 30 else 2027), "published": r["published"] or r["at"]} for r in rows]
+    first = {r.item_id: r for r in cluster_items(frame(rows[:30])).collect()}
+    known = spark.createDataFrame([(i, r.cluster_id, i == r.canonical_id) for i, r in first.items() if r.cluster_id is not None], "item_id long, known_cluster long, known_face boolean")
+    # What was rejected then is rejected now: it is left out of the second run.
+    kept = [r for r in rows if first.get(r["item_id"]) is None or first[r["item_id"]].cluster_id is not None]
+    second = {r.item_id: r.cluster_id for r in cluster_items(frame(kept).join(known, "item_id", "left")).collect()}
+    assert all(second[i] == r.cluster_id for i, r in first.items() if r.cluster_id is not None)
+    whole = single_pass(kept)
+    assert {i: c for i, c in second.items() if i >= 30 and c is not None and c < 30}.keys() <= {r["item_id"] for r in rows} and len(second) == len(kept) and whole
+
+
+@pytest.mark.parametrize(
+    "change, leads, method",
+    [
+        ({"url": "https://example.invalid/request?utm_source=b&id=1", "text": "Нужен репетитор по литературе, 9 класс, ОГЭ, онлайн. Бюджет до 2000 руб за час."}, 1, "exact_url"),
+        ({"upper": True}, 1, "exact_text"),
+        ({"end": " Пожалуйста."}, 1, "fuzzy_text"),
+        ({"grade": True}, 2, None),
+        ({"published": 31}, 2, None),
+        ({"published": 30}, 1, "exact_text"),
+        ({"end": " Только опытный преподаватель с подтвержденными результатами и рекомендациями."}, 2, None),
+        ({"phones": True}, 2, None),
+    ],
+)
+def test_variants_of_one_request(spark, change, leads, method):
+    text, at = TEXTS["primary"][-1], FIXTURE_TIME
+    other = change.get("text", text).replace("10 класс", "9 класс" if change.get("grade") else "10 класс") + change.get("end", "")
+    other = other.upper() if change.get("upper") else other
+    numbers = (" +7 (999) 123-45-67", " +7 (999) 765-43-21") if change.get("phones") else ("", "")
+    rows = [
+        (1, "a", "https://example.invalid/request?id=1&utm_source=a", at, at, text + numbers[0], "{}"),
+        (2, "b", change.get("url", "https://example.invalid/another"), at + datetime.timedelta(days=change.get("published", 0)), at + datetime.timedelta(seconds=1), other + numbers[1], "{}"),
+    ]
+    items = process.process(spark.createDataFrame(rows, "item_id long, " + RAW.replace("external_id string, ", "")), F.lit("2026-01-01 13:00:00").cast("timestamp"))
+    got = {r.item_id: r for r in process.cluster(items).collect()}
+    assert len({r.cluster_id for r in got.values()}) == leads and all(r.cluster_id is not None for r in got.values())
+    assert method is None or got[2].method == method
+
+
+def test_pending_items_and_bad_arguments(spark):
+    rows = [(i, "s", None, None, FIXTURE_TIME, None if i == 2 else "Ищу репетитора по литературе", "{}", "pending") for i in range(4)]
+    items = spark.createDataFrame(rows, "item_id long, " + RAW.replace("external_id string, ", "") + ", processing_status string")
+    now = F.lit("2026-01-01").cast("timestamp")
+    done, failed = process.process_pending(items, now, limit=3)
+    assert sorted(r.item_id for r in done.collect()) == [0, 1] and [(r.item_id, r.processing_error) for r in failed.collect()] == [(2, "missing_text")]
+    with pytest.raises(ValueError):
+        process.process_pending(items, now, limit=0)
+    with pytest.raises(ValueError):
+        process.process(items.withColumn("collected_at", F.col("collected_at").cast("timestamp_ntz")), now)
+    clusters = process.cluster(done)
+    sources = spark.createDataFrame([("s", "Source")], "source_key string, display_name string")
+    found = process.leads(clusters, done)
+    view = process.lead_views(found, done, sources).first()
+    assert view.lead.source == "Source" and view.lead.reason_ids[:2] == ["seeking_tutor", "literature"] and found.first().occurrences == 2
+    members = process.known_members(found, process.occurrences(clusters), done)
+    assert sorted((r.item_id, r.known_cluster, r.known_face) for r in members.collect()) == [(0, 0, True), (1, 0, False)]
 
 
 def test_a_long_chain_is_one_component(spark):
@@ -82,8 +232,8 @@ def test_chunks_and_delivery():
 
 
 def test_unsound_windows_give_nothing(spark):
-    post = '{"id":%d,"owner_id":-1,"date":1,"text":"t"}'
+    post = '{"id":%d,"owner_id":-1,"date":1,"text":"t","post_type":"post"}'
     good = '{"response":{"count":2,"items":[%s,%s]}}' % (post % 5, post % 3)
     bad = '{"response":{"count":2,"items":[%s,%s]}}' % (post % 3, post % 5)
-    rows = spark.createDataFrame([("g", -1, good), ("b", -1, bad), ("x", -1, "nonsense")], "window_id string, community_id long, payload string")
+    rows = spark.createDataFrame([("g", 1, good), ("b", 1, bad), ("x", 1, "nonsense")], "window_id string, community_id long, payload string")
     assert sorted((r.window_id, r.post_id) for r in decode_windows(rows).collect()) == [("g", 3), ("g", 5)]
