@@ -10,8 +10,8 @@ from rillflow.operators.lineage import cut
 
 def exact_groups(items: DataFrame, key: str, id_column: str) -> DataFrame:
     """(key, members, first) of each key that at least two items share; null keys share nothing."""
-    # Grouped first: a filter below the projection that makes the key would have it made twice.
-    return items.groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.min(id_column).alias("first")).where((F.col("members") > 1) & F.col(key).isNotNull())
+    # A condition on the key itself would move below the projection that makes it, which would then be made twice.
+    return items.groupBy(key).agg(F.count(key).alias("members"), F.min(id_column).alias("first")).where("members > 1")
 
 
 def token_sets(items: DataFrame, id_column: str, least_tokens: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -20,9 +20,9 @@ def token_sets(items: DataFrame, id_column: str, least_tokens: int = 5) -> tuple
     `tokens` holds distinct words; they are compared by 64-bit hashes. A set is
     named by its smallest item.
     """
-    hashed = items.select(F.col(id_column).alias("id"), F.array_sort(F.transform("tokens", lambda w: F.xxhash64(w))).alias("hashes")).where(F.size("hashes") >= least_tokens)
-    # Read several times below: the texts are normalized once.
-    keyed = cut(hashed.withColumn("k1", F.xxhash64("hashes")).withColumn("k2", F.xxhash64(F.lit(1), "hashes")))
+    hashed = items.select(F.col(id_column).alias("id"), F.array_sort(F.transform("tokens", lambda w: F.xxhash64(w))).alias("hashes"))
+    # Read several times below: the texts are normalized once, and for that also before the condition on their tokens.
+    keyed = cut(hashed.withColumn("k1", F.xxhash64("hashes")).withColumn("k2", F.xxhash64(F.lit(1), "hashes"))).where(F.size("hashes") >= least_tokens)
     named = keyed.groupBy("k1", "k2").agg(F.min("id").alias("set_id"))
     members = keyed.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "set_id")
     first = keyed.join(named.select("k1", "k2", F.col("set_id").alias("id")), ["k1", "k2", "id"], "left_semi")
