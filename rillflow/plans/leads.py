@@ -73,6 +73,13 @@ def request_scores(spark, sf_dir):
     return rows.select("item_id", "intent", "subject", "score", F.array_join(F.transform("reasons", lambda r: r["rule_id"]), "|").alias("reasons"), "completeness", f["grade"].alias("grade"), "eligible")
 
 
+def extract_request_fields(spark, sf_dir):
+    """The fields of the quoted requests."""
+    answered = F.get_json_object("metadata", "$.response_available") == "true"
+    rows = quoted_items(spark, sf_dir).withColumn("readable", T.readable(F.col("text"))).select("item_id", R.extract_fields(F.col("readable"), answered).alias("f"))
+    return rows.select("item_id", "f.grade", F.array_join("f.goals", "|").alias("goals"), "f.format", F.coalesce("f.location_text", F.lit("-")).alias("location"), "f.urgency", F.coalesce("f.budget_text", F.lit("-")).alias("budget"), "f.contact_available", "f.closed")
+
+
 def field_evidence(spark, sf_dir):
     """The matches that the fields of the quoted requests rest on, by rule."""
     found = R.field_spans()
@@ -96,7 +103,7 @@ def rejected_recovery(spark, sf_dir):
     return got.select("item_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("method", F.lit("rejected")).alias("method"))
 
 
-QUERIES = {f.__name__: f for f in (golden_pipeline, golden_items, golden_leads, request_scores, field_evidence, rejected_recovery)}
+QUERIES = {f.__name__: f for f in (golden_pipeline, golden_items, golden_leads, request_scores, extract_request_fields, field_evidence, rejected_recovery)}
 
 TEXT_LIST = "[" + ", ".join(f"'{t}'" for t in TEXTS["primary"]) + "]"
 #: Of each fixed request: intent, subject, sum of its weights without freshness and contact, completeness without contact, grade.
@@ -117,6 +124,19 @@ KNOWN = (
 )
 KNOWN_SQL = "known(k, intent, subject, base, complete, grade, reasons) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}', {c}, {d}, {'NULL' if e is None else e}, '{r}')" for i, (a, b, c, d, e, r) in enumerate(KNOWN)) + ")"
 ELIGIBLE = "intent IN ('seeking_tutor', 'uncertain') AND subject IN ('literature', 'russian_and_literature') AND score >= 45"
+#: What the fields of each fixed request are, and what they rest on: rule and length of the match.
+FIELDS = {
+    0: ("ege", "online", "-", "-"), 4: ("oge", "online", "-", "до 2000 руб за час"), 5: ("olympiad|vsosh", "online", "-", "-"), 6: ("ege", "online", "-", "до 2000 руб."), 11: ("ege", "online", "-", "-"), 12: ("ege", "online", "Москва", "-"),
+}
+RESTS_ON = {
+    0: (("grade", 8), ("goal_ege", 3), ("format_online", 6)),
+    4: (("grade", 7), ("goal_oge", 3), ("format_online", 6), ("budget", 18)),
+    5: (("grade", 8), ("goal_olympiad", 9), ("goal_vsosh", 4), ("format_online", 6)),
+    6: (("grade", 8), ("goal_ege", 3), ("format_online", 6), ("budget", 12)),
+    10: (("grade", 7),),
+    11: (("grade", 8), ("goal_ege", 3), ("format_online", 6)),
+    12: (("grade", 8), ("goal_ege", 3), ("format_online", 6), ("location", 12)),
+}
 #: Reasons keep their order: freshness comes after the grade, the budget and the contact after it, the negative ones last.
 SQL = {
     "golden_pipeline": "SELECT 14 AS raw, 8 AS processed, 6 AS rejected, 8 AS occurrences, 6 AS leads, 1 AS exact_text, 1 AS fuzzy_text, 0 AS failed",
@@ -136,6 +156,13 @@ listed AS (SELECT *, list_filter(string_split(reasons, '|'), lambda x: x NOT IN
   list_filter(string_split(reasons, '|'), lambda x: x IN ('offering_tutoring', 'school_or_agency_ad', 'teaching_job')) AS last_ FROM scored)
 SELECT item_id, intent, subject, score, completeness, grade, {ELIGIBLE} AS eligible,
   array_to_string(list_concat(before_, CASE WHEN fresh THEN ['fresh'] ELSE [] END, budget, CASE WHEN contact THEN ['contact_available'] ELSE [] END, last_), '|') AS reasons FROM listed""",
+    "extract_request_fields": f"""
+WITH {KNOWN_SQL}, fields(k, goals, format, location, budget) AS (VALUES {", ".join(f"({k}, '{a}', '{b}', '{c}', '{d}')" for k, (a, b, c, d) in FIELDS.items())})
+SELECT doc_id AS item_id, CAST(grade AS INT) AS grade, coalesce(goals, '') AS goals, coalesce(format, 'unknown') AS format, coalesce(location, '-') AS location, 'unknown' AS urgency, coalesce(budget, '-') AS budget, doc_id % 4 = 0 AS contact_available, false AS closed
+FROM documents JOIN known ON known.k = doc_id % 13 LEFT JOIN fields ON fields.k = doc_id % 13""",
+    "field_evidence": f"""
+WITH found(k, rule_id, n) AS (VALUES {", ".join(f"({k}, '{r}', {n})" for k, rows in RESTS_ON.items() for r, n in rows)})
+SELECT rule_id, count(*) AS matches, CAST(sum(n) AS BIGINT) AS chars FROM documents JOIN found ON found.k = doc_id % 13 GROUP BY rule_id""",
     "rejected_recovery": """
 WITH d AS (SELECT doc_id, CAST(floor(doc_id / 2) AS BIGINT) AS pair, doc_id % 2 = 1 AS eligible FROM documents),
 e AS (SELECT pair, doc_id FROM d WHERE eligible)

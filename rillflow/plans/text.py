@@ -92,11 +92,6 @@ def extract_fields(spark, sf_dir):
     )
 
 
-def extract_request_fields(spark, sf_dir):
-    f = R.extract_fields(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", f.alias("f")).select("doc_id", "f.grade", F.array_join("f.goals", "|").alias("goals"), "f.format", "f.location_text", "f.urgency", "f.budget_text", "f.contact_available", "f.closed")
-
-
 def score_reasons(spark, sf_dir):
     weights = {"contact": 40, "license": -30, "long": 25, "table": -10, "fresh": 6}
     features = {"contact": F.col("intent") == "contact", "license": F.col("intent") == "license", "long": F.col("n_chars") > 2000, "table": F.col("subject") == "table", "fresh": F.col("doc_id") % 40 == 0}
@@ -179,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_fingerprint, exact_duplicate_groups, canonical_occurrence, url_canonical, url_public_id, dedup_exact_url, contact_signature, token_sets_anchors,
-        near_duplicate_pairs, dedup_band_join, classify_rules, rule_match_spans, extract_fields, extract_request_fields, score_reasons, completeness_rank,
+        near_duplicate_pairs, dedup_band_join, classify_rules, rule_match_spans, extract_fields, score_reasons, completeness_rank,
         utf16_units, lock_keys, json_metadata, snippet_evidence, search_decode, wall_decode, cluster_replay, digest_dst_days,
     )
 }
