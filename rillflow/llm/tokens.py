@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import json
 import os
 
 import numpy as np
@@ -17,6 +18,9 @@ WORDS_IN_TEXT = 64
 LATIN = "a-zß-öø-ÿÀ-ÖØ-Þ"
 
 SLICE_IDS = 1 << 20
+#: The steps of a tokenizer for which pieces between white space, and full stops and commas after a letter, may be encoded apart.
+STEPS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def expand(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -36,9 +40,19 @@ def release_memory() -> None:
         pass
 
 
+def may_cut(settings: dict) -> bool:
+    """Whether a tokenizer's own settings say that cutting texts at white space changes no id."""
+    steps = (settings["normalizer"] or {}).get("normalizers", [])
+    before = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    split = before[0].get("pattern") == {"Regex": SPLIT} and before[0].get("behavior") == "Removed" and before[0].get("invert") is True
+    plain = [b.get("type") for b in before[1:]] == ["ByteLevel"] and not before[1].get("add_prefix_space") and not before[1].get("use_regex")
+    return tuple(steps) == STEPS and split and plain and settings["truncation"] is None and all(t["content"].startswith("<|") for t in settings["added_tokens"])
+
+
 class Encoder:
-    """Ids of documents under a tokenizer whose splits never cross white space.
+    """Ids of documents by a tokenizer file; end_id, if any, ends each.
 
+    If the file's settings allow it (`may_cut`), texts are cut; otherwise each is encoded whole.
     Each distinct piece between white space is encoded once a batch; full stops
     and commas that follow a Latin letter are pieces of their own, as the
     tokenizer's own pattern ends a run of letters there. Documents in which the
@@ -50,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.end_id = end_id
+        self.end_id, self.cuts = end_id, may_cut(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.small = max(vocabulary.values()) < 1 << 16
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -103,7 +117,16 @@ class Encoder:
                 yield a + row, ids, bounds
             release_memory()
 
+    def _encode_whole(self, column: pa.Array):
+        end = [] if self.end_id is None else [self.end_id]
+        for row in range(0, len(column), 256):
+            ids = [np.append(x, np.array(end, np.uint32)) for x in self._ids(column.slice(row, 256).to_pylist())]
+            yield row, np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+
     def _encode_part(self, column: pa.Array):
+        if not self.cuts:
+            yield from self._encode_whole(column)
+            return
         odd = np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False))
         whole = dict(zip(odd.tolist(), self._ids([column[int(i)].as_py() for i in odd]))) if len(odd) else {}
         text = pc.replace_substring_regex(pc.ascii_lower(column), pattern=f"([{LATIN}])([.,])", replacement=r"\1 \2")

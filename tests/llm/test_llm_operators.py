@@ -18,6 +18,7 @@ from rillflow.llm.packing import pack_documents
 from rillflow.llm.queries import QUERIES, SQL, URL_RULES, tokenizer_file
 from rillflow.llm.substring import dedup_substrings
 from rillflow.llm.tiling import benchmark_matches, tile
+from rillflow.llm.tokens import Encoder
 from rillflow.llm.toxicity import fit, toxicity
 from rillflow.llm.url_cascade import judge_urls, listed_keys
 from rillflow.llm.wordhash import U64, mix64
@@ -201,18 +202,20 @@ def test_short_sentences_in_another_order_are_covered(spark):
         assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 4), (2, 5)] and all(r.coverage >= 0.8 for r in got)
 
 
-def test_tokens_round_trip(spark, odd):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_round_trip(spark, odd, name):
     from tokenizers import Tokenizer
 
+    assert Encoder(tokenizer_file(name)).cuts == (name == "word_bpe_49k.json")
     rows = odd + [(300, "x<|endoftext|>y. Ünï,ÇÉ ß.e 12,3 'tis don't"), (301, "a\x1cb\u00a0c e\u0301. \u2028z")]
-    tokenizer = Tokenizer.from_file(tokenizer_file())
+    tokenizer = Tokenizer.from_file(tokenizer_file(name))
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     start, expected = 0, []
     for i, t in order:
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
         expected.append((-1 if i is None else i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    got = token_store(docs(spark, rows), tokenizer_file(), length=16).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("c")).collect()
+    got = token_store(docs(spark, rows), tokenizer_file(name), length=16).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("c")).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.c) for r in got) == sorted(expected)
 
 
