@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.storage import written
 from rillflow.llm.tokens import expand
 from rillflow.llm.wordhash import PUNCTUATION, U64, WordHasher, Words, chunks, string_buffers
 
@@ -170,6 +171,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about max_bytes of text
         if own or found is None:
             here = base.mapInArrow(_matcher([r[0] for r in own], [r[1] for r in own], min_match, min_tile, coverage), MATCHES_SQL)
+            if blocks > 1:
+                here = written(here, "matches", narrow=True)  # the driver holds one block at a time
             found = here if found is None else found.union(here)
     best = F.max(F.struct("covered", "item_words", F.negative("tiles").alias("t"), "longest", "coverage")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
