@@ -27,6 +27,9 @@ NOT_TEXT = frozenset("head nav header footer aside form menu dialog fieldset".sp
 BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer form header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies response responses share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget widgets".split()
 )
+#: Words that are bad in the middle of a name too, and roles of what isn't the article.
+CLEAR_WORDS = frozenset("advert advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus footer nav navbar navigation newsletter promo sponsored subscribe".split())
+BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Parts of a class name that speak of a page's state, tags that no name makes bad, tags without an end.
 STATES = frozenset("has have no not with without is js show hide hides open closed enabled disabled".split())
 WRAPPERS = frozenset("html body article main".split())
@@ -41,22 +44,24 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"'<])*|[^><]*)>",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-CLASSES = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMES = re.compile(r"(?<![\w-])(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ROLES = re.compile(r"(?<![\w-])role\s*=\s*[\"']?\s*([a-z]+)", re.I)
+CLASSES = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def bad_names(attributes: str) -> bool:
-    """Whether a class name or id is a bad word, or begins or ends with one and doesn't speak of a state."""
-    for name in " ".join("".join(m) for m in NAMES.findall(attributes)).lower().split():
-        parts = WORD.findall(name)
-        if parts and not STATES.intersection(parts) and (parts[0] in BAD_WORDS or parts[-1] in BAD_WORDS):
+    """Whether the role is bad, or a class name or id that doesn't speak of a state is a bad word, begins or ends with one or holds a clear one; camelBack parts are words."""
+    for name in " ".join("".join(m) for m in NAMES.findall(attributes)).split():
+        parts = [part.lower() for part in PART.findall(name)]
+        if parts and not STATES.intersection(parts) and (parts[0] in BAD_WORDS or parts[-1] in BAD_WORDS or "".join(parts) in BAD_WORDS or CLEAR_WORDS.intersection(parts)):
             return True
-    return False
+    return any(role.lower() in BAD_ROLES for role in ROLES.findall(attributes))
 
 
 class Container:
-    """An element that holds text: its path, its parent's index, whether it is boilerplate, and the characters right in it."""
+    """An element that holds text: its path, its parent's index, whether it is boilerplate (once its page is read, also by what is above it), and the characters right in it."""
 
     __slots__ = ("path", "parent", "bad", "good", "chars", "links", "tag")
 
@@ -67,7 +72,7 @@ class Container:
         own = ".".join([tag, *filter(None, names)])
         self.path = f"{above.path}>{own}" if above else own
         self.parent, self.tag = parent, tag
-        self.bad = bool(above and above.bad) or tag in NOT_TEXT or bool(attributes and tag not in WRAPPERS and bad_names(attributes))
+        self.bad = tag in NOT_TEXT or bool(attributes and tag not in WRAPPERS and bad_names(attributes))
         self.good = tag in ("article", "main") or bool(words & GOOD_WORDS)
         self.chars = self.links = 0
 
@@ -135,6 +140,13 @@ def parse(page: str) -> tuple[list[Container], list[tuple[int, str]]]:
                 break
     add(page[at:])
     flush()
+    for c in found:  # what holds the main element, or a form with an article, is no boilerplate
+        k = c.parent if c.tag in ("article", "main") else -1
+        while k >= 0:
+            found[k].bad &= c.tag != "main" and found[k].tag != "form"
+            k = found[k].parent
+    for c in found[1:]:
+        c.bad |= found[c.parent].bad
     return found, blocks
 
 

@@ -331,11 +331,12 @@ def test_articles_are_whole():
 
 
 def test_only_names_of_boilerplate_are_boilerplate():
-    for wrapper in ('<body class="has-sidebar">%s</body>', '<body class="no-cookie">%s</body>', '<article class="post has-comments">%s</article>', '<div id="content" class="with-ads">%s</div>'):
+    for wrapper in ('<body class="has-sidebar">%s</body>', '<body class="no-cookie">%s</body>', '<article class="post has-comments">%s</article>', '<div id="content" class="with-ads">%s</div>', "<form id=f><article>%s</article></form>", "<div class=layout-sidebar><main>%s</main></div>", '<div class="layout-sidebar-right">%s</div>'):
         assert article(wrapper % "<p>Text</p>", []) == "Text"
-    for part in ("div class=article-comments", "div class=main-nav", "div id=main-sidebar", "p class=notice", 'li class="comment"', "span class=ad"):
+    for part in ("div class=article-comments", "div class=main-nav", "div id=main-sidebar", "p class=notice", 'li class="comment"', "span class=ad", "div class=user-comments-list", "div class=commentList", "div id=siteFooter", "div role=navigation", "section role='complementary'"):
         tag = part.split()[0]
         assert article(f"<main><p>One</p><{part}>drop this</{tag}><p>Two</p></main>", []) == "One Two"
+    assert article("<main>One</main><div id=comments><article>drop</article></div><form><main>Two</main><div>Three</div></form>", []) == "One Two Three"
     assert article("<main><ul><li class=comment>drop<ul><li>drop</li></ul>drop</li><li>One</li></ul><p>Two<span class=ad>a<span>b</span>c</span></p></main>", []) == "One Two"
     assert article("<main><p class=notice>drop<p>One<ul><li class=comment>drop<li>Two</ul></main>", []) == "One Two"
 
