@@ -36,10 +36,11 @@ def line_keys(text: Column) -> Column:
     return F.transform(bare, lambda line: F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER)))
 
 
-def hashes(text: Column, min_length: int) -> Column:
-    """struct(h1, h2) of each line's key; null for keys under `min_length` code points."""
+def hashes(text: Column, min_length: int, distinct: bool = False) -> Column:
+    """struct(h1, h2) of each line's key, or of each `distinct` one; null for keys under `min_length` code points."""
+    keys = F.array_distinct(line_keys(text)) if distinct else line_keys(text)  # strings: distinct structs would take quadratic time
     pair = lambda key: F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
-    return F.transform(line_keys(text), lambda key: F.when(F.length(key) >= min_length, pair(key)))
+    return F.transform(keys, lambda key: F.when(F.length(key) >= min_length, pair(key)))
 
 
 class LineRuns:
@@ -75,7 +76,7 @@ class LineRuns:
 
     def _keys(self) -> Column:
         """The distinct line keys of a document."""
-        return F.array_distinct(F.filter(hashes(F.col("text"), self.min_length), lambda h: h.isNotNull()))
+        return F.filter(hashes(F.col("text"), self.min_length, distinct=True), lambda h: h.isNotNull())
 
     def add(self, docs: DataFrame) -> None:
         """Add the line keys of a batch: each row is a document and counts once for each of its keys."""
@@ -125,7 +126,8 @@ class LineRuns:
         drops = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drops"))
         same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.text_hash") == F.col("x.text_hash"))
         joined = docs.alias("d").join(drops.alias("x"), same, "left").select("d.*", "x.drops")
-        parts = split_lines(F.col("text"))
+        joined = joined.withColumn("parts", split_lines(F.col("text")))  # split once a text, not once a line
+        parts = F.col("parts")
         kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drops"))
         return joined.select(
             "doc_id",
