@@ -13,6 +13,8 @@ from rillflow.llm.packing import pack_documents
 from rillflow.llm.substring import dedup_substrings
 from rillflow.llm.tiling import benchmark_matches
 from rillflow.llm.toxicity import toxicity
+from rillflow.llm.turn_repair import repair_damaged
+from rillflow.llm.turn_sql import OP11_SQL
 from rillflow.llm.url_cascade import judge_urls
 
 
@@ -128,6 +130,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_turn_repair(spark, sf_dir):
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_cascade": op1_url_cascade,
     "op2_multiprobe": op2_multiprobe,
@@ -139,5 +145,6 @@ QUERIES = {
     "op8_line_runs": op8_line_runs,
     "op9_consensus": op9_consensus,
     "op10_toxicity": op10_toxicity,
+    "op11_turn_repair": op11_turn_repair,
 }
-SQL = {"op1_url_cascade": OP1_SQL, "op7_substrings": OP7_SQL, "op8_line_runs": OP8_SQL}
+SQL = {"op1_url_cascade": OP1_SQL, "op7_substrings": OP7_SQL, "op8_line_runs": OP8_SQL, "op11_turn_repair": OP11_SQL}
