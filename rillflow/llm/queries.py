@@ -8,6 +8,7 @@ from rillflow.llm.ann import nearest
 from rillflow.llm.arrow_tokens import token_store
 from rillflow.llm.bagminhash import near_duplicates
 from rillflow.llm.chat_format import digests, format_chats
+from rillflow.llm.collocations import collocations
 from rillflow.llm.html_consensus import extract_articles
 from rillflow.llm.line_runs import LOWER, UPPER, dedup_lines
 from rillflow.llm.packing import pack_documents
@@ -136,6 +137,38 @@ def op11_turn_repair(spark, sf_dir):
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP12_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) t(k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+  FROM candidates c, range(1, 4) t(cut)
+  JOIN counts l ON l.lang = c.lang AND l.k = cut AND l.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.k = c.k - cut AND r.phrase = array_to_string(w[cut + 1 :], ' ')
+  WHERE cut < c.k),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, a AS longer, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM candidates, range(2, 4) t(n), range(1, 4) s(i) WHERE n < k AND i + n - 1 <= k),
+held AS (SELECT lang, phrase, max(longer) AS longer FROM inner_parts GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest LEFT JOIN held USING (lang, phrase) JOIN total USING (lang)
+WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
 def op13_chat_format(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = "</s>[INST] ok [/INST]"
@@ -155,6 +188,7 @@ QUERIES = {
     "op9_consensus": op9_consensus,
     "op10_toxicity": op10_toxicity,
     "op11_turn_repair": op11_turn_repair,
+    "op12_collocations": op12_collocations,
     "op13_chat_format": op13_chat_format,
 }
-SQL = {"op1_url_cascade": OP1_SQL, "op7_substrings": OP7_SQL, "op8_line_runs": OP8_SQL, "op11_turn_repair": OP11_SQL, "op13_chat_format": OP13_SQL}
+SQL = {"op1_url_cascade": OP1_SQL, "op7_substrings": OP7_SQL, "op8_line_runs": OP8_SQL, "op11_turn_repair": OP11_SQL, "op12_collocations": OP12_SQL, "op13_chat_format": OP13_SQL}
