@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.perfect_hash import PerfectHash, tuple_hash
 from rillflow.llm.storage import Scratch, written
+from rillflow.llm.tokens import release_memory
 from rillflow.llm.wordhash import U64, WordHasher, chunks, mix64, string_buffers
 
 #: What ends a piece of text, what ends a word, the longest phrase, the factor of a score, the share that takes a part out.
@@ -44,6 +45,8 @@ GRAMS_SQL = ", ".join(f"{c} long" for c in IDS)
 BLOCK_IDS = 1 << 17
 SIEVE, MEMBERS = 1 << 23, 1 << 25
 ARRAY_PART = 1 << 15
+#: Phrases that a task holds to send each once.
+ROWS_HELD = 1 << 20
 NO_ROWS = np.zeros(0, np.int64)
 
 
@@ -109,20 +112,34 @@ def _words_and_streams(seed: int):
     def run(batches):
         reader = Reader(seed)
         for batch in batches:
+            found = []
             for a, b in chunks(string_buffers(batch["text"])[1]):
-                stream, distinct, counts, words, langs = reader.read(batch["text"].slice(a, b - a), batch["lang"].slice(a, b - a))
-                n = len(distinct)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), langs.cast(pa.string()), words.cast(pa.string()), pa.array(counts), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=READ)
+                stream, *words = reader.read(batch["text"].slice(a, b - a), batch["lang"].slice(a, b - a))
+                found.append(words)
                 for at in range(0, len(stream), BLOCK_IDS):
                     # What a phrase that ends in this block needs from the one before is repeated.
                     lead = min(at, LONGEST - 1)
                     block = stream[at - lead : at + BLOCK_IDS].tobytes()
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([lead], pa.int32()), pa.array([block])], schema=READ)
+            if found:
+                yield _words(found)
+            del found
+            release_memory()
 
     return run
 
 
+def _words(found: list) -> pa.RecordBatch:
+    """The words of several readings, each once."""
+    ids, counts = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    distinct, where, place = np.unique(ids, return_index=True, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, place, counts)
+    words, langs = (pa.concat_arrays([f[i].cast(pa.large_string()) for f in found]).take(pa.array(where)).cast(pa.string()) for i in (2, 3))
+    n = len(distinct)
+    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), langs, words, pa.array(total), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=READ)
+
+
 class Filters:
     """What is known of phrases of `k` words before they are counted: places of frequent shorter ones, and of the sieve."""
 
@@ -224,31 +241,48 @@ def _sieve_bits(streams: DataFrame, filters, size: int, least: int) -> np.ndarra
             places = (filters.value.phrases(ids, repeated)[1] & U64(size - 1)).astype(np.int64)
             np.add.at(total, places, 1)
         yield from _array_rows(np.minimum(total, 255).astype(np.uint8), 0)
+        del total
+        release_memory()
 
     return _bits(streams.mapInArrow(count, ARRAYS_SQL), size, least)
 
 
-def _distinct_rows(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, k: int):
-    """(columns, counts) of the phrases at the places `at`, each once (or more often where hashes clash)."""
+def _distinct_rows(columns: list[np.ndarray], hashes: np.ndarray):
+    """(columns, counts) of rows, each once (or more often where hashes clash)."""
     order = np.argsort(hashes, kind="stable")
-    columns = [c[order] for c in _columns(ids, at, k)]
-    new = np.ones(len(at), bool)
-    if len(at):
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
         new[1:] = False
-        for c in columns[:k]:
+        for c in columns:
             new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.diff(np.append(first, len(at)))
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
 def _candidates(streams: DataFrame, filters) -> DataFrame:
     """The distinct phrases that pass the filters, as (w1, ..., w4), zeros at the end."""
 
+    def once(held):
+        columns = [np.concatenate(c) for c in zip(*held)]
+        kept, _ = _distinct_rows(columns, tuple_hash(columns))
+        return kept
+
     def run(batches):
-        k = filters.value.k
+        k, held, size = filters.value.k, [], 0
         for ids, repeated in _blocks(batches):
-            columns, _ = _distinct_rows(ids, *filters.value.phrases(ids, repeated), k)
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=IDS)
+            at, hashes = filters.value.phrases(ids, repeated)
+            held.append(_distinct_rows(_columns(ids, at, k), hashes)[0])
+            size += len(held[-1][0])
+            if size > ROWS_HELD:
+                held = [once(held)]
+                if len(held[0][0]) > ROWS_HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in held.pop()], names=IDS)
+                size = sum(len(h[0]) for h in held)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in once(held)], names=IDS)
+        del held
+        release_memory()
 
     return streams.mapInArrow(run, GRAMS_SQL).distinct()
 
@@ -280,6 +314,8 @@ def _count_here(streams: DataFrame, filters, perfect) -> DataFrame:
             slots = table.slots(_columns(ids, filters.value.phrases(ids, repeated)[0], k))
             total += np.bincount(slots[slots >= 0], minlength=len(total))
         yield from _array_rows(total, 0)
+        del total, table
+        release_memory()
 
     return streams.mapInArrow(run, ARRAYS_SQL)
 
@@ -290,7 +326,8 @@ def _count_there(streams: DataFrame, filters, hashes: DataFrame, slices: int, sa
     def add_up(batches):
         k = filters.value.k
         for ids, repeated in _blocks(batches):
-            columns, n = _distinct_rows(ids, *filters.value.phrases(ids, repeated), k)
+            at, hashes = filters.value.phrases(ids, repeated)
+            columns, n = _distinct_rows(_columns(ids, at, k), hashes)
             yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n.astype(np.int64)), pa.array(np.full(len(n), int(ids[:64].sum() >> U64(8)) % salts, np.int32))], names=[*IDS, "n", "salt"])
 
     def run(batches):
@@ -380,13 +417,10 @@ def phrase_counts(docs: DataFrame, least: int = 30, slice_keys: int = 1 << 20, s
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     while True:
         read = scratch.write(texts.mapInArrow(_words_and_streams(seed), READ_SQL))
-        named = F.struct("lang", "word")
-        counted = read.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"), F.min(named).alias("named"), F.max(named).alias("other"))
-        counted = scratch.write(counted, narrow=True)
-        if not counted.where("named <> other").limit(1).count():
+        words = scratch.write(read.where("id IS NOT NULL").groupBy("id", "lang", "word").agg(F.sum("n").alias("n")), narrow=True)
+        if not words.groupBy("id").agg(F.count(F.lit(1)).alias("names")).where("names > 1").limit(1).count():
             break
         seed += 1
-    words = counted.select("id", "named.lang", "named.word", "n")
     streams = read.where("ids IS NOT NULL").select("repeated", "ids")
     levels = [scratch.write(words.where(F.col("n") >= least).select(F.col("id").alias("w1"), *(F.lit(0).cast("long").alias(c) for c in IDS[1:]), F.col("n").alias("f")), narrow=True)]
     for k in range(2, LONGEST + 1):
