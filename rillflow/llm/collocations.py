@@ -247,7 +247,7 @@ def _sieve_bits(streams: DataFrame, filters, size: int, least: int) -> np.ndarra
     return _bits(streams.mapInArrow(count, ARRAYS_SQL), size, least)
 
 
-def _distinct_rows(columns: list[np.ndarray], hashes: np.ndarray):
+def _distinct_rows(columns: list[np.ndarray], hashes: np.ndarray, counts: np.ndarray | None = None):
     """(columns, counts) of rows, each once (or more often where hashes clash)."""
     order = np.argsort(hashes, kind="stable")
     columns = [c[order] for c in columns]
@@ -257,31 +257,38 @@ def _distinct_rows(columns: list[np.ndarray], hashes: np.ndarray):
         for c in columns:
             new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+    if counts is None:
+        return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+    return [c[first] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _added_up(batches, filters: Filters):
+    """Yield (columns, counts) of the phrases that pass the filters, added up over as many blocks as a task may hold."""
+    held, size = [], 0
+
+    def merged():
+        columns = [np.concatenate([h[0][i] for h in held]) for i in range(LONGEST)]
+        return _distinct_rows(columns, tuple_hash(columns), np.concatenate([h[1] for h in held]))
+
+    for ids, repeated in _blocks(batches):
+        at, hashes = filters.phrases(ids, repeated)
+        held.append(_distinct_rows(_columns(ids, at, filters.k), hashes))
+        size += len(held[-1][1])
+        if size > ROWS_HELD:
+            held = [merged()]
+            if len(held[0][1]) > ROWS_HELD // 2:
+                yield held.pop()
+            size = sum(len(h[1]) for h in held)
+    if held:
+        yield merged()
 
 
 def _candidates(streams: DataFrame, filters) -> DataFrame:
     """The distinct phrases that pass the filters, as (w1, ..., w4), zeros at the end."""
 
-    def once(held):
-        columns = [np.concatenate(c) for c in zip(*held)]
-        kept, _ = _distinct_rows(columns, tuple_hash(columns))
-        return kept
-
     def run(batches):
-        k, held, size = filters.value.k, [], 0
-        for ids, repeated in _blocks(batches):
-            at, hashes = filters.value.phrases(ids, repeated)
-            held.append(_distinct_rows(_columns(ids, at, k), hashes)[0])
-            size += len(held[-1][0])
-            if size > ROWS_HELD:
-                held = [once(held)]
-                if len(held[0][0]) > ROWS_HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in held.pop()], names=IDS)
-                size = sum(len(h[0]) for h in held)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in once(held)], names=IDS)
-        del held
+        for columns, _ in _added_up(batches, filters.value):
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=IDS)
         release_memory()
 
     return streams.mapInArrow(run, GRAMS_SQL).distinct()
@@ -324,11 +331,10 @@ def _count_there(streams: DataFrame, filters, hashes: DataFrame, slices: int, sa
     """Arrays of counts by slot of many slices: phrases travel to one of the `salts` tasks that hold their slice."""
 
     def add_up(batches):
-        k = filters.value.k
-        for ids, repeated in _blocks(batches):
-            at, hashes = filters.value.phrases(ids, repeated)
-            columns, n = _distinct_rows(_columns(ids, at, k), hashes)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n.astype(np.int64)), pa.array(np.full(len(n), int(ids[:64].sum() >> U64(8)) % salts, np.int32))], names=[*IDS, "n", "salt"])
+        for columns, n in _added_up(batches, filters.value):
+            salt = np.full(len(n), int(n[:64].sum()) % salts, np.int32)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n.astype(np.int64)), pa.array(salt)], names=[*IDS, "n", "salt"])
+        release_memory()
 
     def run(batches):
         now, table, total = None, None, None
@@ -348,6 +354,8 @@ def _count_there(streams: DataFrame, filters, hashes: DataFrame, slices: int, sa
                 np.add.at(total, slots[kept], own["n"].to_numpy(zero_copy_only=False)[kept])
         if now is not None:
             yield from _array_rows(total, now)
+        del table, total
+        release_memory()
 
     grams = _sliced(streams.mapInArrow(add_up, f"{GRAMS_SQL}, n long, salt int"), slices).withColumn("hash", F.lit(None).cast("binary"))
     held = hashes.select(*(F.lit(0).cast("long").alias(c) for c in [*IDS, "n"]), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "slice", "hash")
@@ -407,7 +415,7 @@ def _held_in_longer(frequent: DataFrame) -> DataFrame:
     return ids.select("f", F.explode(inner).alias("p")).groupBy(*(F.col("p")[i].alias(c) for i, c in enumerate(IDS))).agg(F.max("f").alias("longer"))
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, slice_keys: int = 1 << 20, sieve: int = SIEVE, members: int = MEMBERS, salts: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, slice_keys: int = 1 << 18, sieve: int = SIEVE, members: int = MEMBERS, salts: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(words, frequent): words as (id, lang, word, n), and all phrases of up to 4 words found at least `least` times as (w1, ..., w4, f).
 
     `slice_keys` bounds a slice of a perfect hash, `sieve` and `members` are the
@@ -444,7 +452,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, slice_keys: int = 1 << 20, s
     return out
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, slice_keys: int = 1 << 20, **settings) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, slice_keys: int = 1 << 18, **settings) -> DataFrame:
     """The `top` phrases of 2 to 4 words of each language by score: lang, rank, phrase, a, l, r, n, score.
 
     Phrases lie within a piece of a document's text; a is the phrase's count, l and
