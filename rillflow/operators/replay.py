@@ -1,25 +1,35 @@
 """Order-dependent clustering, exactly: state-independent links, components, then a replay of each in order.
 
 An item may only join a cluster that holds an item it is linked to: by an equal
-URL, an equal fingerprint or similar tokens. Links don't depend on the state, so
-components of the link graph can be replayed apart, each in (arrival, id) order.
+URL at any time, or by an equal fingerprint or similar tokens within the window.
+Links don't depend on the state, so components of the link graph can be replayed
+apart, each in (arrival, id) order. As texts link within the window alone, a text
+that comes back after a longer silence begins a component of its own.
+
+A component is replayed in slices of its order. What later slices may still ask
+for is carried on: members and rejected items within reach of their times, one
+item for each URL that comes again, and the faces of the clusters of all these.
+Of the copies that a cluster holds of a text within a band of time the first and
+the last are carried: whether one lies within the window of a later item is decided by them.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.operators.dedup import similar_sets, token_sets
 from rillflow.operators.lineage import cut
+from rillflow.operators.ranking import distributed_rank
 
 OUT = "item_id long, cluster_id long, method string, similarity double, canonical_id long"
 #: Columns that items may leave out, with their types.
 OPTIONAL = {
     "published": "timestamp", "readable": "string", "score": "int", "completeness": "int", "grade": "int", "goals": "array<string>", "format": "string", "location": "string", "budget": "string",
-    "known_cluster": "long", "known_face": "boolean",
+    "known_cluster": "long", "known_face": "boolean", "known_created": "timestamp", "waiting": "boolean",
 }
+STEP = OUT + ", created timestamp, fresh boolean"
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
@@ -61,7 +71,8 @@ class Item:
         self.time = row.at if published is None else published
         self.set_id, known = some(row.set_id), some(row.known_cluster)
         self.known = None if known is None else int(known)
-        self.is_face = bool(some(row.known_face))
+        self.is_face, self.waits = bool(some(row.known_face)), bool(some(getattr(row, "waiting", None)))
+        self.created = some(getattr(row, "known_created", None))
         self.contacts = frozenset(row.contacts) if row.contacts is not None else frozenset()
         self.anchors = sorted(row.tokens, key=lambda t: (-len(t), t))[:3] if row.tokens is not None else []
         self.readable = None if row.readable is None else row.readable.lower()
@@ -85,10 +96,14 @@ class Item:
 
 
 class Cluster:
-    """A cluster in a replay: its place in the order of creation, and the item that speaks for it."""
+    """A cluster in a replay: when it was made, its place in that order, and the item that speaks for it.
 
-    def __init__(self, own_id: int, place: int, face: Item):
-        self.id, self.place, self.face = own_id, place, face
+    Clusters of which no time is known come before all others, by their ids.
+    """
+
+    def __init__(self, own_id: int, created, face: Item):
+        self.id, self.created, self.face = own_id, created, face
+        self.place = (0, 0, own_id) if created is None else (1, created.value, own_id)
 
 
 class Replay:
@@ -103,6 +118,7 @@ class Replay:
         self.rejected: dict[int, Item] = {}
         self.waiting: dict[tuple, dict[int, Item]] = {}  # the rejected by URL and by fingerprint
         self.out: dict[int, tuple] = {}
+        self.fresh: set[int] = set()
 
     def near(self, a: Item, b: Item) -> bool:
         return abs((a.time - b.time).total_seconds()) <= self.window
@@ -136,25 +152,29 @@ class Replay:
             self.at_url[item.url] = cluster
 
     def load(self, items: list[Item]) -> None:
-        """Members of clusters that exist before the replay; these come before all new ones, in the order of their ids."""
+        """What there was before: members of clusters, and rejected items that still wait."""
         for item in items:
-            if item.is_face or item.known not in self.clusters:
-                self.clusters[item.known] = Cluster(item.known, item.known, item)
-        for place, own in enumerate(sorted(self.clusters)):
-            self.clusters[own].place = place - len(self.clusters)
+            if item.waits:
+                self.reject(item)
+            elif item.is_face or item.known not in self.clusters:
+                self.clusters[item.known] = Cluster(item.known, item.created, item)
         for item in items:
-            self.join(self.clusters[item.known], item, "exact_id", 100.0)
+            if not item.waits:
+                self.join(self.clusters[item.known], item, "exact_id", 100.0)
+
+    def reject(self, item: Item) -> None:
+        self.rejected[item.id] = item
+        for key in self.keys(item):
+            self.waiting.setdefault(key, {})[item.id] = item
 
     def take(self, item: Item) -> None:
         """Ineligible items join clusters but found none; an eligible one brings back the rejected that it stands for."""
+        self.fresh.add(item.id)
         best = self.match(item)
         if best is None and not item.eligible:
-            self.rejected[item.id] = item
-            for key in self.keys(item):
-                self.waiting.setdefault(key, {})[item.id] = item
-            return
+            return self.reject(item)
         if best is None:
-            best = (self.clusters.setdefault(item.id, Cluster(item.id, len(self.clusters), item)), "exact_id", 100.0)
+            best = (self.clusters.setdefault(item.id, Cluster(item.id, item.at, item)), "exact_id", 100.0)
         cluster = best[0]
         self.join(cluster, item, *best[1:])
         if item.eligible:
@@ -176,14 +196,21 @@ class Replay:
                 for key in self.keys(earlier):
                     del self.waiting[key][earlier.id]
                 self.join(cluster, earlier, "exact_url" if same_url else "exact_text", 100.0)
+                self.fresh.add(earlier.id)
 
     def frame(self) -> pd.DataFrame:
-        rows = [(i, *found, self.clusters[found[0]].face.id) for i, found in self.out.items()] + [(i, None, None, None, None) for i in self.rejected]
-        return pd.DataFrame(rows, columns=["item_id", "cluster_id", "method", "similarity", "canonical_id"]).astype({"cluster_id": "Int64", "canonical_id": "Int64"})
+        of = self.clusters
+        rows = [(i, *found, of[found[0]].face.id, of[found[0]].created, i in self.fresh) for i, found in self.out.items()] + [(i, None, None, None, None, None, i in self.fresh) for i in self.rejected]
+        out = pd.DataFrame(rows, columns=["item_id", "cluster_id", "method", "similarity", "canonical_id", "created", "fresh"])
+        return out.astype({"cluster_id": "Int64", "canonical_id": "Int64", "created": "datetime64[ns]", "fresh": "bool"})
 
 
 def replay(rows: pd.DataFrame, links: pd.DataFrame, window_days: int = 30) -> pd.DataFrame:
-    """The clusters of one component: `rows` are its items, `links` (x, y, similarity) its pairs of token sets."""
+    """The clusters of one component, or of a slice of it with what was carried on: `rows` are its items, `links` (x, y, similarity) its pairs of token sets.
+
+    Rows with known_cluster or waiting are what there was before. `fresh` marks
+    the new items, and the rejected ones that were brought back.
+    """
     similar: dict[int, dict[int, float]] = {}
     for x, y, s in zip(links.x, links.y, links.similarity):
         similar.setdefault(x, {})[y] = s
@@ -192,13 +219,129 @@ def replay(rows: pd.DataFrame, links: pd.DataFrame, window_days: int = 30) -> pd
         similar.setdefault(own, {})[own] = 100.0
     state = Replay(similar, window_days)
     items = [Item(r) for r in rows.itertuples(index=False)]
-    state.load(sorted((i for i in items if i.known is not None), key=lambda i: i.id))
-    for item in sorted((i for i in items if i.known is None), key=lambda i: (i.at, i.id)):
+    before = lambda i: i.known is not None or i.waits
+    state.load(sorted((i for i in items if before(i)), key=lambda i: i.id))
+    for item in sorted((i for i in items if not before(i)), key=lambda i: (i.at, i.id)):
         state.take(item)
     return state.frame()
 
 
-def cluster_items(items: DataFrame, window_days: int = 30, threshold: int = 90) -> DataFrame:
+def with_optional(items: DataFrame) -> DataFrame:
+    return items.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in items.columns})
+
+
+def time_of() -> Column:
+    """When an item counts as said, in seconds."""
+    return F.coalesce("published", "at").cast("double")
+
+
+def in_bands(items: DataFrame, key: str, window_days: int) -> DataFrame:
+    """(key, band, rep, lo, hi): the items of a key in each band of time of the window's width, their smallest id, first and last time."""
+    known = items.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+    return known.groupBy(F.col(key).alias("key"), band_of(window_days).alias("band")).agg(F.min("item_id").alias("rep"), F.min(time_of()).alias("lo"), F.max(time_of()).alias("hi"))
+
+
+def band_of(window_days: int) -> Column:
+    return F.floor(time_of() / (window_days * 86400))
+
+
+def timely(rows: DataFrame, groups: DataFrame, key: str, window_days: int) -> DataFrame:
+    """Edges from each item to the first of its key and band, and from there to the next band's, if the window reaches over."""
+    own = rows.where(F.col(key).isNotNull()).select("item_id", F.col(key).alias("key"), band_of(window_days).alias("band"))
+    stars = own.join(groups, ["key", "band"]).select(F.col("rep").alias("a"), F.col("item_id").alias("b"))
+    following = groups.select("key", (F.col("band") - 1).alias("band"), F.col("rep").alias("next"), F.col("lo").alias("from"))
+    return stars.union(groups.join(following, ["key", "band"]).where(F.col("from") - F.col("hi") <= window_days * 86400).select("rep", "next"))
+
+
+def link_edges(items: DataFrame, pairs: DataFrame, window_days: int) -> DataFrame:
+    """(a, b) edges whose components hold all items that may meet in one cluster: of a URL, of a cluster that is known, and of like texts within the window."""
+
+    def always(column):
+        known = items.where(F.col(column).isNotNull() & (F.col(column).cast("string") != ""))
+        return known.join(known.groupBy(column).agg(F.min("item_id").alias("a")), column).select("a", F.col("item_id").alias("b"))
+
+    texts, sets = in_bands(items, "fingerprint", window_days), cut(in_bands(items, "set_id", window_days))
+    x = sets.select(F.col("key").alias("x"), F.col("rep").alias("a"), F.col("lo").alias("lx"), F.col("hi").alias("hx"), F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
+    y = sets.select(F.col("key").alias("y"), F.col("rep").alias("b"), F.col("lo").alias("ly"), F.col("hi").alias("hy"), "band")
+    reach = window_days * 86400
+    similar = pairs.select("x", "y").join(x, "x").join(y, ["y", "band"]).where((F.col("lx") - F.col("hy") <= reach) & (F.col("ly") - F.col("hx") <= reach)).select("a", "b")
+    edges = always("url").union(always("known_cluster")).union(timely(items, texts, "fingerprint", window_days)).union(timely(items, sets, "set_id", window_days)).union(similar)
+    return edges.where("a <> b")
+
+
+def carried(state: DataFrame, later: DataFrame, urls: DataFrame, window_days: int) -> DataFrame:
+    """What of `state` the coming slices may ask for; `later` has (component, lo, hi) of their times, `urls` their (component, url)."""
+    reach = window_days * 86400
+    known = state.join(later, "component").where(F.col("known_cluster").isNotNull() | F.col("waiting"))
+    known = cut(known.join(urls.withColumn("comes", F.lit(True)), ["component", "url"], "left").withColumn("open", time_of().between(F.col("lo") - reach, F.col("hi") + reach)).drop("lo", "hi"))
+    row = F.struct(*state.columns)
+    # The first and the last of a cluster's copies of a text in a band.
+    same = ["component", "known_cluster", "fingerprint", "set_id", F.array_sort(F.coalesce("contacts", F.array())).alias("c"), F.xxhash64("readable").alias("r"), band_of(window_days).alias("b")]
+    ends = known.where("open AND NOT coalesce(waiting, false)").groupBy(*same).agg(F.min_by(row, F.struct(time_of(), "item_id")).alias("first"), F.max_by(row, F.struct(time_of(), "item_id")).alias("last"))
+    members = ends.select(F.explode(F.array("first", "last")).alias("row"))
+    heads = known.where("comes AND NOT coalesce(waiting, false)").groupBy("component", "url").agg(F.min_by(row, F.struct("known_created", "known_cluster", "item_id")).alias("row")).select("row")
+    waiting = known.where("waiting AND (open OR comes)").select(row.alias("row"))
+    kept = cut(members.union(heads).union(waiting).select("row.*").dropDuplicates(["item_id"]))
+    faces = known.where("known_face").select(*state.columns).join(kept.select("known_cluster").distinct(), "known_cluster", "left_semi").select(*state.columns)
+    return cut(kept.union(faces).dropDuplicates(["item_id"]))
+
+
+def step(items: DataFrame, links: DataFrame, window_days: int) -> DataFrame:
+    """One replay of each component of `items` (with what was carried on); `links` are (part, x, y, similarity)."""
+    return items.groupBy("component").cogroup(links.groupBy("part")).applyInPandas(lambda rows, linked: replay(rows, linked, window_days), STEP)
+
+
+def applied(items: DataFrame, found: DataFrame) -> DataFrame:
+    """`items` with the state that a step has found for them."""
+    state = found.select("item_id", "cluster_id", F.col("canonical_id").eqNullSafe(F.col("item_id")).alias("face"), "created")
+    joined = items.drop("known_cluster", "known_face", "known_created", "waiting").join(state, "item_id")
+    return joined.select(
+        *[c for c in items.columns if c not in ("known_cluster", "known_face", "known_created", "waiting")],
+        F.col("cluster_id").alias("known_cluster"), F.col("face").alias("known_face"), F.col("created").alias("known_created"), F.col("cluster_id").isNull().alias("waiting"),
+    )
+
+
+def replay_slices(items: DataFrame, links: DataFrame, window_days: int, slice_rows: int) -> DataFrame:
+    """The findings of all steps, with their number: `items` have a component, `links` are (part, x, y, similarity)."""
+    before = F.col("known_cluster").isNotNull() | F.coalesce("waiting", F.lit(False))
+    fresh = items.where(~before).select("item_id", "component", "at", F.col("url"), time_of().alias("t"))
+    sizes = fresh.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    steps = max(1, -(-sizes // slice_rows))
+    if steps == 1:
+        return step(items, links, window_days).withColumn("step", F.lit(0))
+    ranked = cut(distributed_rank(fresh, "component", [F.col("at"), F.col("item_id")]).withColumn("slice", F.floor((F.col("rank") - 1) / slice_rows)))
+    numbered = items.where(~before).join(ranked.select("item_id", "slice"), "item_id")
+    own, state, found = items.columns, items.where(before), []
+    for number in range(steps):
+        now = cut(state.select(*own).union(numbered.where(F.col("slice") == number).select(*own)))
+        found.append(cut(step(now, links, window_days).withColumn("step", F.lit(number))))
+        if number + 1 < steps:
+            after = ranked.where(F.col("slice") > number)
+            later = after.groupBy("component").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+            state = carried(applied(now, found[-1]), later, after.where("url <> ''").select("component", "url").distinct(), window_days)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def prepared(items: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(items with their set_id, pairs (x, y, similarity) of similar token sets)."""
+    items = cut(with_optional(items))  # read for each kind of link
+    members, sets = token_sets(items, "item_id")
+    pairs = cut(similar_sets(sets, threshold).select("x", "y", (100.0 * F.col("shared") / F.col("total")).alias("similarity")))
+    return cut(items.join(members.withColumnRenamed("id", "item_id"), "item_id", "left")), pairs
+
+
+def replayed(items: DataFrame, pairs: DataFrame, window_days: int, slice_rows: int) -> DataFrame:
+    """The findings of all steps for items with set_id and their pairs of sets."""
+    label = cut(components(link_edges(items, pairs, window_days), items.select(F.col("item_id").alias("node"))))
+    grouped = cut(items.join(label.withColumnRenamed("node", "item_id"), "item_id"))
+    own = grouped.where("set_id IS NOT NULL").select(F.col("set_id").alias("x"), F.col("component").alias("part")).distinct()
+    return replay_slices(grouped, cut(pairs.join(own, "x").select("part", "x", "y", "similarity")), window_days, slice_rows)
+
+
+def cluster_items(items: DataFrame, window_days: int = 30, threshold: int = 90, slice_rows: int = 100_000) -> DataFrame:
     """(item_id, cluster_id, method, similarity, canonical_id) of `items`; those that are rejected have no cluster.
 
     Takes item_id, at (arrival), url, kind (items of one cluster are of one),
@@ -206,23 +349,21 @@ def cluster_items(items: DataFrame, window_days: int = 30, threshold: int = 90)
     which counts instead of the arrival for the window; readable, which must hold
     one of a similar item's longest words; score and completeness, which choose
     the face; grade, goals, format, location and budget, which must not conflict;
-    known_cluster and known_face of members of clusters that exist already. A
-    component is replayed in one task, as each decision needs those before it;
-    of its pairs it gets only the similar ones.
+    known_cluster, known_face and known_created of members of clusters that exist
+    already, and waiting of earlier items that were rejected. Components of up to
+    `slice_rows` new items take one step, larger ones one for each slice: a task
+    holds a slice and what is carried on. Of that, copies of a text within a
+    cluster don't add to it; rejected items within reach of later ones do.
     """
-    items = items.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in items.columns})
-    items = cut(items)  # read for each kind of link
-    members, sets = token_sets(items, "item_id")
-    pairs = cut(similar_sets(sets, threshold).select("x", "y", (100.0 * F.col("shared") / F.col("total")).alias("similarity")))
-    items = cut(items.join(members.withColumnRenamed("id", "item_id"), "item_id", "left"))
-
-    def by(column):
-        """Each item with the smallest one of its key."""
-        known = items.where(F.col(column).isNotNull() & (F.col(column).cast("string") != ""))
-        return known.join(known.groupBy(column).agg(F.min("item_id").alias("a")), column).select("a", F.col("item_id").alias("b"))
-
-    edges = by("url").union(by("fingerprint")).union(by("set_id")).union(by("known_cluster")).union(pairs.select("x", "y")).where("a <> b")
-    label = cut(components(edges, items.select(F.col("item_id").alias("node"))))
-    grouped = items.join(label.withColumnRenamed("node", "item_id"), "item_id")
-    links = pairs.join(label.select(F.col("node").alias("x"), F.col("component").alias("part")), "x")
-    return grouped.groupBy("component").cogroup(links.groupBy("part")).applyInPandas(lambda rows, linked: replay(rows, linked, window_days), OUT)
+    items, pairs = prepared(items, threshold)
+    found = cut(replayed(items, pairs, window_days, slice_rows))
+    return findings(items, found)
+
+
+def findings(items: DataFrame, found: DataFrame) -> DataFrame:
+    """The last word of all steps on each item, with the face that each cluster has at the end."""
+    faces = found.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.max_by("canonical_id", "step").alias("canonical_id"))
+    last = found.where("fresh").groupBy("item_id").agg(F.max_by(F.struct("cluster_id", "method", "similarity"), "step").alias("x")).select("item_id", "x.cluster_id", "x.method", "x.similarity")
+    kept = items.where("known_cluster IS NOT NULL").select("item_id", F.col("known_cluster").alias("cluster_id"), F.lit("exact_id").alias("method"), F.lit(100.0).alias("similarity"))
+    still = items.where("waiting").join(last, "item_id", "left_anti").select("item_id", *(F.lit(None).cast(t).alias(c) for c, t in (("cluster_id", "long"), ("method", "string"), ("similarity", "double"))))
+    return last.union(kept).union(still).join(faces, "cluster_id", "left").select("item_id", "cluster_id", "method", "similarity", "canonical_id")

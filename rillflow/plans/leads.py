@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from rillflow.functions import rules as R
 from rillflow.functions import text as T
 from rillflow.operators import process as O
-from rillflow.operators.lineage import cut
+from rillflow.operators.cluster_store import ClusterStore
+from rillflow.operators.lineage import cut, shared_folder
+from rillflow.operators.replay import cluster_items
 from rillflow.sources.fixture import FIXTURE_TIME, TEXTS, fixture_pages
 from rillflow.sources.records import table
 
@@ -87,23 +90,39 @@ def field_evidence(spark, sf_dir):
     return rows.groupBy("m.rule_id").agg(F.count(F.lit(1)).alias("matches"), F.sum(F.col("m.end") - F.col("m.start")).alias("chars"))
 
 
-def rejected_recovery(spark, sf_dir):
-    """Items rejected at first that a later request of the same text brings back: the earlier copy of each pair has no score of its own."""
+def recoverable_items(spark, sf_dir):
+    """Documents as pairs of one text: the earlier one has no score of its own."""
     n = F.col("doc_id")
     at = F.timestamp_seconds(F.lit(1767268800) + n * 60)
     pair = F.floor(n / 2)
     words = F.concat(F.lit("w"), pair.cast("string"))
-    rows = table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         n.alias("item_id"), at.alias("at"), F.when((n % 2 == 1) & (pair % 7 == 0), at + F.make_interval(days=F.lit(40))).alias("published"), F.lit(None).cast("string").alias("url"), F.lit("a").alias("kind"),
         F.sha2(words, 256).alias("fingerprint"), F.array(words, F.concat(words, F.lit("b"))).alias("tokens"), F.when(pair % 5 == 0, F.array(F.sha2(n.cast("string"), 256))).otherwise(F.array()).alias("contacts"), (n % 2 == 1).alias("eligible"),
     )
-    from rillflow.operators.replay import cluster_items
 
-    got = cluster_items(rows)
-    return got.select("item_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("method", F.lit("rejected")).alias("method"))
+
+def recovered(found):
+    return found.select("item_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("method", F.lit("rejected")).alias("method"))
+
+
+def rejected_recovery(spark, sf_dir):
+    """Items rejected at first that a later request of the same text brings back: the earlier copy of each pair has no score of its own."""
+    return recovered(cluster_items(recoverable_items(spark, sf_dir)))
+
+
+def incremental_clusters(spark, sf_dir):
+    """The same items in three batches, each on top of what is kept of those before; the pair at each border comes in two batches."""
+    rows = recoverable_items(spark, sf_dir)
+    first, last = rows.agg(F.min("item_id"), F.max("item_id")).first()
+    store = ClusterStore(spark, f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}")
+    third = (last - first) // 6 * 2 + 1  # an odd number of items: the pair at each border is split
+    for low in range(first, last + 1, third):
+        store.add(rows.where(F.col("item_id").between(low, low + third - 1)))
+    return recovered(store.clusters())
 
 
-QUERIES = {f.__name__: f for f in (golden_pipeline, golden_items, golden_leads, request_scores, extract_request_fields, field_evidence, rejected_recovery)}
+QUERIES = {f.__name__: f for f in (golden_pipeline, golden_items, golden_leads, request_scores, extract_request_fields, field_evidence, rejected_recovery, incremental_clusters)}
 
 TEXT_LIST = "[" + ", ".join(f"'{t}'" for t in TEXTS["primary"]) + "]"
 #: Of each fixed request: intent, subject, sum of its weights without freshness and contact, completeness without contact, grade.
@@ -170,3 +189,4 @@ SELECT d.doc_id AS item_id, CASE WHEN d.eligible THEN d.doc_id WHEN e.doc_id IS
   CASE WHEN d.eligible THEN 'exact_id' WHEN e.doc_id IS NOT NULL AND d.pair % 7 <> 0 AND d.pair % 5 <> 0 THEN 'exact_text' ELSE 'rejected' END AS method
 FROM d LEFT JOIN e ON e.pair = d.pair""",
 }
+SQL["incremental_clusters"] = SQL["rejected_recovery"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rillflow.functions import times
@@ -9,9 +11,12 @@ from rillflow.operators import collection as C
 from rillflow.operators import delivery as D
 from rillflow.operators import retention as E
 from rillflow.operators import selection as S
+from rillflow.operators.lineage import shared_folder
+from rillflow.operators.ranking import distributed_rank
 from rillflow.plans.relational import at, chunks, items, leads
 from rillflow.sources import wall
 from rillflow.sources.records import table
+from rillflow.streaming.collect import Collection
 
 ZONE = "Europe/Rome"
 
@@ -30,6 +35,33 @@ def collection_runs(spark, sf_dir):
     return rows.select("run_id", "source_key", "status", "items_seen", "items_inserted", "items_failed", F.coalesce("error_category", F.lit("-")).alias("error_category"))
 
 
+def provider_pages(spark, sf_dir, broken: bool):
+    """Events as the pages of seven sources, 200 a page; some lack their id. One source's third page fails while it is `broken`."""
+    n = F.col("event_id")
+    ranked = distributed_rank(events(spark, sf_dir).select("event_id", "ts", "event_type", (F.col("user_id") % 7).cast("string").alias("source_key")), "source_key", [n])
+    rows = ranked.select("source_key", F.floor((F.col("rank") - 1) / 200).alias("page"), "rank", F.when(n % 997 != 0, n.cast("string")).alias("external_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("published_s"), F.col("event_type").alias("text"))
+    fails = (F.col("source_key") == "3") & (F.col("page") == 2)
+    rows = rows.withColumns({"failure": F.lit(None).cast("string"), "retry_after": F.lit(None).cast("double")})
+    if broken:
+        failed = {"external_id": F.lit(None).cast("string"), "published_s": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "failure": F.lit("provider_server"), "retry_after": F.lit(60.0)}
+        rows = rows.where(~fails | (F.col("rank") % 200 == 1)).withColumns({c: F.when(fails, v).otherwise(F.col(c)) for c, v in failed.items()})
+    path = f"{shared_folder(spark)}/provider-{uuid.uuid4().hex}"
+    rows.repartition("source_key", "page").sortWithinPartitions("source_key", "page", "rank").drop("rank").write.partitionBy("source_key", "page").json(path)
+    return path
+
+
+def collection_stream(spark, sf_dir):
+    """Two runs over a provider's pages: the first meets a failed page, the second, an hour later, goes on from the cursors."""
+    store = Collection(spark, f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}")
+    sources = events(spark, sf_dir).select((F.col("user_id") % 7).cast("string").alias("source_key")).distinct().withColumn("kind", F.lit("search"))
+    cursors = []
+    for k, broken in enumerate((True, False)):
+        store.run(provider_pages(spark, sf_dir, broken), sources, at(F.lit(10**6 + 3600 * k)))
+        cursors.append(store.states().select(F.lit(k + 1).cast("long").alias("run_id"), "source_key", F.coalesce("cursor", F.lit(0)).alias("cursor"), "failures"))
+    rows = store.runs().join(cursors[0].union(cursors[1]), ["run_id", "source_key"])
+    return rows.select("run_id", "source_key", "status", "items_seen", "items_inserted", "items_failed", F.coalesce("error_category", F.lit("-")).alias("error_category"), "cursor", "failures")
+
+
 def run_log(spark, sf_dir):
     """Runs of the users as sources; some still run."""
     n = F.col("event_id")
@@ -251,3 +283,22 @@ s AS (SELECT *, CAST(epoch(CAST(day AS TIMESTAMP)) AS BIGINT) AS midnight FROM o
 SELECT strftime(day, '%Y-%m-%d') AS day, midnight - h0 * 3600 AS start_s, midnight + 86400 - h1 * 3600 AS end_s, midnight + 9 * 3600 - h1 * 3600 AS first_s,
   midnight + 86400 + 9 * 3600 - CASE WHEN day + 1 >= DATE '2026-03-29' AND day + 1 < DATE '2026-10-25' THEN 2 ELSE 1 END * 3600 AS second_s FROM s""",
 }
+QUERIES["collection_stream"] = collection_stream
+SQL["collection_stream"] = """
+WITH placed AS (
+  SELECT CAST(user_id % 7 AS VARCHAR) AS source_key, event_id % 997 = 0 AS bad, (row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) - 1) // 200 AS page FROM events),
+bounds AS (SELECT source_key, max(page) + 1 AS pages, min(page) FILTER (WHERE bad) AS first_bad FROM placed GROUP BY source_key),
+reach AS (SELECT source_key, pages, first_bad, CASE WHEN source_key = '3' AND pages > 2 THEN 2 ELSE pages END AS stop FROM bounds),
+runs AS (
+  SELECT r.source_key, 1 AS run_id, 0 AS low, stop AS high, 0 AS old, least(stop, coalesce(first_bad, stop)) AS cursor, CASE WHEN stop < pages THEN 'provider_server' END AS error FROM reach r
+  UNION ALL
+  SELECT source_key, 2, least(stop, coalesce(first_bad, stop)), pages, stop, least(pages, coalesce(first_bad, pages)), NULL FROM reach),
+counted AS (
+  SELECT run_id, r.source_key, cursor, error, count(p.page) AS seen, count(p.page) FILTER (WHERE NOT bad AND p.page >= old) AS inserted, count(p.page) FILTER (WHERE bad) AS failed
+  FROM runs r LEFT JOIN placed p ON p.source_key = r.source_key AND p.page >= low AND p.page < high GROUP BY ALL),
+named AS (SELECT *, coalesce(error, CASE WHEN failed > 0 THEN 'invalid_record' END) AS category FROM counted)
+SELECT run_id, source_key, CASE WHEN category IS NULL THEN 'succeeded' WHEN seen > failed THEN 'partial' ELSE 'failed' END AS status,
+  seen AS items_seen, inserted AS items_inserted, failed AS items_failed, coalesce(category, '-') AS error_category, cursor,
+  CASE WHEN category IS NULL THEN 0 ELSE coalesce(lag(CASE WHEN category IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY source_key ORDER BY run_id), 0) + 1 END AS failures
+FROM named
+"""

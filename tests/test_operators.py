@@ -12,6 +12,9 @@ from rillflow import registry
 from rillflow.operators import delivery
 from rillflow.operators.dedup import similar_pairs
 from rillflow.operators import process
+from rillflow.operators import replay
+from rillflow.operators.cluster_store import ClusterStore
+from rillflow.operators.ranking import distributed_rank
 from rillflow.operators.replay import cluster_items, components
 from rillflow.sources.fixture import FIXTURE_TIME, TEXTS
 from rillflow.sources.records import RAW
@@ -154,6 +157,46 @@ def test_clusters_are_those_of_a_single_pass(spark, seed):
     assert {m for _, m, _, _ in expected.values()} == {None, "exact_id", "exact_text", "exact_url", "fuzzy_text"}
 
 
+@pytest.mark.parametrize("seed", [4])
+def test_slices_of_a_component_carry_what_is_needed(spark, seed):
+    rows = some_items(seed)
+    frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in ITEM.split(", ")) for r in rows], ITEM)
+    got = {r.item_id: (r.cluster_id, r.method, r.similarity, r.canonical_id) for r in cluster_items(frame, slice_rows=30).collect()}
+    assert got == single_pass(rows)
+
+
+def test_copies_of_a_cluster_are_carried_once(spark):
+    """A third of all items is one text: what goes from slice to slice doesn't grow with it."""
+    start = datetime.datetime(2026, 1, 1)
+    words = [f"w{i}" for i in range(8)]
+    rows = [{"item_id": i, "at": start + datetime.timedelta(minutes=i), "published": None, "url": None, "kind": "a", "fingerprint": "t", "tokens": words, "readable": "w0", "contacts": [], "eligible": True, "score": 1, "completeness": 1, "grade": None, "goals": [], "format": None, "location": None, "budget": None} for i in range(600)]
+    rows = [replay.OPTIONAL | r | {"component": 0, "set_id": 0, "known_cluster": 0, "known_face": r["item_id"] == 0, "known_created": start, "waiting": False} for r in rows]
+    state = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} {replay.OPTIONAL.get(c) or dict(x.split(' ', 1) for x in ITEM.split(', ')).get(c, 'long')}" for c in rows[0]))
+    later = spark.createDataFrame([(0, 1767225600.0, 1768225600.0)], "component long, lo double, hi double")
+    urls = spark.createDataFrame([], "component long, url string")
+    assert replay.carried(state, later, urls, 30).count() <= 3
+
+
+def test_texts_link_within_the_window_alone(spark):
+    at = [datetime.datetime(2026, 1, 1) + datetime.timedelta(days=d) for d in (0, 29, 58, 100, 140, 169)]
+    rows = [dict(some_items(1, 1)[0], item_id=i, at=t, published=None, url=None, fingerprint="t", tokens=["a", "b"]) for i, t in enumerate(at)]
+    frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in ITEM.split(", ")) for r in rows], ITEM)
+    items, pairs = replay.prepared(frame, 90)
+    edges = replay.link_edges(items, pairs, 30)
+    got = {r.node: r.component for r in components(edges, items.selectExpr("item_id AS node")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
+def test_ranks_of_large_groups(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.random()) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "g long, i long, x double")
+    got = {r.i: r.rank for r in distributed_rank(frame, "g", [F.col("x").desc(), F.col("i")]).collect()}
+    for g in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        assert [got[r[1]] for r in own] == list(range(1, len(own) + 1))
+
+
 def test_members_of_earlier_leads_stay_theirs(spark):
     rows = some_items(4, 40)
     frame = lambda rows, **more: spark.createDataFrame([tuple({**r, **more}[c.split()[0]] for c in ITEM.split(", ")) for r in rows], ITEM)
@@ -237,3 +280,36 @@ def test_unsound_windows_give_nothing(spark):
     bad = '{"response":{"count":2,"items":[%s,%s]}}' % (post % 3, post % 5)
     rows = spark.createDataFrame([("g", 1, good), ("b", 1, bad), ("x", 1, "nonsense")], "window_id string, community_id long, payload string")
     assert sorted((r.window_id, r.post_id) for r in decode_windows(rows).collect()) == [("g", 3), ("g", 5)]
+
+
+@pytest.mark.parametrize("seed, batches", [(5, 2)])
+def test_batches_make_the_clusters_of_one_run(spark, tmp_path, seed, batches):
+    rows = sorted(some_items(seed), key=lambda r: (r["at"], r["item_id"]))
+    frame = lambda rows: spark.createDataFrame([tuple(r[c.split()[0]] for c in ITEM.split(", ")) for r in rows], ITEM)
+    store, size = ClusterStore(spark, str(tmp_path), slice_rows=40), -(-len(rows) // batches)
+    changed = {}
+    for i in range(0, len(rows), size):
+        again = rows[max(0, i - 5) : i]  # what an earlier batch held is no news
+        changed |= {r.item_id: r.cluster_id for r in store.add(frame(again + rows[i : i + size])).collect()}
+    got = {r.item_id: (r.cluster_id, r.method, r.similarity, r.canonical_id) for r in store.clusters().collect()}
+    expected = single_pass(rows)
+    assert got == expected and changed == {i: x[0] for i, x in expected.items()}
+
+
+def test_a_batch_reads_what_it_may_touch(spark, tmp_path):
+    """After a year of batches, one more reads the bands and buckets of its own items; an unfinished batch counts for nothing."""
+    start = datetime.datetime(2026, 1, 1)
+    rows = [dict(r, at=start + datetime.timedelta(days=i), published=None, url=f"u{i}", item_id=i) for i, r in enumerate(some_items(3, 360))]
+    frame = lambda rows: spark.createDataFrame([tuple(r[c.split()[0]] for c in ITEM.split(", ")) for r in rows], ITEM)
+    store = ClusterStore(spark, str(tmp_path))
+    store.add(frame(rows[:350]))
+    store.add(frame(rows[350:]))
+    held = store.clusters().where("item_id < 90 AND cluster_id IS NOT NULL").orderBy("item_id").first()
+    last = dict(rows[-1], item_id=1000, at=start + datetime.timedelta(days=361), url=f"u{held.item_id}")
+    store.spark.read.parquet(f"{tmp_path}/members").limit(3).drop("batch", "band").withColumn("band", F.lit(12)).write.partitionBy("band").parquet(f"{tmp_path}/members/batch=3")
+    changed = {r.item_id: r for r in store.add(frame([last])).collect()}
+    assert (changed[1000].method, changed[1000].cluster_id) == ("exact_url", held.cluster_id)
+    assert store._table("members").where("batch = 3").count() == len(changed)
+    # Bands of 30 days: 361 days are 13 bands, of which three are read, and one for the URL.
+    read = store.rows_read()
+    assert 0 < read["members"] <= 4 * 30 and read["urls"] <= 30 and read["clusters"] <= 120 and read["postings"] <= 3 * 30 * 6
