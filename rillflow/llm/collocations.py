@@ -179,8 +179,23 @@ def _blocks(batches):
             yield np.frombuffer(block.as_buffer(), U64), repeated
 
 
-ARRAYS_SQL = "slice int, part long, task int, counts binary"
-ARRAYS = pa.schema([("slice", pa.int32()), ("part", pa.int64()), ("task", pa.int32()), ("counts", pa.binary())])
+ARRAYS_SQL = "slice int, part long, task int, places binary, counts binary"
+ARRAYS = pa.schema([("slice", pa.int32()), ("part", pa.int64()), ("task", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+
+
+def _packed(counts: np.ndarray) -> tuple:
+    """(places, counts) of a part of an array: of what isn't zero alone, if that is little."""
+    some = np.flatnonzero(counts).astype(np.int32)
+    return (some.tobytes(), counts[some].tobytes()) if len(some) * 6 < len(counts) else (None, counts.tobytes())
+
+
+def _unpacked(places, counts, kind, size: int) -> np.ndarray:
+    values = np.frombuffer(counts.as_buffer(), kind)
+    if not places.is_valid:
+        return values.astype(np.int64)
+    out = np.zeros(size, np.int64)
+    out[np.frombuffer(places.as_buffer(), np.int32)] = values
+    return out
 
 
 def _array_rows(counts: np.ndarray, number: int):
@@ -188,20 +203,24 @@ def _array_rows(counts: np.ndarray, number: int):
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
-    for part in range(0, len(counts), ARRAY_PART):
-        own = counts[part : part + ARRAY_PART]
-        if own.any():
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part], pa.int64()), pa.array([task], pa.int32()), pa.array([own.tobytes()])], schema=ARRAYS)
+    full = np.unique(np.flatnonzero(counts) // ARRAY_PART) * ARRAY_PART
+    for part in full.tolist():
+        places, own = _packed(counts[part : part + ARRAY_PART])
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part], pa.int64()), pa.array([task], pa.int32()), pa.array([places], pa.binary()), pa.array([own], pa.binary())], schema=ARRAYS)
 
 
 def tree_sum(arrays: DataFrame, kind) -> DataFrame:
     """The sums of the tasks' arrays, part by part: first of at most 64 tasks, then of 64 such sums, then of what is left."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x in table["counts"])
+        total = np.zeros(ARRAY_PART, np.int64)
+        for places, own in zip(table["places"], table["counts"]):
+            values = _unpacked(places, own, kind, ARRAY_PART)
+            total[: len(values)] += values
         if kind == np.uint8:  # what has reached the limit stays there
             total = np.minimum(total, 255)
-        return pa.table([table["slice"][:1], table["part"][:1], table["task"][:1], pa.array([total.astype(kind).tobytes()])], schema=ARRAYS)
+        places, own = _packed(total.astype(kind))
+        return pa.table([table["slice"][:1], table["part"][:1], table["task"][:1], pa.array([places], pa.binary()), pa.array([own], pa.binary())], schema=ARRAYS)
 
     for _ in range(2):
         arrays = arrays.withColumn("task", F.expr("task div 64").cast("int")).groupBy("slice", "part", "task").applyInArrow(add, ARRAYS_SQL)
@@ -213,12 +232,13 @@ def _bits(arrays: DataFrame, size: int, least: int) -> np.ndarray:
 
     def pack(batches):
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(x.as_buffer(), np.uint8) >= least, bitorder="little").tobytes() for x in batch["counts"]]
+            bits = [np.packbits(_unpacked(places, own, np.uint8, ARRAY_PART) >= least, bitorder="little").tobytes() for places, own in zip(batch["places"], batch["counts"])]
             yield pa.RecordBatch.from_arrays([batch["part"], pa.array(bits, pa.binary())], names=["part", "bits"])
 
     out = np.zeros(size // 8, np.uint8)
     for r in tree_sum(arrays, np.uint8).mapInArrow(pack, "part long, bits binary").toLocalIterator():
-        out[r.part // 8 : r.part // 8 + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+        bits = np.frombuffer(r.bits, np.uint8)[: len(out) - r.part // 8]
+        out[r.part // 8 : r.part // 8 + len(bits)] = bits
     return out
 
 
@@ -369,8 +389,8 @@ def _read_out(hashes: DataFrame, arrays: DataFrame, least: int) -> DataFrame:
     def run(table: pa.Table, counts: pa.Table) -> pa.Table:
         perfect = PerfectHash.from_bytes(table["hash"][0].as_py())
         total = np.zeros(len(perfect.keys), np.int64)
-        for part, own in zip(counts["part"].to_pylist(), counts["counts"]):
-            values = np.frombuffer(own.as_buffer(), np.int64)
+        for part, places, own in zip(counts["part"].to_pylist(), counts["places"], counts["counts"]):
+            values = _unpacked(places, own, np.int64, ARRAY_PART)[: len(total) - part]
             total[part : part + len(values)] = values
         some = np.flatnonzero(total >= least)
         return pa.table([*(pa.array(np.ascontiguousarray(perfect.keys[some, i]).view(np.int64)) for i in range(LONGEST)), pa.array(total[some])], names=[*IDS, "f"])
