@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -341,6 +342,48 @@ def test_only_names_of_boilerplate_are_boilerplate():
     assert article("<main><p class=notice>drop<p>One<ul><li class=comment>drop<li>Two</ul></main>", []) == "One Two"
 
 
+TEXT, SHORT = " ".join(f"a{i}" for i in range(85)), " ".join(f"b{i}" for i in range(15))
+
+
+def test_no_share_of_an_article_is_dropped():
+    assert article(f"<body><div class=a>{TEXT}</div><div class=b>{SHORT}</div></body>", []) == f"{TEXT} {SHORT}"
+    assert article(f"<body><div class=q1><a href=/>{SHORT}</a></div><div class=q2>{TEXT}</div><div class=q3>{SHORT}</div></body>", []) == f"{TEXT} {SHORT}"
+
+
+@pytest.mark.parametrize("name", ["social-science", "share-price-analysis", "post-content ad-free", "subscribe", "hero-banner", "cookie-recipe", "navigation-history", "form-8k", "tags-explained", "login-guide"])
+def test_no_name_empties_a_page(name):
+    assert article(f"<body><div class='{name}'>{TEXT}</div></body>", []) == TEXT
+    assert article(f"<body><div class='{name}'>few words</div></body>", []) == "few words"
+    assert article(f"<body><nav>{SHORT}</nav><h1>Title of it</h1><div class='{name}'><p>{TEXT}</p></div><footer>{SHORT}</footer></body>", []) == f"Title of it {TEXT}"
+
+
+@pytest.mark.parametrize("name", ["user-discussion", "reader-reviews", "talkback", "feedback-thread", "conversation"])
+def test_comments_go_by_name_and_by_structure(name):
+    assert article(f"<body><div class=x1><p>{TEXT}</p></div><div class='{name}'><p>{TEXT}</p><p>{SHORT}</p></div></body>", []) == TEXT
+    said = "<div class=z><span class=author>n</span> <time>1 May</time><p>%s</p></div>"
+    assert article(f"<body><div class=x1><p>{TEXT}</p></div><div class=x2>{said % SHORT}{said % 'yes'}</div></body>", []) == TEXT
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<div>" * 20000 + "text", "<article>" * 20000 + "text" + "</article>" * 20000, "".join(f"<div class=c{i}>" for i in range(20000)) + "text"):
+        assert article(page, []) == "text"
+    began = time.time()
+    assert len(article("".join(f"<div class=c{'x' * (i % 7)}>t{i}" for i in range(20000)), {}).split()) == 20000
+    assert time.time() - began < 20
+
+
+def test_hosts_of_many_templates_and_votes_in_a_join(spark):
+    """Every template of a host gets its vote; the result is the same without sending the votes."""
+    rows = []
+    for k in range(12):
+        for i in range(3):
+            rows.append((len(rows), "http://h/a", f"<body><div class=t{chr(97 + k)}><p>{TEXT}</p></div><div class=s{chr(97 + k)}><a href=/>{SHORT}</a> x</div></body>"))
+    rows += [(100, None, None), (100, None, None), (None, "http://h/b", f"<p>{TEXT}</p>")]
+    frame = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, path string")
+    sent, joined = (sorted(map(tuple, extract_articles(frame, broadcast_bytes=b).collect()), key=repr) for b in (1 << 24, 0))
+    assert sent == joined and len(sent) == len(rows) and all(t == TEXT for i, _, t, _ in sent if i != 100)
+
+
 #: Layouts: how the article is wrapped, and what stands around and in it that is no part of it.
 WRAPPERS = (
     "<article>%s</article>", "<main>%s</main>", '<div id="content">%s</div>', '<div class="post-body">%s</div>', '<div class="entry-content clearfix">%s</div>', "<div><div><div>%s</div></div></div>",
@@ -458,4 +501,4 @@ def test_empty_tables(spark):
 
 
 def test_sql_names_queries():
-    assert set(SQL) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(SQL) <= set(QUERIES) and len(QUERIES) == 13
