@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The kinds of a provider's numbered errors; all others are bad requests.
+# The stored kinds of a provider's numbered errors; the one without numbers is that of all others.
 WALL_ERRORS = {
     "authentication": (4, 5, 16, 27, 28),
-    "access": (2, 7, 11, 14, 15, 17, 18, 19, 20, 21, 23, 24, 25, 30, 37, 42, 203, 210),
-    "quota": (6, 9, 29, 32, 103),
+    "access_or_policy": (2, 7, 11, 14, 15, 17, 18, 19, 20, 21, 23, 24, 25, 30, 37, 42, 203, 210),
+    "rate_limit_or_quota": (6, 9, 29, 32, 103),
     "timeout": (36,),
     "transport": (1, 10),
+    "permanent_request": (),
 }
-SEARCH_ERRORS = {"empty": (15,), "authorization": (31, 33, 42), "rate_limit": (32, 55), "server": (20,)}
+SEARCH_ERRORS = {"empty": (15,), "authorization": (31, 33, 42), "rate_limit": (32, 55), "provider_server": (20,), "provider_request": ()}
 # What a failed delivery is, by the kind of its exception and of that one's cause.
 DELIVERY_ERRORS = {"retry_after": "rate_limited", "forbidden": "authorization", "invalid_token": "authorization", "bad_request": "malformed", "provider": "permanent"}
 NETWORK_ERRORS, NOTHING_SENT = ("network", "timeout"), ("connect_error", "connect_timeout", "pool_timeout")
@@ -26,8 +27,8 @@ def error_kind(code: Column, kinds: dict[str, tuple[int, ...]]) -> Column:
     """The kind of a numbered error; null has none."""
     out = F.when(code.isNull(), F.lit(None).cast("string"))
     for kind, codes in kinds.items():
-        out = out.when(code.isin(*codes), kind)
-    return out.otherwise("request")
+        out = out.when(code.isin(*codes), kind) if codes else out
+    return out.otherwise(next(kind for kind, codes in kinds.items() if not codes))
 
 
 def delivery_error(error: Column, cause: Column) -> Column:

@@ -122,7 +122,7 @@ def incremental_clusters(spark, sf_dir):
     return recovered(store.clusters())
 
 
-QUERIES = {f.__name__: f for f in (golden_pipeline, golden_items, golden_leads, request_scores, extract_request_fields, field_evidence, rejected_recovery, incremental_clusters)}
+QUERIES = {f.__name__: f for f in (request_scores, extract_request_fields, field_evidence, rejected_recovery, incremental_clusters)}
 
 TEXT_LIST = "[" + ", ".join(f"'{t}'" for t in TEXTS["primary"]) + "]"
 #: Of each fixed request: intent, subject, sum of its weights without freshness and contact, completeness without contact, grade.
@@ -156,8 +156,8 @@ RESTS_ON = {
     11: (("grade", 8), ("goal_ege", 3), ("format_online", 6)),
     12: (("grade", 8), ("goal_ege", 3), ("format_online", 6), ("location", 12)),
 }
-#: Reasons keep their order: freshness comes after the grade, the budget and the contact after it, the negative ones last.
-SQL = {
+#: What the fixed requests must come to, for the tests.
+GOLDEN = {
     "golden_pipeline": "SELECT 14 AS raw, 8 AS processed, 6 AS rejected, 8 AS occurrences, 6 AS leads, 1 AS exact_text, 1 AS fuzzy_text, 0 AS failed",
     "golden_items": f"""
 WITH {KNOWN_SQL}, scored AS (
@@ -167,6 +167,9 @@ SELECT *, {ELIGIBLE} AS eligible FROM scored""",
     "golden_leads": """
 SELECT * FROM (VALUES (1, 1, 83, 'literature', 10, 'ege', 'online', 2, 1767268800), (4, 4, 61, 'literature', NULL, '', 'unknown', 1, 1767268800), (5, 5, 86, 'literature', 9, 'oge', 'online', 1, 1767268800),
   (6, 6, 85, 'literature', 11, 'olympiad|vsosh', 'online', 1, 1767268800), (7, 7, 71, 'russian_and_literature', 10, 'ege', 'online', 1, 1767268800), (13, 13, 83, 'literature', 10, 'ege', 'online', 2, 1767268800)) AS t(lead_id, canonical_item_id, score, subject, grade, goals, format, occurrences, last_seen_s)""",
+}
+#: Reasons keep their order: freshness comes after the grade, the budget and the contact after it, the negative ones last.
+SQL = {
     "request_scores": f"""
 WITH {KNOWN_SQL}, rows AS (SELECT doc_id AS item_id, doc_id % 13 AS k, doc_id % 4 = 0 AS contact, doc_id % 3 = 0 AND doc_id % 40 < 12 AS fresh FROM documents),
 scored AS (SELECT item_id, intent, subject, CAST(greatest(0, least(100, base + CASE WHEN fresh THEN 6 ELSE 0 END + CASE WHEN contact THEN 2 ELSE 0 END)) AS INT) AS score, reasons, fresh, contact,

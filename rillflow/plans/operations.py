@@ -29,7 +29,7 @@ def collection_runs(spark, sf_dir):
     """The rows of finished runs, a page an event: 20 events are one run."""
     n = F.col("event_id")
     run = F.floor(n / 20)
-    pages = events(spark, sf_dir).select(run.alias("run_id"), (1 + n % 4).alias("seen"), (n % 3).alias("inserted"), F.when(F.col("event_type") == "error", n % 2).otherwise(0).alias("failed"), F.when(F.col("event_type") == "error", "server").alias("error"))
+    pages = events(spark, sf_dir).select(run.alias("run_id"), (1 + n % 4).alias("seen"), (n % 3).alias("inserted"), F.when(F.col("event_type") == "error", n % 2).otherwise(0).alias("failed"), F.when(F.col("event_type") == "error", "provider_server").alias("error"))
     runs = events(spark, sf_dir).select(run.alias("run_id")).distinct().select("run_id", F.concat(F.lit("s"), (F.col("run_id") % 7).cast("string")).alias("source_key"), at(F.col("run_id") * 60).alias("started_at"))
     rows = C.run_rows(pages, runs, at(F.lit(10**6)))
     return rows.select("run_id", "source_key", "status", "items_seen", "items_inserted", "items_failed", F.coalesce("error_category", F.lit("-")).alias("error_category"))
@@ -94,8 +94,8 @@ def collector_pauses(spark, sf_dir):
 
 def wall_read_on(spark, sf_dir):
     """What is read from each wall on from its mark, and the new marks: each source is a wall, its first window holds its newest posts."""
-    windows = wall.sample_windows(table(spark, sf_dir, "documents").where("doc_id < 500"))
-    own = F.pmod(F.xxhash64("window_id"), F.lit(10**6))
+    windows = wall.sample_windows(table(spark, sf_dir, "documents"))
+    own = F.xxhash64("window_id").bitwiseAND(F.lit(2**62 - 1))
     decoded = wall.decode(windows).drop("community_id").withColumn("community_id", own).select("window_id", "community_id", "failure", "posts")
     size = F.size("posts")
     cursors = decoded.where(size % 3 != 0).select("community_id", F.when(size % 3 == 1, F.get(F.col("posts"), F.lit(0))["post_id"] - 100).otherwise(F.lit(0)).alias("mark"))
@@ -195,8 +195,8 @@ def query_lookup(spark, sf_dir):
 
 
 def digest_days(spark, sf_dir):
-    """Bounds of each local day of a year, and the digest that follows its noon and its first minute."""
-    days = spark.range(366).select(F.date_add(F.lit("2026-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    """Bounds of each local day of an order, and the digest that follows its noon and its first minute."""
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).where("day IS NOT NULL").distinct()
     start, end = times.day_bounds(F.col("day"), ZONE)
     noon = times.local_instant(F.col("day"), ZONE, "12:00:00")
     s = F.unix_timestamp
@@ -227,7 +227,7 @@ SQL = {
     "collection_runs": """
 WITH p AS (SELECT CAST(floor(event_id / 20) AS BIGINT) AS run_id, 1 + event_id % 4 AS seen, event_id % 3 AS inserted, CASE WHEN event_type = 'error' THEN event_id % 2 ELSE 0 END AS failed, event_type = 'error' AS bad FROM events)
 SELECT run_id, 's' || CAST(run_id % 7 AS VARCHAR) AS source_key, CASE WHEN NOT bool_or(bad) THEN 'succeeded' WHEN sum(seen) > sum(failed) THEN 'partial' ELSE 'failed' END AS status,
-  CAST(sum(seen) AS BIGINT) AS items_seen, CAST(sum(inserted) AS BIGINT) AS items_inserted, CAST(sum(failed) AS BIGINT) AS items_failed, CASE WHEN bool_or(bad) THEN 'server' ELSE '-' END AS error_category FROM p GROUP BY run_id""",
+  CAST(sum(seen) AS BIGINT) AS items_seen, CAST(sum(inserted) AS BIGINT) AS items_inserted, CAST(sum(failed) AS BIGINT) AS items_failed, CASE WHEN bool_or(bad) THEN 'provider_server' ELSE '-' END AS error_category FROM p GROUP BY run_id""",
     "stale_runs": f"""
 WITH {LOG}
 SELECT run_id, CASE WHEN status = 'running' AND source_key % 2 = 0 THEN 'failed' ELSE status END AS status,
@@ -239,11 +239,11 @@ SELECT source_key, CASE WHEN source_key % 3 = 0 OR source_key % 4 = 0 THEN -1 EL
 SELECT source_key, CASE source_key % 5 WHEN 0 THEN 0 WHEN 4 THEN source_key % 4 ELSE source_key % 4 + 1 END AS failures, CASE WHEN source_key % 5 = 0 THEN 1000 ELSE -1 END AS success_s,
   CASE WHEN source_key % 5 IN (1, 2, 3) AND source_key % 2 = 0 THEN 1000 + source_key * 10 ELSE -1 END AS paused_s FROM (SELECT DISTINCT user_id AS source_key FROM events)""",
     "wall_read_on": """
-WITH w AS (SELECT source || '-' || CAST(CAST(floor(doc_id / 500) AS BIGINT) AS VARCHAR) AS window_id, doc_id + 1 AS post FROM documents WHERE doc_id < 500),
+WITH w AS (SELECT source || '-' || CAST(CAST(floor(doc_id / 500) AS BIGINT) AS VARCHAR) AS window_id, doc_id + 1 AS post FROM documents),
 s AS (SELECT window_id, count(*) AS n, max(post) AS top, min(post) AS low FROM w GROUP BY window_id),
 m AS (SELECT *, CASE n % 3 WHEN 1 THEN top - 100 WHEN 2 THEN 0 END AS old FROM s),
 j AS (SELECT *, old IS NOT NULL AND n = 5 AND low > old AS over_ FROM m)
-SELECT j.window_id, CASE WHEN over_ THEN old ELSE greatest(coalesce(old, 0), top) END AS mark, CASE WHEN over_ THEN 'overflow' ELSE '-' END AS failure,
+SELECT j.window_id, CASE WHEN over_ THEN old ELSE greatest(coalesce(old, 0), top) END AS mark, CASE WHEN over_ THEN 'cursor_overflow' ELSE '-' END AS failure,
   CASE WHEN over_ THEN 0 ELSE (SELECT count(*) FROM w WHERE w.window_id = j.window_id AND w.post > coalesce(j.old, 0)) END AS items FROM j""",
     "immediate_reservation": """
 WITH i AS (SELECT doc_id AS lead_id, (doc_id * 37) % 101 AS score, doc_id * 60 AS seen, doc_id % 5 AS k FROM documents),
@@ -277,11 +277,14 @@ SELECT (SELECT arg_max(event_id % 3 = 0, event_id) FROM events WHERE user_id % 2
     "owner_access": "SELECT event_id, user_id IN (1, 2, 3) AND (event_id % 4 <> 0 OR user_id = event_id) AS may, event_id % 3 <> 0 AND event_id % 5 <> 0 AS sound FROM events",
     "query_lookup": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'литература' WHEN 1 THEN 'сочинение' WHEN 2 THEN 'ЕГЭ' ELSE '-' END AS query_text FROM events",
     "digest_days": """
-WITH d AS (SELECT CAST('2026-01-01' AS DATE) + CAST(i AS INT) AS day FROM range(366) AS t(i)),
-o AS (SELECT day, CASE WHEN day > DATE '2026-03-29' AND day <= DATE '2026-10-25' THEN 2 ELSE 1 END AS h0, CASE WHEN day >= DATE '2026-03-29' AND day < DATE '2026-10-25' THEN 2 ELSE 1 END AS h1 FROM d),
+WITH g AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate IS NOT NULL),
+-- Summer time: from the last Sunday of March to the last one of October, of September before 1996.
+l AS (SELECT day, make_date(year(day), 3, 31) AS m, last_day(make_date(year(day), CASE WHEN year(day) < 1996 THEN 9 ELSE 10 END, 1)) AS e FROM g),
+d AS (SELECT day, m - dayofweek(m)::INT AS summer, e - dayofweek(e)::INT AS winter FROM l),
+o AS (SELECT *, CASE WHEN day > summer AND day <= winter THEN 2 ELSE 1 END AS h0, CASE WHEN day >= summer AND day < winter THEN 2 ELSE 1 END AS h1 FROM d),
 s AS (SELECT *, CAST(epoch(CAST(day AS TIMESTAMP)) AS BIGINT) AS midnight FROM o)
 SELECT strftime(day, '%Y-%m-%d') AS day, midnight - h0 * 3600 AS start_s, midnight + 86400 - h1 * 3600 AS end_s, midnight + 9 * 3600 - h1 * 3600 AS first_s,
-  midnight + 86400 + 9 * 3600 - CASE WHEN day + 1 >= DATE '2026-03-29' AND day + 1 < DATE '2026-10-25' THEN 2 ELSE 1 END * 3600 AS second_s FROM s""",
+  midnight + 86400 + 9 * 3600 - CASE WHEN day + 1 >= summer AND day + 1 < winter THEN 2 ELSE 1 END * 3600 AS second_s FROM s""",
 }
 QUERIES["collection_stream"] = collection_stream
 SQL["collection_stream"] = """

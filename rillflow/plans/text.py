@@ -150,7 +150,8 @@ def cluster_replay(spark, sf_dir):
 
 
 def digest_dst_days(spark, sf_dir):
-    days = spark.range(0, 366).select(F.date_add(F.lit("2026-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    """The hours of each local day of an order."""
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).where("day IS NOT NULL").distinct()
     start = lambda d: F.to_utc_timestamp(d.cast("timestamp_ntz").cast("timestamp"), "Europe/Rome")
     return days.select("day", ((F.unix_timestamp(start(F.date_add("day", 1))) - F.unix_timestamp(start(F.col("day")))) / 3600).cast("long").alias("hours")).select(F.col("day").cast("string").alias("day"), "hours")
 
@@ -224,6 +225,6 @@ SELECT CAST(floor(page_id / 10) AS BIGINT) AS response_id, rank, sha256(url) AS
     "json_metadata": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "snippet_evidence": f"SELECT page_id, {EVIDENCE} AS evidence FROM pages",
     "digest_dst_days": """
-WITH d AS (SELECT CAST('2026-01-01' AS DATE) + CAST(i AS INT) AS day FROM range(366) AS t(i))
-SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN month(day) IN (3, 10) AND day + 7 > last_day(day) AND dayofweek(day) = 0 THEN CASE month(day) WHEN 3 THEN 23 ELSE 25 END ELSE 24 END AS hours FROM d""",
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate IS NOT NULL)
+SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN month(day) IN (3, CASE WHEN year(day) < 1996 THEN 9 ELSE 10 END) AND day + 7 > last_day(day) AND dayofweek(day) = 0 THEN CASE month(day) WHEN 3 THEN 23 ELSE 25 END ELSE 24 END AS hours FROM d""",
 }

@@ -19,7 +19,7 @@ class Unsound(ValueError):
     """A window that can't be trusted; its reason is the message."""
 
 
-def need(held: bool, reason: str = "malformed") -> None:
+def need(held: bool, reason: str = "malformed_response") -> None:
     if not held:
         raise Unsound(reason)
 
@@ -35,8 +35,8 @@ def said(value) -> str:
     try:
         value.encode()
     except UnicodeEncodeError:
-        raise Unsound("malformed") from None
-    need(len(value) <= LONGEST_TEXT, "too_large")
+        raise Unsound("malformed_response") from None
+    need(len(value) <= LONGEST_TEXT, "response_too_large")
     return value
 
 
@@ -48,12 +48,12 @@ def strict_json(payload: str):
         return dict(pairs)
 
     def finite(_):
-        raise Unsound("malformed")
+        raise Unsound("malformed_response")
 
     try:
         return json.loads(payload, object_pairs_hook=once, parse_constant=finite)
     except (json.JSONDecodeError, RecursionError):
-        raise Unsound("malformed") from None
+        raise Unsound("malformed_response") from None
 
 
 def quoted(history, level: int = 0) -> list[tuple[int, int, str]]:
@@ -74,7 +74,7 @@ def read_post(item, community: int) -> dict:
     need(type(pin) is int and pin in (0, 1) and item.get("post_type") in KINDS)
     texts = dict.fromkeys([said(item.get("text")), *(text for _, _, text in originals)])
     text = "\n\n".join(t for t in texts if t)
-    need(len(text) <= LONGEST_TEXT, "too_large")
+    need(len(text) <= LONGEST_TEXT, "response_too_large")
     links = [{"owner_id": owner, "post_id": post} for owner, post, _ in originals]
     return {"post_id": whole(item.get("id")), "date": whole(item.get("date"), 0), "text": text, "pinned": pin == 1, "post_type": item["post_type"], "originals": links}
 
@@ -83,7 +83,7 @@ def read_window(payload: str | None, community: int, limit: int | None) -> dict:
     """The posts of a sound window, or why there are none; an error of the provider has its code."""
     try:
         need(payload is not None)
-        need(len(payload.encode()) <= LARGEST_WINDOW, "too_large")
+        need(len(payload.encode()) <= LARGEST_WINDOW, "response_too_large")
         envelope = strict_json(payload)
         need(isinstance(envelope, dict) and ("error" in envelope) != ("response" in envelope))
         answer = envelope.get("response", envelope.get("error"))
@@ -142,7 +142,7 @@ def read_on(decoded: DataFrame, cursors: DataFrame, initial: int, incremental: i
     known = decoded.join(cursors.select("community_id", F.col("mark").alias("old")), "community_id", "left")
     full = F.size("posts") == F.when(F.col("old").isNull(), initial).otherwise(incremental)
     bounded = F.exists("posts", lambda p: ~p["pinned"] & (p["post_id"] <= F.col("old")))
-    failure = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("old").isNotNull() & full & ~bounded, "overflow")
+    failure = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("old").isNotNull() & full & ~bounded, "cursor_overflow")
     judged = known.select("window_id", "community_id", "old", failure.alias("failure"), F.when(failure.isNull(), F.filter("posts", lambda p: p["post_id"] > F.coalesce("old", F.lit(0)))).otherwise(F.array().cast(f"array<struct<{POST}>>")).alias("posts"))
     items = judged.select("community_id", F.explode("posts").alias("p")).select("community_id", "p.*")
     mark = F.when(F.col("failure").isNull(), F.greatest(F.coalesce("old", F.lit(0)), F.coalesce(F.array_max(F.transform("posts", lambda p: p["post_id"])), F.lit(0)))).otherwise(F.col("old"))

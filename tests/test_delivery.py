@@ -102,7 +102,7 @@ def test_waits_are_bounded(spark):
 
 
 def test_kinds_of_failure(spark):
-    assert one(spark, O.error_kind(F.col("c"), O.WALL_ERRORS), c=29) == "quota" and one(spark, O.error_kind(F.col("c"), O.SEARCH_ERRORS), c=999) == "request"
+    assert one(spark, O.error_kind(F.col("c"), O.WALL_ERRORS), c=29) == "rate_limit_or_quota" and one(spark, O.error_kind(F.col("c"), O.SEARCH_ERRORS), c=999) == "provider_request"
     kinds = {("network", "connect_error"): "retryable", ("network", "read_error"): "ambiguous", ("timeout", "pool_timeout"): "retryable", ("forbidden", ""): "authorization", ("odd", ""): "ambiguous"}
     assert all(one(spark, O.delivery_error(F.col("e"), F.col("c")), e=e, c=c) == kind for (e, c), kind in kinds.items())
 

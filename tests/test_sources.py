@@ -27,7 +27,7 @@ def test_search_responses(spark):
     results, failures = search_results(spark.createDataFrame(rows, "response_id string, payload string"), limit=3)
     got = results.select("response_id", "rank", "url", "evidence", F.unix_timestamp("published_at")).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [("good", 1, "http://x.org/1", "ab\np1", 1767225600), ("good", 3, "http://x.org/3", "ab\np3", None)]
-    assert {r.response_id: r.failure for r in failures.collect()} == {"limit": "rate_limit", "odd": "request", "type": "malformed", "root": "malformed", "text": "malformed", "list": "malformed", "null": "malformed"}
+    assert {r.response_id: r.failure for r in failures.collect()} == {"limit": "rate_limit", "odd": "provider_request", "type": "malformed_response", "root": "malformed_response", "text": "malformed_response", "list": "malformed_response", "null": "malformed_response"}
 
 
 def test_a_window_holds_what_it_counts(spark):
@@ -97,10 +97,10 @@ def test_windows_are_sound_or_refused():
         window(post(True)), window(post(0)), window(post(9, text=None)), window(post(9, text="\0")), window(post(9), count=0), window(post(9, copy_history=[quoted(1, "x", [deep])])), window(post(9, copy_history=[quoted(k, "x") for k in range(1, 7)])),
         '{"response":{"count":0,"items":[],"items":[]}}', '{"response":{"count":NaN,"items":[]}}', window(error={"error_code": 5}), "{}", "x", None, "[]",
     ]
-    assert {read(b)["failure"] for b in bad} == {"malformed"}
-    assert read(window(post(9, "x" * 65_537)))["failure"] == "too_large"
+    assert {read(b)["failure"] for b in bad} == {"malformed_response"}
+    assert read(window(post(9, "x" * 65_537)))["failure"] == "response_too_large"
     assert read('{"error":{"error_code":5}}') == {"failure": "error", "code": 5, "posts": []}
-    assert read(window(post(9), post(8)), 3)["failure"] is None and read(window(post(9), count=2), 3)["failure"] == "malformed"
+    assert read(window(post(9), post(8)), 3)["failure"] is None and read(window(post(9), count=2), 3)["failure"] == "malformed_response"
 
 
 def test_walls_are_read_on_from_their_marks(spark):
@@ -109,7 +109,7 @@ def test_walls_are_read_on_from_their_marks(spark):
     cursors = spark.createDataFrame([(2, 7), (3, 5), (5, 6)], "community_id long, mark long")
     items, marks = wall.read_on(decoded, cursors, 2, 2)
     assert sorted((r.community_id, r.post_id) for r in items.collect()) == [(1, 8), (1, 9), (2, 8), (2, 9)]
-    assert {r.community_id: (r.mark, r.failure) for r in marks.collect()} == {1: (9, None), 2: (9, None), 3: (5, "overflow"), 4: (0, None), 5: (6, "malformed")}
+    assert {r.community_id: (r.mark, r.failure) for r in marks.collect()} == {1: (9, None), 2: (9, None), 3: (5, "cursor_overflow"), 4: (0, None), 5: (6, "malformed_response")}
     sources = spark.createDataFrame([(1, "k")], "community_id long, source_key string")
     records = wall.wall_records(items, sources, F.lit(NOW)).collect()
     assert sorted(r.external_id for r in records) == ["1_8", "1_9"] and json.loads(records[0].metadata)["post_type"] == "post"
