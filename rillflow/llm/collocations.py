@@ -15,7 +15,7 @@ For each length, three passes over the streams:
 
 Hash and arrays are cut into slices of `slice_keys` candidates, a fixed size. One
 slice is sent to where the streams are read; of several, each goes to a few tasks, and
-the phrases, added up block by block, travel to it. So nothing that is sent
+the phrases, added up over many blocks and packed by slice, travel to it. So nothing that is sent
 grows with the corpus, and the streams are read the same number of times at any
 size. Where the filters of fixed size fill up, more candidates are counted; the
 result is the same.
@@ -43,10 +43,14 @@ LONGEST, SCALE, SHARE = 4, 2_000_000, 80
 IDS = [f"w{i + 1}" for i in range(LONGEST)]
 GRAMS_SQL = ", ".join(f"{c} long" for c in IDS)
 BLOCK_IDS = 1 << 17
-SIEVE, MEMBERS = 1 << 23, 1 << 25
+SIEVE, MEMBERS = 1 << 26, 1 << 25
 ARRAY_PART = 1 << 15
+#: Arrays that a task of the tree adds up: of each a part of 256 KB at most.
+FAN_IN = 256
+#: Words of the corpus for each bucket in which candidates meet; what tells buckets and slices apart.
+WORDS_IN_BUCKET, BUCKET_SEED = 1 << 22, 77
 #: Phrases that a task holds to send each once.
-ROWS_HELD = 1 << 20
+ROWS_HELD = 1 << 19
 NO_ROWS = np.zeros(0, np.int64)
 
 
@@ -203,14 +207,15 @@ def _array_rows(counts: np.ndarray, number: int):
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
-    full = np.unique(np.flatnonzero(counts) // ARRAY_PART) * ARRAY_PART
-    for part in full.tolist():
+    for part in range(0, len(counts), ARRAY_PART):
+        if not counts[part : part + ARRAY_PART].any():
+            continue
         places, own = _packed(counts[part : part + ARRAY_PART])
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part], pa.int64()), pa.array([task], pa.int32()), pa.array([places], pa.binary()), pa.array([own], pa.binary())], schema=ARRAYS)
 
 
-def tree_sum(arrays: DataFrame, kind) -> DataFrame:
-    """The sums of the tasks' arrays, part by part: first of at most 64 tasks, then of 64 such sums, then of what is left."""
+def tree_sum(arrays: DataFrame, kind, tasks: int) -> DataFrame:
+    """The sums of the arrays of about `tasks` tasks, part by part: of at most FAN_IN tasks, then of as many such sums, until one is left."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(ARRAY_PART, np.int64)
@@ -222,12 +227,18 @@ def tree_sum(arrays: DataFrame, kind) -> DataFrame:
         places, own = _packed(total.astype(kind))
         return pa.table([table["slice"][:1], table["part"][:1], table["task"][:1], pa.array([places], pa.binary()), pa.array([own], pa.binary())], schema=ARRAYS)
 
-    for _ in range(2):
-        arrays = arrays.withColumn("task", F.expr("task div 64").cast("int")).groupBy("slice", "part", "task").applyInArrow(add, ARRAYS_SQL)
+    while tasks > FAN_IN:
+        arrays = arrays.withColumn("task", F.expr(f"task div {FAN_IN}").cast("int")).groupBy("slice", "part", "task").applyInArrow(add, ARRAYS_SQL)
+        tasks = -(-tasks // FAN_IN)
     return arrays.groupBy("slice", "part").applyInArrow(add, ARRAYS_SQL)
 
 
-def _bits(arrays: DataFrame, size: int, least: int) -> np.ndarray:
+def _tasks(table: DataFrame) -> int:
+    """How many tasks read a written table."""
+    return table.rdd.getNumPartitions()
+
+
+def _bits(arrays: DataFrame, size: int, least: int, tasks: int) -> np.ndarray:
     """The places of a summed array of `size` that have `least`, as bits: 1 MB for 8 million places, whatever was counted."""
 
     def pack(batches):
@@ -236,7 +247,7 @@ def _bits(arrays: DataFrame, size: int, least: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch["part"], pa.array(bits, pa.binary())], names=["part", "bits"])
 
     out = np.zeros(size // 8, np.uint8)
-    for r in tree_sum(arrays, np.uint8).mapInArrow(pack, "part long, bits binary").toLocalIterator():
+    for r in tree_sum(arrays, np.uint8, tasks).mapInArrow(pack, "part long, bits binary").toLocalIterator():
         bits = np.frombuffer(r.bits, np.uint8)[: len(out) - r.part // 8]
         out[r.part // 8 : r.part // 8 + len(bits)] = bits
     return out
@@ -251,20 +262,21 @@ def _member_bits(grams: DataFrame, k: int, size: int) -> np.ndarray:
             seen[(tuple_hash([batch[c].to_numpy().view(U64) for c in IDS[:k]]) & U64(size - 1)).astype(np.int64)] = 1
         yield from _array_rows(seen, 0)
 
-    return _bits(grams.select(*IDS[:k]).mapInArrow(mark, ARRAYS_SQL), size, 1)
+    grams = grams.select(*IDS[:k])
+    return _bits(grams.mapInArrow(mark, ARRAYS_SQL), size, 1, _tasks(grams))
 
 
 def _sieve_bits(streams: DataFrame, filters, size: int, least: int) -> np.ndarray:
     def count(batches):
-        total = np.zeros(size, np.int32)
+        total = np.zeros(size, np.uint8)  # what has reached 255 stays there
         for ids, repeated in _blocks(batches):
-            places = (filters.value.phrases(ids, repeated)[1] & U64(size - 1)).astype(np.int64)
-            np.add.at(total, places, 1)
-        yield from _array_rows(np.minimum(total, 255).astype(np.uint8), 0)
+            places, n = np.unique((filters.value.phrases(ids, repeated)[1] & U64(size - 1)).astype(np.int64), return_counts=True)
+            total[places] = np.minimum(total[places] + n, 255)
+        yield from _array_rows(total, 0)
         del total
         release_memory()
 
-    return _bits(streams.mapInArrow(count, ARRAYS_SQL), size, least)
+    return _bits(streams.mapInArrow(count, ARRAYS_SQL), size, least, _tasks(streams))
 
 
 def _distinct_rows(columns: list[np.ndarray], hashes: np.ndarray, counts: np.ndarray | None = None):
@@ -303,15 +315,70 @@ def _added_up(batches, filters: Filters):
         yield merged()
 
 
-def _candidates(streams: DataFrame, filters) -> DataFrame:
-    """The distinct phrases that pass the filters, as (w1, ..., w4), zeros at the end."""
+BLOCK_SQL = "bucket int, keys binary, n binary"
+BLOCK = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
-    def run(batches):
-        for columns, _ in _added_up(batches, filters.value):
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=IDS)
+
+def _bucket(columns: list[np.ndarray]) -> np.ndarray:
+    """What says to which bucket or slice a phrase belongs, as a signed number."""
+    return tuple_hash(columns, BUCKET_SEED).view(np.int64)
+
+
+def _packed_blocks(columns: list[np.ndarray], counts: np.ndarray, buckets: int):
+    """Phrases with their counts as a row for each bucket: far fewer rows travel than phrases."""
+    place = np.mod(_bucket(columns), buckets)
+    order = np.argsort(place, kind="stable")
+    cuts = np.flatnonzero(np.diff(place[order])) + 1
+    keys, counts = np.column_stack(columns)[order], counts[order].astype(np.int64)
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+        if b > a:
+            yield pa.RecordBatch.from_arrays([pa.array([place[order[a]]], pa.int32()), pa.array([keys[a:b].tobytes()]), pa.array([counts[a:b].tobytes()])], schema=BLOCK)
+
+
+def _block_keys(block) -> list[np.ndarray]:
+    return list(np.frombuffer(block.as_buffer(), U64).reshape(-1, LONGEST).T)
+
+
+def _candidates(streams: DataFrame, filters, words: int) -> DataFrame:
+    """The distinct phrases that pass the filters, as (w1, ..., w4), zeros at the end, and their bucket number.
+
+    They meet in buckets of a few million of the corpus's `words` each.
+    """
+    buckets = max(1, -(-words // WORDS_IN_BUCKET))
+
+    def send(batches):
+        for columns, n in _added_up(batches, filters.value):
+            yield from _packed_blocks(columns, n, buckets)
+        release_memory()
+
+    def once(held):
+        columns = [np.concatenate([h[i] for h in held]) for i in range(LONGEST)]
+        return _distinct_rows(columns, tuple_hash(columns))[0]
+
+    def meet(batches):
+        now, held, size = None, [], 0
+        for batch in batches:
+            for bucket, block in zip(batch["bucket"].to_pylist(), batch["keys"]):
+                if bucket != now and held:
+                    yield _gram_rows(once(held))
+                    held, size = [], 0
+                now = bucket
+                held.append(_block_keys(block))
+                size += len(held[-1][0])
+                if size > 2 * ROWS_HELD:
+                    held = [once(held)]
+                    size = len(held[0][0])
+        if held:
+            yield _gram_rows(once(held))
+        del held
         release_memory()
 
-    return streams.mapInArrow(run, GRAMS_SQL).distinct()
+    sent = streams.mapInArrow(send, BLOCK_SQL).select("bucket", "keys")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, f"{GRAMS_SQL}, place long")
+
+
+def _gram_rows(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns), pa.array(_bucket(columns))], names=[*IDS, "place"])
 
 
 HASH_SQL = "slice int, hash binary"
@@ -350,40 +417,37 @@ def _count_here(streams: DataFrame, filters, perfect) -> DataFrame:
 def _count_there(streams: DataFrame, filters, hashes: DataFrame, slices: int, salts: int) -> DataFrame:
     """Arrays of counts by slot of many slices: phrases travel to one of the `salts` tasks that hold their slice."""
 
-    def add_up(batches):
+    def send(batches):
         for columns, n in _added_up(batches, filters.value):
-            salt = np.full(len(n), int(n[:64].sum()) % salts, np.int32)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n.astype(np.int64)), pa.array(salt)], names=[*IDS, "n", "salt"])
+            yield from _packed_blocks(columns, n, slices)
         release_memory()
 
     def run(batches):
         now, table, total = None, None, None
         for batch in batches:
-            number = batch["slice"].to_numpy()
-            cuts = np.flatnonzero((number[1:] != number[:-1]) | pc.is_valid(batch["hash"]).to_numpy(zero_copy_only=False)[1:]) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if batch["hash"][a].is_valid:  # sorted first: the hash of the slice whose phrases come now
+            for number, found, keys, n in zip(batch["bucket"].to_pylist(), batch["hash"], batch["keys"], batch["n"]):
+                if found.is_valid:  # sorted first: the hash of the slice whose phrases come now
                     if now is not None:
                         yield from _array_rows(total, now)
-                    now, table = int(number[a]), PerfectHash.from_bytes(batch["hash"][a].as_py())
+                    now, table = number, PerfectHash.from_bytes(found.as_py())
                     total = np.zeros(len(table.keys), np.int64)
-                    a += 1
-                own = batch.slice(a, b - a)
-                slots = table.slots([own[c].to_numpy(zero_copy_only=False).view(U64) for c in IDS]) if b > a else NO_ROWS
-                kept = slots >= 0
-                np.add.at(total, slots[kept], own["n"].to_numpy(zero_copy_only=False)[kept])
+                    continue
+                slots, n = table.slots(_block_keys(keys)), np.frombuffer(n.as_buffer(), np.int64)
+                np.add.at(total, slots[slots >= 0], n[slots >= 0])
         if now is not None:
             yield from _array_rows(total, now)
         del table, total
         release_memory()
 
-    grams = _sliced(streams.mapInArrow(add_up, f"{GRAMS_SQL}, n long, salt int"), slices).withColumn("hash", F.lit(None).cast("binary"))
-    held = hashes.select(*(F.lit(0).cast("long").alias(c) for c in [*IDS, "n"]), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "slice", "hash")
-    both = grams.unionByName(held).repartition("slice", "salt").sortWithinPartitions("slice", "salt", F.col("hash").isNull())
-    return both.select("slice", "hash", *IDS, "n").mapInArrow(run, ARRAYS_SQL)
+    salt = F.pmod(F.xxhash64("keys"), F.lit(salts)).cast("int")
+    grams = streams.mapInArrow(send, BLOCK_SQL).select("bucket", salt.alias("salt"), F.lit(None).cast("binary").alias("hash"), "keys", "n")
+    none = F.lit(None).cast("binary")
+    held = hashes.select(F.col("slice").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "hash", none.alias("keys"), none.alias("n"))
+    both = grams.union(held).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("hash").isNull())
+    return both.select("bucket", "hash", "keys", "n").mapInArrow(run, ARRAYS_SQL)
 
 
-def _read_out(hashes: DataFrame, arrays: DataFrame, least: int) -> DataFrame:
+def _read_out(hashes: DataFrame, arrays: DataFrame, least: int, tasks: int) -> DataFrame:
     """(w1, ..., w4, f) of the slots that have at least `least`."""
 
     def run(table: pa.Table, counts: pa.Table) -> pa.Table:
@@ -395,7 +459,7 @@ def _read_out(hashes: DataFrame, arrays: DataFrame, least: int) -> DataFrame:
         some = np.flatnonzero(total >= least)
         return pa.table([*(pa.array(np.ascontiguousarray(perfect.keys[some, i]).view(np.int64)) for i in range(LONGEST)), pa.array(total[some])], names=[*IDS, "f"])
 
-    return hashes.groupBy("slice").cogroup(tree_sum(arrays, np.int64).groupBy("slice")).applyInArrow(run, f"{GRAMS_SQL}, f long")
+    return hashes.groupBy("slice").cogroup(tree_sum(arrays, np.int64, tasks).groupBy("slice")).applyInArrow(run, f"{GRAMS_SQL}, f long")
 
 
 def _cuts(frequent: DataFrame, slices: int) -> DataFrame:
@@ -439,7 +503,8 @@ def phrase_counts(docs: DataFrame, least: int = 30, slice_keys: int = 1 << 18, s
     """(words, frequent): words as (id, lang, word, n), and all phrases of up to 4 words found at least `least` times as (w1, ..., w4, f).
 
     `slice_keys` bounds a slice of a perfect hash, `sieve` and `members` are the
-    places of the two filters (powers of two, 8 to a byte of what is sent).
+    places of the two filters (powers of two, 8 to a byte of what is sent, so 8 and
+    4 MB). A task's arrays travel as places and counts where few are taken.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
@@ -450,20 +515,22 @@ def phrase_counts(docs: DataFrame, least: int = 30, slice_keys: int = 1 << 18, s
             break
         seed += 1
     streams = read.where("ids IS NOT NULL").select("repeated", "ids")
+    total = words.agg(F.sum("n")).first()[0] or 0
     levels = [scratch.write(words.where(F.col("n") >= least).select(F.col("id").alias("w1"), *(F.lit(0).cast("long").alias(c) for c in IDS[1:]), F.col("n").alias("f")), narrow=True)]
     for k in range(2, LONGEST + 1):
         member_bits = _member_bits(levels[-1], k - 1, members)
         filters = spark.sparkContext.broadcast(Filters(k, member_bits))
         sieved = spark.sparkContext.broadcast(Filters(k, member_bits, _sieve_bits(streams, filters, sieve, least)))
-        candidates = scratch.write(_candidates(streams, sieved), narrow=True)
+        candidates = scratch.write(_candidates(streams, sieved, total), narrow=True)
         slices = max(1, -(-candidates.count() // slice_keys))
-        hashes = scratch.write(_hashes(_sliced(candidates, slices)))
+        tasks = _tasks(streams) if slices == 1 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        hashes = scratch.write(_hashes(candidates.withColumn("slice", F.pmod("place", F.lit(slices)).cast("int"))))
         if slices == 1:
             held = hashes.first()
             arrays = _count_here(streams, sieved, spark.sparkContext.broadcast(bytes(held.hash))) if held else None
         else:
             arrays = _count_there(streams, sieved, hashes, slices, salts)
-        levels.append(scratch.write(_read_out(hashes, arrays, least), narrow=True) if arrays is not None else levels[0].limit(0))
+        levels.append(scratch.write(_read_out(hashes, arrays, least, tasks), narrow=True) if arrays is not None else levels[0].limit(0))
     frequent = levels[0]
     for level in levels[1:]:
         frequent = frequent.union(level)
