@@ -116,6 +116,7 @@ def incremental_clusters(spark, sf_dir):
     rows = recoverable_items(spark, sf_dir)
     first, last = rows.agg(F.min("item_id"), F.max("item_id")).first()
     store = ClusterStore(spark, f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}")
+    first, last = (0, -1) if first is None else (first, last)
     third = (last - first) // 6 * 2 + 1  # an odd number of items: the pair at each border is split
     for low in range(first, last + 1, third):
         store.add(rows.where(F.col("item_id").between(low, low + third - 1)))
