@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.operators.dedup import similar_sets, token_sets
+from rillflow.functions.text import longest
+from rillflow.operators.dedup import set_members, similar_sets, token_sets
 from rillflow.operators.lineage import cut
 from rillflow.operators.ranking import distributed_rank
 
@@ -325,12 +326,20 @@ def replay_slices(items: DataFrame, links: DataFrame, window_days: int, slice_ro
     return out
 
 
-def prepared(items: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(items with their set_id, pairs (x, y, similarity) of similar token sets)."""
-    items = cut(with_optional(items))  # read for each kind of link
-    members, sets = token_sets(items, "item_id")
-    pairs = cut(similar_sets(sets, threshold).select("x", "y", (100.0 * F.col("shared") / F.col("total")).alias("similarity")))
-    return cut(items.join(members.withColumnRenamed("id", "item_id"), "item_id", "left")), pairs
+def prepared(items: DataFrame, threshold: int, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(items with their set_id, pairs (x, y, similarity) of similar token sets); unless `whole`, items keep their three longest tokens, all that a replay asks for."""
+    if not whole:
+        # The tokens of an item once, by their hashes in the rows of sets; the items as they are replayed, with their anchors.
+        items = with_optional(items)
+        kept = cut(items.withColumn("anchors", longest(F.col("tokens"))))
+        rows, sets = token_sets(kept.select("item_id", "tokens"), "item_id")
+        items = kept.drop("tokens").withColumnRenamed("anchors", "tokens")
+    else:
+        items = cut(with_optional(items))  # read for each kind of link
+        rows, sets = token_sets(items, "item_id")
+    sets = cut(sets)
+    pairs = cut(similar_sets(rows, sets, threshold).select("x", "y", (100.0 * F.col("shared") / F.col("total")).alias("similarity")))
+    return cut(items.join(set_members(rows, sets).withColumnRenamed("id", "item_id"), "item_id", "left")), pairs
 
 
 def replayed(items: DataFrame, pairs: DataFrame, window_days: int, slice_rows: int) -> DataFrame:
@@ -355,7 +364,7 @@ def cluster_items(items: DataFrame, window_days: int = 30, threshold: int = 90,
     holds a slice and what is carried on. Of that, copies of a text within a
     cluster don't add to it; rejected items within reach of later ones do.
     """
-    items, pairs = prepared(items, threshold)
+    items, pairs = prepared(items, threshold, whole=False)
     found = cut(replayed(items, pairs, window_days, slice_rows))
     return findings(items, found)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillflow import registry
 from rillflow.operators import delivery
-from rillflow.operators.dedup import similar_pairs
+from rillflow.operators.dedup import signatures, similar_pairs
 from rillflow.operators import process
 from rillflow.operators import replay
 from rillflow.operators.cluster_store import ClusterStore
@@ -313,3 +313,18 @@ def test_a_batch_reads_what_it_may_touch(spark, tmp_path):
     # Bands of 30 days: 361 days are 13 bands, of which three are read, and one for the URL.
     read = store.rows_read()
     assert 0 < read["members"] <= 4 * 30 and read["urls"] <= 30 and read["clusters"] <= 120 and read["postings"] <= 3 * 30 * 6
+
+
+def test_candidates_of_similar_sets_are_not_all_that_share_a_word(spark):
+    """Sets of 20 words out of 60 share frequent words, and few are alike: candidates follow the links."""
+    rng = random.Random(4)
+    sets = [[f"w{k}" for k in rng.sample(range(60), rng.choice((19, 20, 21, 22, 23)))] for _ in range(300)]
+    for i in range(0, 300, 3):
+        sets.append(sets[i] + ["more"] if i % 2 else sets[i][1:])
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i long, tokens array<string>")
+    got = {(r.a, r.b) for r in similar_pairs(frame, "i", 90).collect()}
+    assert got == {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(set(sets[i]) & set(sets[j])) >= 90 * len(set(sets[i]) | set(sets[j]))} and len(got) >= 100
+    hashed = [(i, len(s), sorted(rng.getrandbits(63) for _ in s)) for i, s in enumerate(sets)]
+    dealt = spark.createDataFrame(hashed, "k1 long, n int, hashes array<long>").mapInArrow(signatures(90), "k1 long, n int, home boolean, place long, part long")
+    # A set of 20 differs in at most two words from one of 19 to 22, or in one of 19 and two of 21: three to five places.
+    assert dealt.where("home").groupBy("k1").count().agg({"count": "max"}).first()[0] <= 5
