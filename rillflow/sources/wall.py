@@ -30,13 +30,13 @@ def whole(value, least: int = 1) -> int:
     return value
 
 
-def said(value) -> str:
-    need(isinstance(value, str) and "\0" not in value)
+def said(value, bounded: bool = True) -> str:
+    need(isinstance(value, str) and not (bounded and "\0" in value))
     try:
         value.encode()
     except UnicodeEncodeError:
         raise Unsound("malformed_response") from None
-    need(len(value) <= LONGEST_TEXT, "response_too_large")
+    need(not bounded or len(value) <= LONGEST_TEXT, "response_too_large")
     return value
 
 
@@ -56,34 +56,34 @@ def strict_json(payload: str):
         raise Unsound("malformed_response") from None
 
 
-def quoted(history, level: int = 0) -> list[tuple[int, int, str]]:
+def quoted(history, level: int = 0, bounded: bool = True) -> list[tuple[int, int, str]]:
     """(owner, post, text) of the posts that a post repeats, and of those they repeat, level by level down."""
     need(isinstance(history, list) and len(history) <= MOST_REPOSTS and (not history or level < DEEPEST_REPOST))
     out: list[tuple[int, int, str]] = []
     for original in history:
         need(isinstance(original, dict) and original.get("owner_id") != 0)
-        out += [(whole(original.get("owner_id"), 1 - (1 << 63)), whole(original.get("id")), said(original.get("text"))), *quoted(original.get("copy_history", []), level + 1)]
+        out += [(whole(original.get("owner_id"), 1 - (1 << 63)), whole(original.get("id")), said(original.get("text"), bounded)), *quoted(original.get("copy_history", []), level + 1, bounded)]
     need(len(out) <= MOST_REPOSTS)
     return out
 
 
-def read_post(item, community: int) -> dict:
+def read_post(item, community: int, bounded: bool = True) -> dict:
     """A post with its own text and that of its distinct originals, a blank line between."""
     need(isinstance(item, dict) and item.get("owner_id") == -community and type(item["owner_id"]) is int)
-    pin, originals = item.get("is_pinned", 0), quoted(item.get("copy_history", []))
+    pin, originals = item.get("is_pinned", 0), quoted(item.get("copy_history", []), bounded=bounded)
     need(type(pin) is int and pin in (0, 1) and item.get("post_type") in KINDS)
-    texts = dict.fromkeys([said(item.get("text")), *(text for _, _, text in originals)])
+    texts = dict.fromkeys([said(item.get("text"), bounded), *(text for _, _, text in originals)])
     text = "\n\n".join(t for t in texts if t)
-    need(len(text) <= LONGEST_TEXT, "response_too_large")
+    need(not bounded or len(text) <= LONGEST_TEXT, "response_too_large")
     links = [{"owner_id": owner, "post_id": post} for owner, post, _ in originals]
     return {"post_id": whole(item.get("id")), "date": whole(item.get("date"), 0), "text": text, "pinned": pin == 1, "post_type": item["post_type"], "originals": links}
 
 
-def read_window(payload: str | None, community: int, limit: int | None) -> dict:
+def read_window(payload: str | None, community: int, limit: int | None, bounded: bool = True) -> dict:
     """The posts of a sound window, or why there are none; an error of the provider has its code."""
     try:
         need(payload is not None)
-        need(len(payload.encode()) <= LARGEST_WINDOW, "response_too_large")
+        need(not bounded or len(payload.encode()) <= LARGEST_WINDOW, "response_too_large")
         envelope = strict_json(payload)
         need(isinstance(envelope, dict) and ("error" in envelope) != ("response" in envelope))
         answer = envelope.get("response", envelope.get("error"))
@@ -93,7 +93,7 @@ def read_window(payload: str | None, community: int, limit: int | None) -> dict:
         items, count = answer.get("items"), whole(answer.get("count"), 0)
         # A window shorter than it could be can't prove that it shows all there is.
         need(isinstance(items, list) and (len(items) <= count if limit is None else len(items) == min(count, limit)))
-        posts = [read_post(item, community) for item in items]
+        posts = [read_post(item, community, bounded) for item in items]
         ids, loose = [p["post_id"] for p in posts], [p["post_id"] for p in posts if not p["pinned"]]
         need(len(set(ids)) == len(ids) and len(ids) - len(loose) <= 1 and all(a > b for a, b in zip(loose, loose[1:])))
         return {"failure": None, "code": None, "posts": posts}
@@ -101,7 +101,7 @@ def read_window(payload: str | None, community: int, limit: int | None) -> dict:
         return {"failure": str(reason), "code": None, "posts": []}
 
 
-def decode(windows: DataFrame, limit: int | None = None) -> DataFrame:
+def decode(windows: DataFrame, limit: int | None = None, bounded: bool = True) -> DataFrame:
     """`windows` (window_id, community_id, payload) with failure, code and posts.
 
     A window has either a response or an error. A sound response has posts of
@@ -109,19 +109,21 @@ def decode(windows: DataFrame, limit: int | None = None) -> DataFrame:
     and the ids of the others falling, as many as it counts up to `limit` (null:
     no more than it counts). Otherwise all of it is refused: JSON with repeated
     keys or non-finite numbers, texts or reposts beyond their bounds. A community
-    is named by the number whose negative owns its posts.
+    is named by the number whose negative owns its posts. Windows that no provider
+    sent need not be `bounded`: then their texts and they themselves may be of any
+    size and hold NUL.
     """
 
     @F.pandas_udf(DECODED)
     def read(payloads: pd.Series, communities: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_window(p, int(c), limit) for p, c in zip(payloads, communities)], columns=["failure", "code", "posts"]).astype({"code": "Int32"})
+        return pd.DataFrame([read_window(p, int(c), limit, bounded) for p, c in zip(payloads, communities)], columns=["failure", "code", "posts"]).astype({"code": "Int32"})
 
     return windows.withColumn("d", read("payload", "community_id")).select(*windows.columns, "d.*")
 
 
-def decode_windows(windows: DataFrame, limit: int | None = None) -> DataFrame:
+def decode_windows(windows: DataFrame, limit: int | None = None, bounded: bool = True) -> DataFrame:
     """(window_id, post_id, date, text, pinned) of the posts of sound windows; see `decode`."""
-    posts = decode(windows, limit).select("window_id", F.explode("posts").alias("p"))
+    posts = decode(windows, limit, bounded).select("window_id", F.explode("posts").alias("p"))
     return posts.select("window_id", "p.post_id", "p.date", "p.text", "p.pinned")
 
 
@@ -157,8 +159,8 @@ def wall_records(items: DataFrame, sources: DataFrame, collected_at: Column) ->
 
 
 def sample_windows(documents: DataFrame) -> DataFrame:
-    """Documents as windows of one community a source, the newest first."""
-    post = F.struct((F.col("doc_id") + 1).alias("id"), F.lit(-1).cast("long").alias("owner_id"), (F.col("doc_id") * 60).alias("date"), "text", F.lit("post").alias("post_type"))
+    """Documents as windows of one community a source, the newest first, whatever their texts' sizes; a document without a text is a post without one."""
+    post = F.struct((F.col("doc_id") + 1).alias("id"), F.lit(-1).cast("long").alias("owner_id"), (F.col("doc_id") * 60).alias("date"), F.coalesce("text", F.lit("")).alias("text"), F.lit("post").alias("post_type"))
     day = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string"))
     windows = documents.groupBy(day.alias("window_id")).agg(F.sort_array(F.collect_list(post), asc=False).alias("items"))
     return windows.select("window_id", F.lit(1).cast("long").alias("community_id"), F.to_json(F.struct(F.struct(F.size("items").alias("count"), "items").alias("response"))).alias("payload"))

@@ -23,7 +23,7 @@ def odd(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["normalize_fingerprint", "exact_duplicate_groups", "canonical_occurrence", "token_sets_anchors", "classify_rules", "score_reasons", "completeness_rank", "rule_match_spans"])
+@pytest.mark.parametrize("name", ["normalize_fingerprint", "exact_duplicate_groups", "canonical_occurrence", "token_sets_anchors", "classify_rules", "score_reasons", "completeness_rank", "rule_match_spans", "wall_decode", "wall_read_on"])
 def test_odd_texts_agree_with_sql(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
