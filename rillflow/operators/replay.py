@@ -30,6 +30,8 @@ OPTIONAL = {
     "published": "timestamp", "readable": "string", "score": "int", "completeness": "int", "grade": "int", "goals": "array<string>", "format": "string", "location": "string", "budget": "string",
     "known_cluster": "long", "known_face": "boolean", "known_created": "timestamp", "waiting": "boolean",
 }
+#: New items of the components that are replayed in one group, about.
+ROWS_TOGETHER = 5_000
 STEP = OUT + ", created timestamp, fresh boolean"
 
 
@@ -199,32 +201,41 @@ class Replay:
                 self.join(cluster, earlier, "exact_url" if same_url else "exact_text", 100.0)
                 self.fresh.add(earlier.id)
 
-    def frame(self) -> pd.DataFrame:
+    def found(self) -> list[tuple]:
         of = self.clusters
-        rows = [(i, *found, of[found[0]].face.id, of[found[0]].created, i in self.fresh) for i, found in self.out.items()] + [(i, None, None, None, None, None, i in self.fresh) for i in self.rejected]
-        out = pd.DataFrame(rows, columns=["item_id", "cluster_id", "method", "similarity", "canonical_id", "created", "fresh"])
-        return out.astype({"cluster_id": "Int64", "canonical_id": "Int64", "created": "datetime64[ns]", "fresh": "bool"})
+        rows = [(i, *found, of[found[0]].face.id, of[found[0]].created, i in self.fresh) for i, found in self.out.items()]
+        return rows + [(i, None, None, None, None, None, i in self.fresh) for i in self.rejected]
 
 
 def replay(rows: pd.DataFrame, links: pd.DataFrame, window_days: int = 30) -> pd.DataFrame:
-    """The clusters of one component, or of a slice of it with what was carried on: `rows` are its items, `links` (x, y, similarity) its pairs of token sets.
+    """The clusters of components, or of slices of them with what was carried on: `rows` are their items, `links` (x, y, similarity) their pairs of token sets.
 
+    Both may have the component (`component`, `part`); without, all is one.
     Rows with known_cluster or waiting are what there was before. `fresh` marks
     the new items, and the rejected ones that were brought back.
     """
-    similar: dict[int, dict[int, float]] = {}
-    for x, y, s in zip(links.x, links.y, links.similarity):
-        similar.setdefault(x, {})[y] = s
-        similar.setdefault(y, {})[x] = s
-    for own in rows.set_id.dropna().unique():
-        similar.setdefault(own, {})[own] = 100.0
-    state = Replay(similar, window_days)
-    items = [Item(r) for r in rows.itertuples(index=False)]
+    similar: dict[int, dict[int, dict[int, float]]] = {}
+    for part, x, y, s in zip(links.part if "part" in links else [0] * len(links), links.x, links.y, links.similarity):
+        own = similar.setdefault(part, {})
+        own.setdefault(x, {})[y] = s
+        own.setdefault(y, {})[x] = s
+    components: dict[int, list[Item]] = {}
+    for component, r in zip(rows.component if "component" in rows else [0] * len(rows), rows.itertuples(index=False)):
+        components.setdefault(component, []).append(Item(r))
     before = lambda i: i.known is not None or i.waits
-    state.load(sorted((i for i in items if before(i)), key=lambda i: i.id))
-    for item in sorted((i for i in items if not before(i)), key=lambda i: (i.at, i.id)):
-        state.take(item)
-    return state.frame()
+    found = []
+    for component, items in components.items():
+        alike = similar.get(component, {})
+        for item in items:
+            if item.set_id is not None:
+                alike.setdefault(item.set_id, {})[item.set_id] = 100.0
+        state = Replay(alike, window_days)
+        state.load(sorted((i for i in items if before(i)), key=lambda i: i.id))
+        for item in sorted((i for i in items if not before(i)), key=lambda i: (i.at, i.id)):
+            state.take(item)
+        found += state.found()
+    out = pd.DataFrame(found, columns=["item_id", "cluster_id", "method", "similarity", "canonical_id", "created", "fresh"])
+    return out.astype({"cluster_id": "Int64", "canonical_id": "Int64", "created": "datetime64[ns]", "fresh": "bool"})
 
 
 def with_optional(items: DataFrame) -> DataFrame:
@@ -287,9 +298,10 @@ def carried(state: DataFrame, later: DataFrame, urls: DataFrame, window_days: in
     return cut(kept.union(faces).dropDuplicates(["item_id"]))
 
 
-def step(items: DataFrame, links: DataFrame, window_days: int) -> DataFrame:
-    """One replay of each component of `items` (with what was carried on); `links` are (part, x, y, similarity)."""
-    return items.groupBy("component").cogroup(links.groupBy("part")).applyInPandas(lambda rows, linked: replay(rows, linked, window_days), STEP)
+def step(items: DataFrame, links: DataFrame, window_days: int, together: int) -> DataFrame:
+    """One replay of each component of `items` (with what was carried on), in `together` groups of components; `links` are (part, x, y, similarity)."""
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(together)).alias("group")
+    return items.groupBy(group("component")).cogroup(links.groupBy(group("part"))).applyInPandas(lambda rows, linked: replay(rows, linked, window_days), STEP)
 
 
 def applied(items: DataFrame, found: DataFrame) -> DataFrame:
@@ -306,16 +318,18 @@ def replay_slices(items: DataFrame, links: DataFrame, window_days: int, slice_ro
     """The findings of all steps, with their number: `items` have a component, `links` are (part, x, y, similarity)."""
     before = F.col("known_cluster").isNotNull() | F.coalesce("waiting", F.lit(False))
     fresh = items.where(~before).select("item_id", "component", "at", F.col("url"), time_of().alias("t"))
-    sizes = fresh.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    sizes, total = (n or 0 for n in fresh.groupBy("component").count().agg(F.max("count"), F.sum("count")).first())
+    # Most components are of a few items, and a group of its own would cost each far more than its replay.
+    together = max(1, -(-total // ROWS_TOGETHER))
     steps = max(1, -(-sizes // slice_rows))
     if steps == 1:
-        return step(items, links, window_days).withColumn("step", F.lit(0))
+        return step(items, links, window_days, together).withColumn("step", F.lit(0))
     ranked = cut(distributed_rank(fresh, "component", [F.col("at"), F.col("item_id")]).withColumn("slice", F.floor((F.col("rank") - 1) / slice_rows)))
     numbered = items.where(~before).join(ranked.select("item_id", "slice"), "item_id")
     own, state, found = items.columns, items.where(before), []
     for number in range(steps):
         now = cut(state.select(*own).union(numbered.where(F.col("slice") == number).select(*own)))
-        found.append(cut(step(now, links, window_days).withColumn("step", F.lit(number))))
+        found.append(cut(step(now, links, window_days, together).withColumn("step", F.lit(number))))
         if number + 1 < steps:
             after = ranked.where(F.col("slice") > number)
             later = after.groupBy("component").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))

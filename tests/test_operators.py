@@ -328,3 +328,14 @@ def test_candidates_of_similar_sets_are_not_all_that_share_a_word(spark):
     dealt = spark.createDataFrame(hashed, "k1 long, n int, hashes array<long>").mapInArrow(signatures(90), "k1 long, n int, home boolean, place long, part long")
     # A set of 20 differs in at most two words from one of 19 to 22, or in one of 19 and two of 21: three to five places.
     assert dealt.where("home").groupBy("k1").count().agg({"count": "max"}).first()[0] <= 5
+
+
+def test_components_are_replayed_in_few_groups(spark):
+    """A group holds many components, and what it finds for one doesn't touch another."""
+    import inspect
+
+    assert "groupBy(\"component\")" not in inspect.getsource(replay.step)
+    item = {"at": pd.Timestamp("2026-01-01"), "published": None, "url": None, "kind": "a", "tokens": ["t"], "contacts": [], "eligible": True, "readable": None, "score": 1, "completeness": 1, "grade": None, "goals": [], "format": None, "location": None, "budget": None, "known_cluster": None, "known_face": None, "known_created": None, "waiting": None, "set_id": None}
+    rows = pd.DataFrame([item | {"item_id": i, "component": i // 2 * 2, "fingerprint": "same"} for i in range(6)])
+    found = replay.replay(rows, pd.DataFrame({"part": [], "x": [], "y": [], "similarity": []}))
+    assert dict(zip(found.item_id, found.cluster_id)) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
