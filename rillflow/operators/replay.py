@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.text import longest
-from rillflow.operators.dedup import set_members, similar_sets, token_sets
-from rillflow.operators.lineage import cut
+from rillflow.operators.dedup import distinct_sets, keyed, set_members, similar_sets, token_hashes, token_sets
+from rillflow.operators.lineage import cut, forget
 from rillflow.operators.ranking import distributed_rank
 
 OUT = "item_id long, cluster_id long, method string, similarity double, canonical_id long"
@@ -343,17 +343,18 @@ def replay_slices(items: DataFrame, links: DataFrame, window_days: int, slice_ro
 def prepared(items: DataFrame, threshold: int, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """(items with their set_id, pairs (x, y, similarity) of similar token sets); unless `whole`, items keep their three longest tokens, all that a replay asks for."""
     if not whole:
-        # The tokens of an item once, by their hashes in the rows of sets; the items as they are replayed, with their anchors.
-        items = with_optional(items)
-        kept = cut(items.withColumn("anchors", longest(F.col("tokens"))))
-        rows, sets = token_sets(kept.select("item_id", "tokens"), "item_id")
-        items = kept.drop("tokens").withColumnRenamed("anchors", "tokens")
+        # The tokens of an item are written once, as hashes; the items as they are replayed, with their anchors.
+        kept = cut(with_optional(items).withColumns({"anchors": longest(F.col("tokens")), "hashes": token_hashes(F.col("tokens"))}).drop("tokens"))
+        rows = keyed(kept.select(F.col("item_id").alias("id"), "hashes")).where(F.col("n") >= 5)
+        items, sets = kept.drop("hashes").withColumnRenamed("anchors", "tokens"), distinct_sets(rows)
     else:
-        items = cut(with_optional(items))  # read for each kind of link
+        kept = items = cut(with_optional(items))  # read for each kind of link
         rows, sets = token_sets(items, "item_id")
     sets = cut(sets)
     pairs = cut(similar_sets(rows, sets, threshold).select("x", "y", (100.0 * F.col("shared") / F.col("total")).alias("similarity")))
-    return cut(items.join(set_members(rows, sets).withColumnRenamed("id", "item_id"), "item_id", "left")), pairs
+    items = cut(items.join(set_members(rows, sets).withColumnRenamed("id", "item_id"), "item_id", "left"))
+    forget(kept)
+    return items, pairs
 
 
 def replayed(items: DataFrame, pairs: DataFrame, window_days: int, slice_rows: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillflow import registry
 from rillflow.operators import delivery
-from rillflow.operators.dedup import signatures, similar_pairs
+from rillflow.operators.dedup import shared_tokens, signatures, similar_pairs
 from rillflow.operators import process
 from rillflow.operators import replay
 from rillflow.operators.cluster_store import ClusterStore
@@ -339,3 +339,16 @@ def test_components_are_replayed_in_few_groups(spark):
     rows = pd.DataFrame([item | {"item_id": i, "component": i // 2 * 2, "fingerprint": "same"} for i in range(6)])
     found = replay.replay(rows, pd.DataFrame({"part": [], "x": [], "y": [], "similarity": []}))
     assert dict(zip(found.item_id, found.cluster_id)) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_shared_tokens_are_counted_in_blocks(spark):
+    rng = random.Random(3)
+    sets = {i: sorted(rng.sample(range(-60, 60), rng.randint(1, 40))) for i in range(40)}
+    # A group of many pairs, a star, a chain, and a pair of its own.
+    pairs = {*itertools.combinations(range(12), 2), *((12, i) for i in range(13, 25)), *((i, i + 1) for i in range(25, 36)), (38, 39)}
+    rows = spark.createDataFrame([(i, len(s), s) for i, s in sets.items()], "id long, n int, hashes array<long>")
+    frame = spark.createDataFrame(sorted(pairs), "x long, y long")
+    want = sorted((x, y, len({*sets[x]} & {*sets[y]}), len(sets[x]) + len(sets[y])) for x, y in pairs)
+    for settings in ({}, {"block_tokens": 60, "block_sets": 3}, {"broadcast_ids": 0}):
+        assert sorted(map(tuple, shared_tokens(frame, rows, **settings).collect())) == want
+    assert shared_tokens(frame.limit(0), rows).count() == 0
