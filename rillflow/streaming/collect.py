@@ -77,8 +77,8 @@ class Collection:
         begin = C.bootstrap(open_now, before.select("source_key", F.col("cursor").cast("string").alias("cursor"), "high_water_mark"), ended).persist()
         started = begin.select(F.lit(number).cast("long").alias("run_id"), "source_key", now.alias("started_at"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in RUN.split(", ")[3:]))).withColumn("status", F.lit("running"))
         interrupted = C.reconcile(unfinished, open_now, now).where("status = 'failed'")
-        interrupted.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/runs/run={number}-interrupted")
-        started.coalesce(1).write.parquet(f"{self.path}/started/run={number}")
+        interrupted.repartition(1).write.mode("overwrite").parquet(f"{self.path}/runs/run={number}-interrupted")
+        started.repartition(1).write.parquet(f"{self.path}/started/run={number}")
         cursors = {r.source_key: int(r.cursor or 0) for r in begin.where("NOT refused").collect()}
         if cursors:
             self._stream(folder, cursors, number, now, batch_failure)
@@ -129,7 +129,7 @@ class Collection:
         sums = pages.select("source_key", "seen", "inserted", "failed", "error").unionByName(lost.drop("run_id")).withColumnRenamed("source_key", "run_id")
         rows = C.run_rows(sums, started.select(F.col("source_key").alias("run_id"), "source_key", "started_at"), now)
         rows = rows.withColumn("run_id", F.lit(number).cast("long")).select(*(F.col(c).cast(t) for c, t in (x.split() for x in RUN.split(", "))))
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/runs/run={number}")
+        rows.repartition(1).write.mode("overwrite").parquet(f"{self.path}/runs/run={number}")
         rows = self.spark.read.schema(RUN).parquet(f"{self.path}/runs/run={number}")
         # A cursor is the page after the last before any failure, of the page or of an item in it.
         prefix = C.checkpoints(pages.select(F.col("source_key").alias("run_id"), "page", (F.col("page") + 1).alias("cursor"), F.when(F.col("error").isNotNull(), 1).otherwise(0).alias("failed"))).select(F.col("run_id").alias("source_key"), F.col("cursor").alias("reached"))
@@ -141,5 +141,5 @@ class Collection:
         states = C.next_state(counts, rows.join(waits, "source_key", "left").select("source_key", "status", "retry_after"), now)
         after = known.select("source_key", "cursor").join(prefix, "source_key", "left").select("source_key", F.coalesce("reached", "cursor").alias("cursor"))
         after = after.join(marks, "source_key", "left").join(states, "source_key", "left")
-        after.select(*(F.col(c).cast(t) for c, t in (x.split() for x in STATE.split(", ")))).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/states/run={number}")
+        after.select(*(F.col(c).cast(t) for c, t in (x.split() for x in STATE.split(", ")))).repartition(1).write.mode("overwrite").parquet(f"{self.path}/states/run={number}")
         return rows
